@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, language_id, mixing, token_counts, topk, warc
+from . import audio, bpe, language_id, mixing, pii, secret_scan, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_audio_features": audio.op1_audio_features,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_language_id": language_id.op3_language_id,
+        "op4_pii": pii.op4_pii,
         "op5_exact_top_k": topk.op5_exact_top_k,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
         "op8_warc": warc.op8_warc,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
