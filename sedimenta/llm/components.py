@@ -1,0 +1,30 @@
+"""Connected components of an edge table, by rounds of label passing and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a long, b long) to rows (node, component): the smallest node that each node of an edge reaches.
+
+    A round gives every node the least label of its neighbours and then its label's own label, so the rounds grow with
+    the logarithm of a component's diameter at best and with the diameter at worst. Labels and edges stay in tables;
+    the driver sees the number of changes only. A hub's edges are one row a task in the aggregate, and its join can be
+    split. Null ends and edges of a node to itself give no links; an empty table gives an empty result.
+    """
+    ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    both = materialize(ends.union(ends.select("b", "a")).toDF("u", "v").where("u <> v").distinct(), "edges")
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    while True:
+        heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("heard"))
+        near = labels.join(heard, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", "heard").alias("near"))
+        jump = labels.select(F.col("node").alias("of"), F.col("label").alias("further"))
+        moved = materialize(near.join(jump, F.col("near") == F.col("of"), "left").select("node", "label", F.least("near", "further").alias("next")), "labels")
+        changed = moved.where("label <> next").limit(1).count()
+        labels = moved.select("node", F.col("next").alias("label"))
+        if not changed:
+            return labels.withColumnRenamed("label", "component")

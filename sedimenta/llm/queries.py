@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, language_id, mixing, pii, secret_scan, token_counts, topk, warc
+from . import audio, bpe, language_id, mixing, near_dedup, pii, secret_scan, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_pii": pii.op4_pii,
         "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc": warc.op8_warc,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": topk.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_exact_top_k": topk.SQL, "op7_near_dedup": near_dedup.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
