@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import bpe, language_id, mixing, near_dedup, secret_scan
-from sedimenta.llm.common import WORD, materialize, table
+from sedimenta.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: a document for each time it is served, cut after its last word taken if it ends the mix."""
     served = mixing.mixed_rows(mixing.weighted_fair_mix(docs))
-    space = "[" + WORD[2:]
-    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"^(?:{space}*+{WORD}++){{"), F.col("wfq_words"), F.lit("}")), F.lit(0))
+    # possessive, so that a repetition of thousands of words takes no stack
+    word = r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"
+    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"^{word}{{"), F.col("wfq_words"), F.lit("}")), F.lit(0))
     text = F.when(F.col("wfq_words") < F.col("wfq_size"), first).otherwise(F.col("text"))
     return served.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
