@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     served = mixing.mixed_rows(mixing.weighted_fair_mix(docs))
     # possessive, so that a repetition of thousands of words takes no stack
     word = r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"
-    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"^{word}{{"), F.col("wfq_words"), F.lit("}")), F.lit(0))
+    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"^{word}{{"), F.col("wfq_words"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("wfq_words") < F.col("wfq_size"), first).otherwise(F.col("text"))
     return served.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
