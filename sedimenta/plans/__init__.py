@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "aggregates", "relational")
 
 
 def load_all() -> None:
