@@ -81,5 +81,7 @@ def threshold(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The least margin from which on at least that share is positive; infinity if there is none."""
     order = np.argsort(-margin, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
+    # rows of one margin are selected together
+    ends = np.append(margin[order][1:] < margin[order][:-1], True)
+    good = np.flatnonzero((right >= precision) & ends)
     return float(margin[order[good[-1]]]) if len(good) else float("inf")

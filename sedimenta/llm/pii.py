@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import table
-from .spans import add_matches, digits, joined, luhn, of_kind
+from .spans import add_matches, digits, joined, luhn, of_kind, without_overlaps
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
+SPAN = "struct<start:int,kind:int,end:int>"
 #: The base patterns, in a form that reads no run twice.
 LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = {
@@ -69,8 +70,8 @@ def candidates(df: DataFrame) -> DataFrame:
     df = add_matches(df, "spelt", "text", SPELT, F.contains("text", F.lit("dot")) | F.contains("text", F.lit("DOT")))
     df = add_matches(df, "defanged", "text", DEFANGED, F.rlike("text", F.lit(r"[0-9]\x20?[\[(]")))
     number = F.filter("number", lambda m: F.length(digits(m["text"])).between(7, 19))
-    as_kind = lambda spans, k: F.transform(spans, lambda m: F.struct(F.lit(k).alias("kind"), m.alias("m")))
-    proposed = F.concat(as_kind(number, CARD), as_kind(number, PHONE), as_kind(F.col("spelt"), EMAIL), as_kind(F.col("defanged"), IP))
+    as_kinds = lambda spans, *kinds: F.transform(spans, lambda m: F.struct(F.array(*map(F.lit, kinds)).alias("kinds"), m.alias("m")))
+    proposed = F.concat(as_kinds(number, CARD, PHONE), as_kinds(F.col("spelt"), EMAIL), as_kinds(F.col("defanged"), IP))
     return df.withColumn("proposed", proposed).drop("number", "spelt", "defanged")
 
 
@@ -124,20 +125,20 @@ class Model:
     def selected(self, proposed: Column) -> Column:
         """Structs (start, kind, end) of the candidates above their kind's threshold."""
         lowest = F.array(*[F.lit(t) for t in self.thresholds])
-        # the features once, then the trees over them
-        seen = F.transform(proposed, lambda p: F.struct(p["m"]["start"].alias("start"), p["kind"].alias("kind"), p["m"]["end"].alias("end"), F.array(*features(p["kind"], p["m"])).alias("x")))
+        # a row for each kind of a match, the features once, then the trees over them
+        seen = F.transform(proposed, lambda p: F.transform(p["kinds"], lambda k: F.struct(p["m"]["start"].alias("start"), k.alias("kind"), p["m"]["end"].alias("end"), F.array(*features(k, p["m"])).alias("x"))))
         margin = lambda s: self.trees.column([s["x"][i] for i in range(len(FEATURES))])
-        scored = F.transform(seen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (margin(s) - F.element_at(lowest, s["kind"] + 1)).alias("over")))
-        sure = F.filter(scored, lambda s: s["over"] >= 0)
-        # a span proposed as two kinds keeps the surer one, ties the one listed first; proposals of a span aren't far apart
-        best = F.filter(sure, lambda s: ~F.exists(sure, lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"]) & ((o["over"] > s["over"]) | ((o["over"] == s["over"]) & (o["kind"] < s["kind"])))))
-        return F.array_distinct(F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+        over = lambda s: margin(s) - F.element_at(lowest, s["kind"] + 1)
+        # of a span's kinds the surest, ties the one listed first
+        best = F.transform(seen, lambda kinds: F.array_max(F.transform(kinds, lambda s: F.struct(over(s).alias("over"), (-s["kind"]).alias("before"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
+        return F.array_distinct(F.transform(F.filter(best, lambda s: s["over"] >= 0), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
 def fit(spark: SparkSession) -> Model:
     """Fit on EXAMPLES synthetic texts, cut into candidates by the expressions that the data go through."""
     rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(examples())), "array<struct<text:string,kind:int,part:int>>")))
-    got = candidates(rows).select("kind", "part", F.explode("proposed").alias("p")).select(F.col("kind").alias("truth"), "part", F.col("p.kind").alias("kind"), F.array(*features(F.col("p.kind"), F.col("p.m"))).alias("x")).collect()
+    cut = candidates(rows).select(F.col("kind").alias("truth"), "part", F.explode("proposed").alias("p")).select("truth", "part", "p.m", F.explode("p.kinds").alias("kind"))
+    got = cut.select("truth", "part", "kind", F.array(*features(F.col("kind"), F.col("m"))).alias("x")).collect()
     x, part = np.array([g["x"] for g in got]), np.array([g["part"] for g in got])
     kind = np.array([g["kind"] for g in got])
     y = (np.array([g["truth"] for g in got]) == kind).astype(float)
@@ -165,8 +166,8 @@ def find(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "tex
     )
     df = df.withColumn("base", base).drop("email", "ip", "card", "phone")
     df = candidates(df)
-    df = df.withColumn("picked", F.when(F.size("proposed") > 0, model.selected(F.col("proposed"))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    added = F.filter("picked", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    df = df.withColumn("picked", F.when(F.size("proposed") > 0, model.selected(F.col("proposed"))).otherwise(F.array().cast(f"array<{SPAN}>")))
+    added = F.when(F.size("picked") > 0, without_overlaps(F.col("picked"), F.col("base"), SPAN)).otherwise(F.col("picked"))
     return df.select("key.*", "base", added.alias("added"))
 
 

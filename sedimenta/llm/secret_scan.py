@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .spans import add_matches, joined
+from .spans import add_matches, joined, without_overlaps
 
 KINDS = ("assign", "access", "hex")
 ASSIGN, ACCESS, HEX = range(3)
@@ -35,7 +35,7 @@ MORE = {
 }
 #: A secret that more distinct owners or repositories hold is an example.
 OWNERS, REPOSITORIES = 2, 16
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SECRET = "struct<start:int,kind:int,end:int,secret:string,is_base:boolean>"
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -67,8 +67,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
             parts.append(F.filter(spans, lambda s: F.length(s["secret"]) >= 6) if column == "base_assign" else spans)
     df = df.withColumn("all", F.concat(*parts))
     base = F.filter("all", lambda s: s["is_base"])
-    fresh = F.filter("all", lambda s: ~s["is_base"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("base", base).withColumn("found", F.concat("base", fresh))
+    df = df.withColumn("base", base).withColumn("more", F.filter("all", lambda s: ~s["is_base"]))
+    fresh = F.when(F.size("more") > 0, without_overlaps(F.col("more"), F.col("base"), SECRET)).otherwise(F.col("more"))
+    df = df.withColumn("found", F.concat("base", fresh))
     hashed = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("hash"), s["is_base"].alias("is_base")))
     return df.select("id", "key", "repo", "owner", hashed.alias("found"))
 

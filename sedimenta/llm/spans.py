@@ -49,6 +49,36 @@ def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def without_overlaps(some: Column, base: Column, element: str) -> Column:
+    """The elements of `some` (structs of type `element` with start and end) that overlap none of base (structs with both too).
+
+    Two sweeps over the spans in order of their starts, forwards for base spans that begin before and backwards for
+    those that begin after, so the work grows with the number of spans, not with pairs of them.
+    """
+    blank = F.lit(None).cast(element)
+    tagged = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), b["end"].alias("till"), F.lit(0).alias("tag"), blank.alias("it"))),
+        F.transform(some, lambda x: F.struct(x["start"].alias("at"), x["end"].alias("till"), F.lit(1).alias("tag"), x.alias("it"))),
+    )
+    kind = f"array<struct<at:int,till:int,tag:int,it:{element}>>"
+    # a stable order that needs no comparison of the elements themselves
+    order = lambda spans: F.array_sort(spans, lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["tag"] - b["tag"]))
+
+    def sweep(spans: Column, first: Column, hits, moved) -> Column:
+        zero = F.struct(first.alias("edge"), F.array().cast(kind).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            is_base = x["tag"] == 0
+            keep = is_base | ~hits(acc["edge"], x)
+            return F.struct(F.when(is_base, moved(acc["edge"], x)).otherwise(acc["edge"]).alias("edge"), F.when(keep, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+
+    ahead = sweep(order(tagged), F.lit(-1), lambda edge, x: x["at"] < edge, lambda edge, x: F.greatest(edge, x["till"]))
+    back = sweep(F.reverse(ahead), F.lit(2**31 - 1), lambda edge, x: edge < x["till"], lambda edge, x: F.least(edge, x["at"]))
+    return F.transform(F.filter(F.reverse(back), lambda x: x["tag"] == 1), lambda x: x["it"])
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
