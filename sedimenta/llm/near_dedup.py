@@ -2,16 +2,18 @@
 
 A document's set is its distinct five-word shingles, hashed to 64 bits. The top bits deal a shingle to one of
 REGISTERS buckets; a bucket keeps its least hash as a leading-zero count and MANTISSA further bits. For banding,
-empty registers borrow from the first occupied one of a fixed random order of their own. Bands of ROWS registers
-give BANDS keys: a pair at a similarity of 0.75 meets in one with a probability of 1 - (1 - 0.75^4)^32 = 0.999995.
+empty registers borrow from the first occupied one of a fixed random order of their own. The first ROWS * BANDS registers
+give BANDS keys; estimates use all. A pair at a similarity of 0.75 meets in one with a probability of 1 - (1 - 0.75^4)^32 = 0.999995.
 
 Texts that agree word by word are one class, represented by its smallest id, before anything is compared. Then:
 1. In every bucket of classes, each is paired with the bucket's smallest class (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
 3. Buckets that still hold several components: each class outside the centre's component is compared with all classes
-   of other components in the bucket, block by block on registers, and what passes is confirmed. Pairs inside
-   a component need no comparison, so a large group of copies costs its star only. No bucket is capped.
+   of other components in the bucket, block by block on registers, and every pair that the estimate leaves possible is
+   confirmed inside its block, likeliest first, unless links found there have joined its components. Pairs inside a
+   component need no comparison, so a large group of copies costs its star only. No bucket is capped, and pairs that
+   aren't links leave no task.
 """
 
 from __future__ import annotations
@@ -31,15 +33,16 @@ from .bpe import Memory
 from .common import materialize, table
 
 WORDS, SIMILARITY = 5, 75
-REGISTERS, MANTISSA, ROWS, BANDS = 128, 10, 4, 32
+REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 4, 32
 BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Standard errors below the threshold from which on an estimate rules a pair out, and how often two different
 #: registers agree by chance: about a third (equal zero counts) of one in 2^MANTISSA.
 ERRORS, COLLISION = 5.0, 1 / 3 / (1 << MANTISSA)
 #: Classes of a block in step 3.
-BLOCK = 512
+BLOCK = 256
 #: Of each register the order in which it looks for an occupied one, itself first.
 PROBES = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=1)
+BANDED = PROBES[: BANDS * ROWS]
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,20 +90,20 @@ def bands(regs: np.ndarray) -> np.ndarray:
     """A key for each band, of registers with the empty ones filled."""
     full = regs
     if not regs.all():
-        full = regs[PROBES[np.arange(REGISTERS), (regs != 0)[PROBES].argmax(axis=1)]]
+        full = regs[BANDED[np.arange(BANDS * ROWS), (regs != 0)[BANDED].argmax(axis=1)]]
     h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for column in full.reshape(BANDS, ROWS).astype(np.uint64).T:
+    for column in full[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64).T:
         h = mix(h * MULTIPLIER + column)
     return h.view(np.int64)
 
 
-def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Could registers a and b (broadcast, the last axis REGISTERS) be of sets at the threshold?"""
+def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of registers a and b (broadcast, the last axis REGISTERS): the similarity, and whether it could reach the threshold."""
     seen = ((a != 0) | (b != 0)).sum(axis=-1)
     equal = ((a == b) & (a != 0)).sum(axis=-1)
     t = SIMILARITY / 100
     estimate = (equal / np.maximum(seen, 1) - COLLISION) / (1 - COLLISION)
-    return estimate >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(seen, 1))
+    return estimate, estimate >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(seen, 1))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -141,7 +144,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, registers of x, of y) to the pairs (x, y) that are possible."""
     for b in batches:
         if len(b):
-            keep = pa.array(possible(_as_registers(b.column(2)), _as_registers(b.column(3))))
+            keep = pa.array(estimates(_as_registers(b.column(2)), _as_registers(b.column(3)))[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(keep)
 
 
@@ -158,43 +161,89 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, class, component, registers), sorted by cell, to possible pairs across sides and components.
-
-    A cell holds at most about two blocks, so it fits in memory.
-    """
-    held: list[tuple] = []
-
-    def pairs(cells: list[tuple]) -> pa.RecordBatch:
-        xs, ys = [], []
-        cell = np.concatenate([c[0] for c in cells])
-        side, node, comp = (np.concatenate([c[k] for c in cells]) for k in (1, 2, 3))
-        regs = np.concatenate([c[4] for c in cells])
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-        for a, e in zip(bounds[:-1], bounds[1:], strict=True):
-            left, right = a + np.flatnonzero(side[a:e] == 0), a + np.flatnonzero(side[a:e] == 1)
-            for k in range(0, len(left), 64):
-                part = left[k : k + 64]
-                i, j = np.nonzero((comp[part][:, None] != comp[right][None, :]) & possible(regs[part][:, None, :], regs[right][None, :, :]))
-                xs.append(np.maximum(node[part[i]], node[right[j]]))
-                ys.append(np.minimum(node[part[i]], node[right[j]]))
-        x, y = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (xs, ys))
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
-
+def _by_cell(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
+    """run() on tables of whole cells, from batches sorted by cell (column 0); a cell has about two blocks at most."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not len(b):
             continue
-        now = (*(b.column(k).to_numpy() for k in range(4)), _as_registers(b.column(4)))
-        cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
+        cell = b.column(0).to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1], side="left"))
         if cut:
-            yield pairs([*held, tuple(v[:cut] for v in now)])
+            yield from run(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks())
             held = []
-        elif held and held[-1][0][0] != now[0][0]:
-            yield pairs(held)
+        elif held and held[-1].column(0)[0].as_py() != cell[0]:
+            yield from run(pa.Table.from_batches(held).combine_chunks())
             held = []
-        held.append(tuple(v[cut:] for v in now))
+        held.append(b.slice(cut))
     if held:
-        yield pairs(held)
+        yield from run(pa.Table.from_batches(held).combine_chunks())
+
+
+def _pairs_of_cells(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of each cell: rows of side 0, rows of side 1 in possible pairs of different components, and estimates."""
+    cell, side, comp = (t.column(k).to_numpy() for k in ("cell", "side", "component"))
+    regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), dtype=np.uint16).reshape(len(t), REGISTERS)
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+    for a, e in zip(bounds[:-1], bounds[1:], strict=True):
+        left, right = a + np.flatnonzero(side[a:e] == 0), a + np.flatnonzero(side[a:e] == 1)
+        for k in range(0, len(left), 32):
+            part = left[k : k + 32]
+            estimate, able = estimates(regs[part][:, None, :], regs[right][None, :, :])
+            i, j = np.nonzero(able & (comp[part][:, None] != comp[right][None, :]))
+            if len(i):
+                yield part[i], right[j], estimate[i, j]
+
+
+def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (cell, side, id, component, registers) that are part of a possible pair."""
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(len(t), dtype=bool)
+        for i, j, _ in _pairs_of_cells(t):
+            wanted[i] = wanted[j] = True
+        yield from t.filter(pa.array(wanted)).to_batches()
+
+    return _by_cell(batches, run)
+
+
+def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, id, component, registers, text) to links (x, y), likeliest pairs first.
+
+    A pair whose components a link of its part of the cell has joined already needs no set comparison.
+    """
+    shingles = Shingles()
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, comp, texts = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("text")
+        links: list[tuple[int, int]] = []
+        last_cell, sets, above = None, {}, {}
+        cell = t.column("cell").to_numpy()
+
+        def top(c: int) -> int:
+            while c in above:
+                c = above[c]
+            return c
+
+        def of(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = shingles.of_text(texts[r].as_py())
+            return sets[r]
+
+        for i, j, estimate in _pairs_of_cells(t):
+            if cell[i[0]] != last_cell:
+                last_cell, sets, above = cell[i[0]], {}, {}
+            for k in np.argsort(-estimate, kind="stable"):
+                a, b = int(i[k]), int(j[k])
+                x, y = top(int(comp[a])), top(int(comp[b]))
+                if x != y and linked(of(a), of(b)):
+                    above[max(x, y)] = min(x, y)
+                    links.append((int(node[a]), int(node[b])))
+        if links:
+            x, y = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return _by_cell(batches, run)
 
 
 def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -202,6 +251,28 @@ def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return pairs.join(values.select(F.col("id").alias("x"), F.col(value).alias("x_value")), "x").join(values.select(F.col("id").alias("y"), F.col(value).alias("y_value")), "y").select("x", "y", "x_value", "y_value")
 
 
+def _across(shared: DataFrame, found: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (x, y) between different components in the buckets that hold several.
+
+    The classes outside the bucket centre's component are compared with all of the bucket: their blocks meet its blocks
+    in cells, so a bucket of any size is spread over tasks. Registers select the classes of possible pairs; their texts
+    come to the cells, and only links leave them.
+    """
+    labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("n_all")).where("low <> high")
+    open_ = materialize(labelled.join(sizes, "band").select("band", "id", "component", "main", "n_all"), "open")
+    blocks = open_.groupBy("band").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("out_blocks"), F.ceil(F.max("n_all") / BLOCK).alias("all_blocks"))
+    sized = open_.join(blocks, "band")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    out_side = sized.where("component <> main").select("band", place("out_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "id", "component")
+    all_side = sized.select("band", upto("out_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "id", "component")
+    cells = out_side.union(all_side).select(F.xxhash64("band", "i", "j").alias("cell"), "side", "id", "component").join(sketch, "id").select("cell", "side", "id", "component", "registers")
+    sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+    wanted = sorted_(cells).mapInArrow(_select_members, "cell long, side int, id long, component long, registers binary")
+    return sorted_(wanted.join(texts, "id").select("cell", "side", "id", "component", "registers", "text")).mapInArrow(_confirm_cells, "x long, y long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id_col, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id).
 
@@ -227,19 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_with(hopeful, texts, "text").mapInArrow(_confirm, "x long, y long").toDF("a", "b"), "links")
     found = components(links)
 
-    labelled = shared.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("n"))
-    open_ = materialize(labelled.join(mixed.where("low <> high"), "band"), "open")
-    # outside the main component: the classes to compare; their blocks meet all blocks of the bucket
-    sizes = open_.groupBy("band").agg(F.count_if(F.col("component") != F.col("main")).alias("n_out"), F.first("n").alias("n_all")).select("band", F.ceil(F.col("n_out") / BLOCK).alias("out_blocks"), F.ceil(F.col("n_all") / BLOCK).alias("all_blocks"))
-    sized = open_.join(sizes, "band")
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    out_side = sized.where("component <> main").select("band", place("out_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "id", "component")
-    all_side = sized.select("band", upto("out_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "id", "component")
-    cells = out_side.union(all_side).select(F.xxhash64("band", "i", "j").alias("cell"), "side", "id", "component").join(sketch, "id").select("cell", "side", "id", "component", "registers")
-    across = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_groups, "x long, y long").distinct()
-    more = materialize(_with(across, texts, "text").mapInArrow(_confirm, "x long, y long").toDF("a", "b"), "links")
+    apart = _across(shared.where("n > 2"), found, sketch, texts)
+    more = materialize(apart.toDF("a", "b"), "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
