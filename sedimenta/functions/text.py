@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,3 +149,18 @@ def media_type(content: Column) -> Column:
 def urn(*parts: Column | str) -> Column:
     """F50."""
     return F.concat_ws(":", F.lit("urn"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def normalised(x: Column) -> Column:
+    """NFKC and case folding (F13): as lower case where the text is ASCII, in Arrow batches where it isn't."""
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    ascii_only = F.rlike(x, F.lit(r"^[\x00-\x7F]*$"))
+    return F.when(ascii_only, F.lower(x)).otherwise(fold(F.when(~ascii_only, x)))
+
+
+def prefixed_fingerprint(canonical: Column) -> Column:
+    """F30, the flavour that strips the final newline and names its hash."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.regexp_replace(canonical, r"\n$", ""), 256))

@@ -140,3 +140,19 @@ def test_streams(spark, tmp_path):
         q = stream().writeStream.foreachBatch(budget.journal_sink(f"file://{tmp_path}/journal", "work_id")).option("checkpointLocation", f"file://{tmp_path}/c{run}").trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/journal").count() == 4
+
+
+def test_tools(spark):
+    from sedimenta.operators import tools
+
+    a, b = spark.createDataFrame([("x", 1), ("y", 2), ("z", None)], "k string, v int"), spark.createDataFrame([("y", 3), ("z", None), ("w", 1)], "k string, v int")
+    assert {r.k: r.state for r in tools.compare_sources(a, b, "k", "v").collect()} == {"x": "only_a", "y": "differ", "z": "agree", "w": "only_b"}
+    s = tools.species(a.select("k"), spark.createDataFrame([("x", 5)], "k string, n long"), "k", "y").first().records
+    assert (s.status, s.value, s.reason) == ("unavailable", None, "no count for this species")
+    n = spark.createDataFrame([("r", None), ("a", "r")], "node string, parent string")
+    assert [(r.place, r.ancestor) for r in tools.trace(n, "a").collect()] == [(0, "r"), (1, "a")]
+    beats = spark.createDataFrame([("w1", 100), ("w2", 900)], "worker string, observed_s long")
+    assert {r.worker: r.presence for r in tools.worker_status(beats, 1000).collect()} == {"w1": "offline", "w2": "online"}
+    e = spark.createDataFrame([("me", "s1", "sp", ["c1", "c2"]), ("me", "s1", "sp", ["c2"]), ("you", "s2", "sp", ["c3"])], "reviewer string, subject string, species string, cells array<string>")
+    assert tuple(tools.contribution(e, "me").first()) == (2, 1, 1, 2)
+    assert one(spark, x=text.normalised(F.lit("Ａß")), y=text.normalised(F.lit("AB"))) == ("ass", "ab")
