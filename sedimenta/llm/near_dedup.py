@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators.graph import components
 
-from .bpe import Memory
 from .common import materialize, table
 
 WORDS, SIMILARITY = 5, 75
@@ -52,26 +51,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Shingles:
-    """Shingle sets of texts; a worker's memory of word hashes is bounded."""
+def shingles_of_words(words: list[bytes]) -> np.ndarray:
+    """The sorted distinct shingle hashes; of fewer than WORDS words one, of the whole sequence."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
+    size = min(n, WORDS)
+    h = np.full(n - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        h = h * MULTIPLIER + w[k : n - size + 1 + k]
+    return np.unique(mix(h))
 
-    def __init__(self) -> None:
-        self.memory = Memory(xxhash.xxh64_intdigest)
 
-    def of_words(self, words: list[bytes]) -> np.ndarray:
-        """The sorted distinct shingle hashes; of fewer than WORDS words one, of the whole sequence."""
-        n = len(words)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
-        w = np.fromiter(map(self.memory.__getitem__, words), dtype=np.uint64, count=n)
-        size = min(n, WORDS)
-        h = np.full(n - size + 1, size, dtype=np.uint64)
-        for k in range(size):
-            h = h * MULTIPLIER + w[k : n - size + 1 + k]
-        return np.unique(mix(h))
-
-    def of_text(self, data: bytes | None) -> np.ndarray:
-        return self.of_words((data or b"").lower().split())
+def shingles_of_text(data: bytes | None) -> np.ndarray:
+    return shingles_of_words((data or b"").lower().split())
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -119,7 +113,6 @@ SKETCH = "id long, h1 long, h2 long, n_shingles long, registers binary, bands ar
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
     for b in batches:
         for at in range(0, len(b), 1000):
             part, rows = b.slice(at, 1000), []
@@ -128,7 +121,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not words:
                     rows.append((None, None, 0, None, None))
                     continue
-                s = shingles.of_words(words)
+                s = shingles_of_words(words)
                 key = np.frombuffer(hashlib.md5(b" ".join(words)).digest(), dtype=np.int64)
                 regs = registers(s)
                 rows.append((int(key[0]), int(key[1]), len(s), regs.tobytes(), bands(regs)))
@@ -150,14 +143,14 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, text of x, of y) to the links (x, y). Rows of one y come together; its set is made once."""
-    shingles, last, last_set = Shingles(), None, None
+    last, last_set = None, None
     for b in batches:
         keep = []
         for x, y in zip(b.column(2), b.column(3), strict=True):
             y = y.as_py()
             if y != last:
-                last, last_set = y, shingles.of_text(y)
-            keep.append(linked(shingles.of_text(x.as_py()), last_set))
+                last, last_set = y, shingles_of_text(y)
+            keep.append(linked(shingles_of_text(x.as_py()), last_set))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -212,8 +205,6 @@ def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     A pair whose components a link of its part of the cell has joined already needs no set comparison.
     """
-    shingles = Shingles()
-
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp, texts = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("text")
         links: list[tuple[int, int]] = []
@@ -227,7 +218,7 @@ def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
         def of(r: int) -> np.ndarray:
             if r not in sets:
-                sets[r] = shingles.of_text(texts[r].as_py())
+                sets[r] = shingles_of_text(texts[r].as_py())
             return sets[r]
 
         for i, j, estimate in _pairs_of_cells(t):
