@@ -108,7 +108,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mark: str = "<secret>") -> DataFrame:
     """docs with the live-looking secrets' spans in text_col replaced by `mark`; other rows and columns stay as they are."""
-    found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col).where(F.size("found") > 0), "secrets")
+    # the filter comes after the table: pushed below it, it would search every text again
+    found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets").where(F.size("found") > 0)
     live = judged(found).where(F.size("live") > 0).select(F.col("key").alias("__secret_key"), F.array_sort(F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__secret_live"))
     text = F.col(text_col)
 
