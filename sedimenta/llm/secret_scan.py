@@ -29,9 +29,9 @@ BASE = {
 }
 #: Generators of further candidates; group 1 is the secret.
 MORE = {
-    "assign": r"""(?i:authorization|bearer|credentials?|private_?key|access_?key|client_?id|pwd|auth)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?((?=[A-Za-z0-9+/_.=-]*[0-9])(?=[A-Za-z0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,512}+)""",
-    "access": r"((?:A(?:SIA|GPA|IDA|ROA|IPA|NPA|NVA)[A-Z0-9]{16,512}+)|(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,512}+)",
-    "hex": r"(?<![0-9A-Za-z])((?=[0-9]*[A-F])[0-9A-F]{32,512}+)(?![0-9A-Za-z])",
+    "assign": r"""(?i:authorization|bearer|credentials?|private_?key|access_?key|client_?id|pwd|auth)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?((?=[A-Za-z0-9+/_.=-]*[0-9])(?=[A-Za-z0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}+)""",
+    "access": r"((?:A(?:SIA|GPA|IDA|ROA|IPA|NPA|NVA)[A-Z0-9]{16,}+)|(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}+)",
+    "hex": r"(?<![0-9A-Za-z])((?=[0-9]*[A-F])[0-9A-F]{32,}+)(?![0-9A-Za-z])",
 }
 #: A secret that more distinct owners or repositories hold is an example.
 OWNERS, REPOSITORIES = 2, 16

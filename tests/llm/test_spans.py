@@ -94,6 +94,19 @@ def test_redaction_replaces_live_secrets_only(edge_docs, no_docs, edge_texts):
     assert secret_scan.scan(no_docs).collect() == []
 
 
+def test_long_secrets_count_whole(spark):
+    jwt, key = "eyJ" + "aB3_" * 224 + ".", "ghp_" + "x7" * 400
+    modulus = "A1" * 512
+    texts = {1: f"Bearer {jwt} end", 2: f"key {key} end", 3: f"n {modulus} end", 4: f"Bearer {jwt[:600]}Z end"}
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.live] for r in secret_scan.scan(df).collect()}
+    assert got == {1: [(0, 907)], 2: [(4, 808)], 3: [(2, 1026)], 4: [(0, 608)]}
+    assert {r.text for r in secret_scan.redact(df).collect()} == {"<secret> end", "key <secret> end", "n <secret> end"}
+    # owners count by the whole secret, not by what begins alike
+    alike = spark.createDataFrame([(i, f"Bearer {jwt[:600]}{i} end", f"s{i}") for i in range(6)], df.schema)
+    assert all(len(r.live) == 1 and not r.examples for r in secret_scan.scan(alike).collect())
+
+
 def test_op4_and_op6_over_the_table(spark, sf, docs_001):
     for rows, patterns, good in ((pii.op4_pii(spark, sf).collect(), PII, good_pii), (secret_scan.op6_secret_scan(spark, sf).collect(), SECRETS, good_secret)):
         assert len(rows) == len(docs_001)
