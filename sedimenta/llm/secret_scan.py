@@ -3,7 +3,8 @@
 Candidates are the base matches (assignments, access key ids, long hex runs) and what wider generators propose (other
 names and key formats). Every candidate's secret is hashed, and the corpus tells how many distinct repositories and
 owners hold it: one that more than OWNERS owners or REPOSITORIES repositories hold is a widely copied example, the
-others are owner-specific and look live. Base spans always stay; of the proposed ones those that look live.
+others are owner-specific and look live. Where rows don't name a repository, owners alone decide, so one owner's secret
+looks live however many documents hold it. Base spans always stay; of the proposed ones those that look live.
 
 The counts come from an aggregate that first makes (hash, repository) and (hash, owner) distinct, so a secret that a
 third of all documents copy costs one row a task; they go back to the candidates in a join whose hot hashes adaptive
@@ -52,10 +53,11 @@ def with_secret(matches: Column, kind: int, pattern: str, is_base: bool) -> Colu
     )
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str) -> DataFrame:
     """id, key, repo, owner and found: structs (start, kind, end, hash, is_base) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"))
+    repo = F.lit(None) if repo_col is None else F.col(repo_col)
+    df = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), repo.cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"))
     parts = []
     signs = F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))
     wheres = {"base_assign": signs, "base_access": F.contains("text", F.lit("AKIA")), "base_hex": None, "more_assign": F.rlike("text", F.lit(r"(?i)auth|bearer|credential|_?key|client|pwd")), "more_access": None, "more_hex": None}
@@ -90,11 +92,11 @@ def judged(found: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.collect_set(F.when(F.col("live"), span)).alias("live"), F.collect_set(F.when(~F.col("live"), span)).alias("examples"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
     """Every row's id_col with base, live and examples: base all base spans (start, kind, end), live and examples the
     candidates on either side (start, kind, end, is_base).
 
-    Where rows don't name a repository, each counts as its own (repo_col is the id). Null texts count as empty and
+    Where rows don't name a repository (repo_col is None), owners alone decide. Null texts count as empty and
     have no spans; null owners and repositories don't count, so a secret that only they hold looks live. Rows that
     repeat count once. An empty table gives an empty result.
     """
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     return rows.select(id_col, "base", F.coalesce("live", none).alias("live"), F.coalesce("examples", none).alias("examples"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", mark: str = "<secret>") -> DataFrame:
     """docs with the live-looking secrets' spans in text_col replaced by `mark`; other rows and columns stay as they are."""
     # the filter comes after the table: pushed below it, it would search every text again
     found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets").where(F.size("found") > 0)

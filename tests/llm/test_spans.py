@@ -107,6 +107,15 @@ def test_long_secrets_count_whole(spark):
     assert all(len(r.live) == 1 and not r.examples for r in secret_scan.scan(alike).collect())
 
 
+def test_one_owners_secret_is_live_in_any_number_of_documents(spark):
+    rows = [(i, "Bearer abcd1234efgh5678ijkl password=hunter22", "hot") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [(len(r.live), len(r.examples)) for r in secret_scan.scan(df).collect()] == [(2, 0)] * 300
+    assert {r.text for r in secret_scan.redact(df).collect()} == {"<secret> <secret>"}
+    # named repositories still count
+    assert {len(r.live) for r in secret_scan.scan(df, repo_col="doc_id").collect()} == {0}
+
+
 def test_op4_and_op6_over_the_table(spark, sf, docs_001):
     for rows, patterns, good in ((pii.op4_pii(spark, sf).collect(), PII, good_pii), (secret_scan.op6_secret_scan(spark, sf).collect(), SECRETS, good_secret)):
         assert len(rows) == len(docs_001)
