@@ -3,7 +3,7 @@
 A text's subwords are the byte 3- and 4-grams of its words, with a border mark at both ends of a word; each is
 hashed to a bucket with an embedding. A text is the mean of its subwords' embeddings, and a linear softmax over it
 gives the languages. Embeddings and softmax are trained together by stochastic gradient descent in numpy on the
-driver, on a sample whose size is bounded by SAMPLE rows a language, drawn by a hash of the id. On a part of the
+driver, on a sample of at most SAMPLE rows a language and MOST rows in all, drawn by a hash of the id. On a part of the
 sample that training doesn't see, a temperature is fitted, and the rejection threshold is set to MARGIN of the least
 score that a correct prediction has there.
 
@@ -22,11 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import slices
 from .common import table
 
-#: Rows of each language that the sample holds in expectation, and in no case more than MOST rows in all.
+#: Most rows of each language that the sample holds, and most rows in all.
 SAMPLE, MOST = 500, 4000
 BITS, DIM, EPOCHS, BATCH, RATE = 16, 16, 6, 16, 0.5
 #: Below this share of the calibration part's least correct score a prediction is rejected.
@@ -152,14 +153,27 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 
 def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of at most MOST rows: about SAMPLE of each language, those whose id hashes lowest."""
+    """Texts and languages of at most MOST rows, those of each language whose id hashes lowest.
+
+    Every language has the same quota, at most SAMPLE; one with fewer rows gives all it has, and what it leaves is dealt
+    to the others. Only of more than MOST languages those with the fewest rows have none.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), may_learn.alias("may")).where(F.col("may") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST // 8).collect()  # languages, not rows
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()  # languages, not rows
     if not counts:
         return [], []
+    quota, left = SAMPLE, MOST
+    for n, r in enumerate(reversed(counts)):  # what the smaller ones leave is dealt to the larger
+        quota = min(SAMPLE, left // (len(counts) - n))
+        if r["count"] > quota:
+            break
+        left -= r["count"]
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
-    got = rows.where(place < share[F.col("lang")]).select("text", "lang", place.alias("place")).orderBy("place", "text").limit(MOST).collect()
+    # twice the quota and some more pass, so that a language practically never falls short of it
+    limits = docs.sparkSession.createDataFrame([(r["lang"], (2 * quota + 30) / r["count"]) for r in counts], "lang string, below double")
+    near = rows.select("text", "lang", place.alias("place")).join(F.broadcast(limits), "lang").where(F.col("place") < F.col("below"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    got = near.withColumn("rank", rank).where(F.col("rank") <= quota).select("text", "lang").collect()
     got.sort(key=lambda r: (r["lang"], r["text"]))
     return [r["text"] for r in got], [r["lang"] for r in got]
 

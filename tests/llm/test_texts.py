@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -157,6 +158,18 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_languages_stay_in_the_sample(spark):
+    lang = F.when(F.col("doc_id") < 20, "rare").otherwise(F.concat(F.lit("l"), (F.col("doc_id") % 11).cast("string")))
+    docs = spark.range(22020).select(F.col("id").alias("doc_id")).select("doc_id", F.concat(F.lit("word "), F.col("doc_id").cast("string")).alias("text"), lang.alias("lang"))
+    texts, langs = language_id.sample(docs, F.lit(True))
+    counts = Counter(langs)
+    assert counts.pop("rare") == 20 and len(set(texts)) == len(texts) <= language_id.MOST
+    assert set(counts.values()) == {(language_id.MOST - 20) // 11} and len(counts) == 11
+    many = docs.withColumn("lang", F.when(F.col("doc_id") < 600, F.col("doc_id").cast("string")).otherwise("l"))
+    counts = Counter(language_id.sample(many, F.lit(True))[1])
+    assert len(counts) == 601 and counts["l"] == language_id.SAMPLE
+
+
 def test_edges_of_language_id(edge_docs, no_docs, edge_texts):
     model = language_id.train(["the cat and the dog " * 5, "der hund und die katze " * 5] * 20, ["en", "de"] * 20)
     got = {r.doc_id: r for r in language_id.identify(edge_docs, model).collect()}
