@@ -67,7 +67,7 @@ def features(kind: Column, m: Column) -> list[Column]:
 def candidates(df: DataFrame) -> DataFrame:
     """df (with a text column) and column proposed: matches of the generators with the kinds they propose."""
     df = add_matches(df, "number", "text", NUMBER)
-    df = add_matches(df, "spelt", "text", SPELT, F.contains("text", F.lit("dot")) | F.contains("text", F.lit("DOT")))
+    df = add_matches(df, "spelt", "text", SPELT, F.rlike("text", F.lit("(?i)dot")))
     df = add_matches(df, "defanged", "text", DEFANGED, F.rlike("text", F.lit(r"[0-9]\x20?[\[(]")))
     number = F.filter("number", lambda m: F.length(digits(m["text"])).between(7, 19))
     as_kinds = lambda spans, *kinds: F.transform(spans, lambda m: F.struct(F.array(*map(F.lit, kinds)).alias("kinds"), m.alias("m")))

@@ -58,6 +58,13 @@ def test_pii_base_spans_and_added_ones(spark, edge_texts, edge_docs, no_docs):
     assert pii.find(no_docs, model, ["doc_id"]).collect() == []
 
 
+def test_spelt_addresses_in_any_case(spark):
+    texts = {1: "mail bob (at) foo (Dot) com", 2: "mail Bob At Foo Dot Com", 3: "mail bob (at) foo (dot) com"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find(df, pii.fit(spark), ["doc_id"]).collect()}
+    assert got == {1: [(5, pii.EMAIL, 27)], 2: [(5, pii.EMAIL, 23)], 3: [(5, pii.EMAIL, 27)]}
+
+
 def test_trees_as_a_column_give_the_margins_of_numpy(spark):
     r = np.random.default_rng(3)
     x = r.random((400, 3)).round(3)
