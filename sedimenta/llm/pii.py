@@ -1,9 +1,9 @@
 """Personal data: base patterns, and candidates that boosted trees select.
 
 Generators with high recall propose spans (numbers in any grouping as card or phone, spelt-out e-mail addresses,
-defanged addresses), which may overlap each other. Each candidate's format and context are features; boosted trees
+defanged addresses), which may overlap each other: of numbers in a row every piece of whole groups is one. Each candidate's format and context are features; boosted trees
 score it for its kind, and it is selected above a threshold that is calibrated, by kind, to PRECISION on rows that
-fitting didn't see. Of kinds proposed for one span the surest stays. Base spans always stay; a candidate that
+fitting didn't see. Of kinds proposed for one span, and of numbers that overlap, the surest stays. Base spans always stay; a candidate that
 overlaps one is dropped. The trees learn from a small synthetic set, written by invented rules below and cut into candidates by the
 same expressions; its size is EXAMPLES. Everything on the path of the data is a DataFrame function.
 """
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import table
-from .spans import add_matches, digits, joined, luhn, of_kind, without_overlaps
+from .spans import CONTEXT, add_matches, digits, joined, luhn, of_kind, without_overlaps
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 SPAN = "struct<start:int,kind:int,end:int>"
+SCORED = "struct<start:int,kind:int,end:int,over:double>"
 #: The base patterns, in a form that reads no run twice.
 LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = {
@@ -37,7 +38,7 @@ SPELT = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}
 NUMBER = r"(?<![0-9A-Za-z_])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9])++"
 DEFANGED = r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}+){3}"
 
-FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "n_digits", "luhn", "n_separators", "parens", "n_groups", "last_group", "first_digit", "slashes", "dots", "context_phone", "context_card", "context_mail", "context_ip", "context_other", "left_joined", "right_joined", "small_parts")
+FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "n_digits", "luhn", "n_separators", "parens", "n_groups", "last_group", "first_digit", "slashes", "dots", "context_phone", "context_card", "context_mail", "context_ip", "context_other", "left_joined", "right_joined", "small_parts", "first_group", "spaces", "hyphens", "left_gap", "right_gap")
 #: Context words of a kind.
 WORDS = {
     "context_phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|dial|ring|telefon|téléphone|teléfono)\b",
@@ -47,6 +48,8 @@ WORDS = {
     "context_other": r"(?i)\b(?:order|invoice|isbn|version|date|page|section|no|id|serial|part|total|price|année|jahr)\b|[$€£#]\s*$",
 }
 EXAMPLES, PRECISION = 2400, 0.99
+#: Digits of a card or phone, and groups whose lengths are summed at once.
+DIGITS, BLOCK = (7, 19), 64
 
 
 def features(kind: Column, m: Column) -> list[Column]:
@@ -61,22 +64,84 @@ def features(kind: Column, m: Column) -> list[Column]:
         F.size(groups).cast("double"), F.coalesce(F.length(F.try_element_at(groups, F.lit(-1))), F.lit(0)).cast("double"), F.coalesce(F.substring(d, 1, 1).try_cast("double"), F.lit(-1.0)), count("/"), count(r"\."),
         *[flag(F.rlike(near, F.lit(WORDS[w]))) for w in FEATURES[13:18]],
         flag(F.rlike(m["left"], F.lit(r"[\p{L}0-9_@.,/:-]$"))), flag(F.rlike(m["right"], F.lit(r"^[\p{L}0-9_@/:%°]"))), flag(F.forall(groups, lambda g: (F.length(g) <= 3) & (g.try_cast("int") <= 255))),
+        F.coalesce(F.length(F.try_element_at(groups, F.lit(1))), F.lit(0)).cast("double"), count(r"\x20"), count("-"),
+        # 1 where another group of the same run is next to it, 2 where a space is between
+        flag(F.rlike(m["left"], F.lit(r"[0-9][\x20()./-]{1,2}$"))) + flag(F.rlike(m["left"], F.lit(r"[0-9][()./-]?\x20[()./-]?$"))),
+        flag(F.rlike(m["right"], F.lit(r"^[\x20()./-]{1,2}[0-9]"))) + flag(F.rlike(m["right"], F.lit(r"^[()./-]?\x20[()./-]?[0-9]"))),
     ]
 
 
+def pieces(runs: Column) -> Column:
+    """Matches of NUMBER to all their pieces of whole groups with DIGITS digits, which overlap; a run of n groups has at most 13 n.
+
+    A piece begins with the opening bracket or plus directly before its first digit. Places come from sums over blocks
+    of groups, so the work grows with the number of groups.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    # every part is a group with what stands before it; a transform for each step, as a lambda's terms are computed anew at each use
+    cut = F.transform(runs, lambda m: F.struct(m.alias("m"), F.regexp_extract_all(m["text"], F.lit("[^0-9]*[0-9]+"), F.lit(0)).alias("parts")))
+    cut = F.transform(cut, lambda c: F.struct(c["m"].alias("m"), c["parts"].alias("parts"), F.transform(c["parts"], F.length).alias("lengths"), F.transform(c["parts"], lambda p: F.length(digits(p))).alias("sizes")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, b: Column, lengths: Column) -> Column:
+        return F.struct((acc["at"] + total(F.slice(lengths, b * BLOCK + 1, BLOCK))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    blocks = lambda c: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(c["parts"]) - 1) / BLOCK).cast("int")), zero, lambda acc, b: step(acc, b, c["lengths"]), lambda acc: acc["out"])
+    cut = F.transform(cut, lambda c: F.struct(c["m"].alias("m"), c["parts"].alias("parts"), c["lengths"].alias("lengths"), c["sizes"].alias("sizes"), blocks(c).alias("blocks")))
+
+    def of_group(c: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        at = F.element_at(c["blocks"], block + 1) + total(F.slice(c["lengths"], block * BLOCK + 1, i - block * BLOCK))
+        before = F.concat(c["m"]["left"], F.array_join(F.slice(c["parts"], F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""))
+        ends = F.sequence(F.lit(1), F.least(F.lit(DIGITS[1]), F.size(c["parts"]) - i))
+        ends = F.filter(ends, lambda k: total(F.slice(c["sizes"], i + 1, k)).between(*DIGITS))
+        some = F.transform(ends, lambda k: F.struct(k.alias("k"), F.array_join(F.slice(c["parts"], i + 1, k), "").alias("whole")))
+        some = F.transform(some, lambda x: F.struct(x["k"].alias("k"), x["whole"].alias("whole"), F.regexp_replace(x["whole"], r"^[^0-9+]*?(?=\(?[0-9])", "").alias("text")))
+        skipped = lambda x: F.length(x["whole"]) - F.length(x["text"])
+        return F.transform(some, lambda x: F.struct(
+            (c["m"]["start"] + at + skipped(x)).alias("start"), (c["m"]["start"] + at + F.length(x["whole"])).alias("end"), x["text"].alias("text"),
+            F.substring(F.concat(before, F.substring(x["whole"], F.lit(1), skipped(x))), -CONTEXT, CONTEXT).alias("left"),
+            F.substring(F.concat(F.array_join(F.slice(c["parts"], i + x["k"] + 1, CONTEXT), ""), c["m"]["right"]), 1, CONTEXT).alias("right"),
+        ))
+
+    return F.flatten(F.flatten(F.transform(cut, lambda c: F.transform(F.sequence(F.lit(0), F.size(c["parts"]) - 1), lambda i: of_group(c, i)))))
+
+
+def surest(spans: Column) -> Column:
+    """Of SCORED spans those that overlap no surer one that stays; ties go to the longer, then the first.
+
+    One pass in order of the starts cuts them into clusters, which don't overlap; within one, the surest go first.
+    """
+    kind = f"array<{SCORED}>"
+    none = F.array().cast(kind)
+    order = lambda a, b: F.when(a["over"] != b["over"], F.when(a["over"] > b["over"], -1).otherwise(1)).otherwise(F.coalesce(F.nullif((b["end"] - b["start"]) - (a["end"] - a["start"]), F.lit(0)), a["start"] - b["start"]))
+    free = lambda acc, x: ~F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"]))
+    best = lambda xs: F.aggregate(F.array_sort(xs, order), none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    zero = F.struct(F.lit(-1).alias("edge"), none.alias("cluster"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        apart = x["start"] >= acc["edge"]
+        return F.struct(
+            F.greatest(acc["edge"], x["end"]).alias("edge"), F.when(apart, F.array(x)).otherwise(F.concat(acc["cluster"], F.array(x))).alias("cluster"),
+            F.when(apart, F.concat(acc["out"], best(acc["cluster"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], best(acc["cluster"])))
+
+
 def candidates(df: DataFrame) -> DataFrame:
     """df (with a text column) and column proposed: matches of the generators with the kinds they propose."""
     df = add_matches(df, "number", "text", NUMBER)
     df = add_matches(df, "spelt", "text", SPELT, F.rlike("text", F.lit("(?i)dot")))
     df = add_matches(df, "defanged", "text", DEFANGED, F.rlike("text", F.lit(r"[0-9]\x20?[\[(]")))
-    number = F.filter("number", lambda m: F.length(digits(m["text"])).between(7, 19))
+    number = pieces(F.filter("number", lambda m: F.length(digits(m["text"])) >= DIGITS[0]))
     as_kinds = lambda spans, *kinds: F.transform(spans, lambda m: F.struct(F.array(*map(F.lit, kinds)).alias("kinds"), m.alias("m")))
     proposed = F.concat(as_kinds(number, CARD, PHONE), as_kinds(F.col("spelt"), EMAIL), as_kinds(F.col("defanged"), IP))
     return df.withColumn("proposed", proposed).drop("number", "spelt", "defanged")
 
 
 def examples(seed: int = 4) -> list[dict]:
-    """Synthetic texts that hold one span each, with its kind or -1."""
+    """Synthetic texts with their spans (start, kind, end). Some numbers have others beside them."""
     r = random.Random(seed)
     digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
@@ -102,6 +167,9 @@ def examples(seed: int = 4) -> list[dict]:
             f"978-{digit(1)}-{digit(4)}-{digit(4)}-{digit(1)}", f"{digit(3)}.{digit(3)}.{digit(3)}.{digit(3)}.{digit(2)}", f"{digit(2)}.{digit(2)}.{digit(2)} {digit(3)}", f"{digit(12)}", f"{digit(16)}", f"{digit(5)}-{digit(2)}", f"{digit(4)} {digit(4)}", f"{digit(1)} {digit(3)} {digit(3)}", f"{digit(2)}/{digit(2)}/{digit(4)}",
         ])
 
+    def row() -> str:
+        return r.choice("   -./").join(digit(r.choice([1, 1, 2, 3])) for _ in range(r.randint(5, 25)))
+
     out = []
     for n in range(EXAMPLES):
         kind = (PHONE, CARD, EMAIL, IP, -1, -1)[n % 6]
@@ -112,8 +180,25 @@ def examples(seed: int = 4) -> list[dict]:
             body = r.choice([card(False), f"{word()} at {word()} dot {word()}", "[.]".join(str(r.randint(300, 999)) for _ in range(4))])
         if kind == PHONE and not hinted and "(" not in body and body.count("-") != 2:
             kind = -1  # bare digits without context stay
-        out.append({"text": f"{word()} {word()} {r.choice(hint) if hinted else ''}{body}{r.choice(['', '.', ',', ' ' + word()])}", "kind": kind, "part": r.randrange(3)})
-    return out
+        left = f"{word()} {word()} {r.choice(hint) if hinted else ''}"
+        out.append({"left": left, "bodies": [(body, kind)], "right": r.choice(["", ".", ",", " " + word()]), "phones": kind == PHONE and hinted, "part": r.randrange(3)})
+    for x in out:
+        while x["bodies"][0][0][-1].isdigit() and r.random() < 0.4:
+            kind = r.choice((PHONE, PHONE, CARD, -1))
+            body = {PHONE: phone, CARD: lambda: card(True), -1: r.choice((other, row))}[kind]()
+            if kind == PHONE and not x["phones"] and "(" not in body and body.count("-") != 2:
+                kind = -1  # as above
+            x["bodies"].insert(r.randint(0, len(x["bodies"])), (body, kind))
+    texts = []
+    for x in out:
+        text, spans = x["left"], []
+        for n, (body, kind) in enumerate(x["bodies"]):
+            text += r.choice([" ", " ", ". ", "  "]) if n else ""
+            if kind >= 0:
+                spans.append({"start": len(text), "kind": kind, "end": len(text) + len(body)})
+            text += body
+        texts.append({"text": text + x["right"], "spans": spans, "part": x["part"]})
+    return texts
 
 
 class Model:
@@ -123,7 +208,7 @@ class Model:
         self.trees, self.thresholds = trees, thresholds
 
     def selected(self, proposed: Column) -> Column:
-        """Structs (start, kind, end) of the candidates above their kind's threshold."""
+        """Structs (start, kind, end, over) of the candidates above their kind's threshold, and by how much."""
         lowest = F.array(*[F.lit(t) for t in self.thresholds])
         # a row for each kind of a match, the features once, then the trees over them
         seen = F.transform(proposed, lambda p: F.transform(p["kinds"], lambda k: F.struct(p["m"]["start"].alias("start"), k.alias("kind"), p["m"]["end"].alias("end"), F.array(*features(k, p["m"])).alias("x"))))
@@ -131,17 +216,18 @@ class Model:
         over = lambda s: margin(s) - F.element_at(lowest, s["kind"] + 1)
         # of a span's kinds the surest, ties the one listed first
         best = F.transform(seen, lambda kinds: F.array_max(F.transform(kinds, lambda s: F.struct(over(s).alias("over"), (-s["kind"]).alias("before"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
-        return F.array_distinct(F.transform(F.filter(best, lambda s: s["over"] >= 0), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+        return F.array_distinct(F.transform(F.filter(best, lambda s: s["over"] >= 0), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["over"].alias("over"))))
 
 
 def fit(spark: SparkSession) -> Model:
     """Fit on EXAMPLES synthetic texts, cut into candidates by the expressions that the data go through."""
-    rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(examples())), "array<struct<text:string,kind:int,part:int>>")))
-    cut = candidates(rows).select(F.col("kind").alias("truth"), "part", F.explode("proposed").alias("p")).select("truth", "part", "p.m", F.explode("p.kinds").alias("kind"))
-    got = cut.select("truth", "part", "kind", F.array(*features(F.col("kind"), F.col("m"))).alias("x")).collect()
+    rows = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(examples())), "array<struct<text:string,spans:array<struct<start:int,kind:int,end:int>>,part:int>>")))
+    cut = candidates(rows).select("spans", "part", F.explode("proposed").alias("p")).select("spans", "part", "p.m", F.explode("p.kinds").alias("kind"))
+    right = F.exists("spans", lambda s: (s["start"] == F.col("m.start")) & (s["end"] == F.col("m.end")) & (s["kind"] == F.col("kind")))
+    got = cut.select(right.alias("right"), "part", "kind", F.array(*features(F.col("kind"), F.col("m"))).alias("x")).collect()
     x, part = np.array([g["x"] for g in got]), np.array([g["part"] for g in got])
     kind = np.array([g["kind"] for g in got])
-    y = (np.array([g["truth"] for g in got]) == kind).astype(float)
+    y = np.array([g["right"] for g in got]).astype(float)
     trees = boosting.fit(x[part != 0], y[part != 0])
     margin = trees.margin(x)
     held = part == 0
@@ -166,8 +252,12 @@ def find(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "tex
     )
     df = df.withColumn("base", base).drop("email", "ip", "card", "phone")
     df = candidates(df)
-    df = df.withColumn("picked", F.when(F.size("proposed") > 0, model.selected(F.col("proposed"))).otherwise(F.array().cast(f"array<{SPAN}>")))
-    added = F.when(F.size("picked") > 0, without_overlaps(F.col("picked"), F.col("base"), SPAN)).otherwise(F.col("picked"))
+    df = df.withColumn("picked", F.when(F.size("proposed") > 0, model.selected(F.col("proposed"))).otherwise(F.array().cast(f"array<{SCORED}>")))
+    free = F.when(F.size("picked") > 0, without_overlaps(F.col("picked"), F.col("base"), SCORED)).otherwise(F.col("picked"))
+    df = df.withColumn("free", free)
+    is_number = lambda s: s["kind"].isin(CARD, PHONE)
+    chosen = F.when(F.size("free") > 1, F.concat(F.filter("free", lambda s: ~is_number(s)), surest(F.filter("free", is_number)))).otherwise(F.col("free"))
+    added = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return df.select("key.*", "base", added.alias("added"))
 
 

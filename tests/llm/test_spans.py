@@ -65,6 +65,30 @@ def test_spelt_addresses_in_any_case(spark):
     assert got == {1: [(5, pii.EMAIL, 27)], 2: [(5, pii.EMAIL, 23)], 3: [(5, pii.EMAIL, 27)]}
 
 
+def test_adjacent_numbers(spark):
+    phones = ["(578) 555-6437", "(212) 555-1234", "578-555-6437", "212-555-1234"]
+    texts = {
+        1: ("call {} {} now", phones[:2]), 2: ("{}. {}", phones[2:]), 3: ("on 2024-10-12 {} now", phones[2:3]), 4: ("card {} {}", ["4111.1111.1111.1111", phones[1]]),
+        5: ("4111 1111 1111 1111 {}", phones[1:2]), 6: ("no 12345678901234567890 {}", phones[2:3]), 7: ("call " + "{} " * 50, phones[2:] * 25), 8: ("1 2 3 4 5 6 7 8 9 " * 300, []),
+    }
+    df = spark.createDataFrame([(i, t.format(*n)) for i, (t, n) in texts.items()], "doc_id long, text string")
+    for r in pii.find(df, pii.fit(spark), ["doc_id"]).join(df, "doc_id").collect():
+        assert [(r.text[s.start : s.end], s.kind) for s in sorted(r.added)] == [(n, pii.CARD if n.startswith("4111") else pii.PHONE) for n in texts[r.doc_id][1]], r.doc_id
+    rows = [(1, [(0, 3, 10, 1.0), (5, 3, 15, 2.0), (12, 3, 20, 3.0), (20, 2, 30, 0.5)])]
+    df = spark.createDataFrame(rows, f"doc_id long, spans array<{pii.SCORED}>")
+    assert [s.start for s in df.select(pii.surest(F.col("spans")).alias("s")).first().s] == [12, 0, 20]
+
+
+def test_pieces_of_a_long_run_stand_where_they_say(spark):
+    text = "x " + ". ".join(f"({i % 1000:03d}) {i * 7 % 1000:03d}-{i:04d}" for i in range(3)) + " " + " ".join(str(10**(i % 5)) for i in range(200)) + " y"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = [p.m for p in pii.candidates(df).first().proposed]
+    assert len(got) > 500
+    for m in got:
+        assert m.text == text[m.start : m.end] and 7 <= sum(c.isdigit() for c in m.text) <= 19
+        assert text[: m.start].endswith(m.left) and text[m.end :].startswith(m.right)
+
+
 def test_trees_as_a_column_give_the_margins_of_numpy(spark):
     r = np.random.default_rng(3)
     x = r.random((400, 3)).round(3)
