@@ -13,14 +13,14 @@ import functools
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, utf8
@@ -34,8 +34,10 @@ ODD = regex.compile(r"[^\u0000-՗‐-⁤₠-₿←-⏿぀-ゖァ-ヺ㐀-䶵一-
 L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f"
 LATIN = re.compile(f" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
 NOT_LATIN = re.compile("[^\0-\u024f\u2000-\u2064]")
-#: Entries that a worker's memory of pieces holds before it starts anew.
-MEMORY = 600_000
+#: Bytes that each of a worker's memories holds before it starts anew, and the longest piece that one keeps.
+MEMORY, KEPT = 24 << 20, 64
+#: Bytes of an entry besides its key and value: their objects' heads and the table's slot.
+ENTRY = 200
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,18 +48,27 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Memory(dict):
-    """A bounded map from keys to what make() gives."""
+    """A map from keys to what make() gives, bounded by bytes; it begins anew when it is full and keeps no long keys."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
-            self.clear()
-        got = self[key] = self.make(key)
+        got = self.make(key)
+        size = len(key) + len(got) if isinstance(key, str) else 0
+        if size > KEPT * 8:
+            return got
+        if self.held >= MEMORY:
+            self.forget()
+        self.held += size + ENTRY
+        self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class Bpe:
     """Tables of a tokenizers file: token bytes by id, the two parts of each token, merges by pair, the automaton."""
@@ -89,6 +100,7 @@ class Bpe:
             self.automaton.add_word(key.decode("latin-1"), (len(key), i))
         self.automaton.make_automaton()
         self.fits = Memory(lambda pair: self.compatible(*pair))
+        self.memory = Memory(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes())  # a piece's ids as below
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def compatible(self, left: int, right: int) -> bool:
@@ -166,10 +178,10 @@ class Bpe:
             at = m.end()
         yield text[at:], None
 
-    @functools.cached_property
-    def memory(self) -> Memory:
-        """A piece's ids as little-endian unsigned 32-bit integers."""
-        return Memory(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes())
+    def forget(self) -> None:
+        """Give up what was remembered for speed."""
+        self.fits.forget()
+        self.memory.forget()
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers; special strings become special tokens."""
@@ -202,37 +214,56 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encoder(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Parts of an array whose values come to about `most` bytes, or one value."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def by_slices(texts: Iterator[pa.Array], kind: pa.DataType, run: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """run() on the values of slices of each array, its results put together to one array of that kind again."""
+    for t in texts:
+        yield pa.chunked_array([run(part.to_pylist()) for part in slices(t)], kind).combine_chunks()
+
+
+def encoded(path: str, text: Column) -> Column:
+    """The text's ids as little-endian unsigned 32-bit integers; a null text counts as empty. Only the text goes to Python."""
+
+    @F.arrow_udf("binary")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for b in batches:
-            for rows in slices(b):
-                ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
-                # the library's decoder replaces bytes that aren't UTF-8
-                texts = [bpe.decode(x).decode("utf-8", "replace") for x in ids]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+        try:
+            yield from by_slices(texts, pa.binary(), lambda part: pa.array([bpe.encode(t or "") for t in part], pa.binary()))
+        finally:
+            bpe.forget()
 
-    return run
+    return encode.asNondeterministic()(text)  # so that it is computed once
 
 
-def slices(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts (column 1) come to about `most` bytes, or one row."""
-    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
-    while at < len(b):
-        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield b.slice(at, end - at)
-        at = end
+def decoded(path: str, ids: Column) -> Column:
+    """The text of ids; bytes that aren't UTF-8 are replaced, as the library's decoder does. Null ids give a null text."""
+
+    @F.arrow_udf("string")
+    def decode(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load(path)
+        yield from by_slices(column, pa.string(), lambda part: pa.array([None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in part], pa.string()))
+
+    return decode.asNondeterministic()(ids)
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's token ids and the text decoded from them: id_col, ids (binary, little-endian unsigned 32-bit), decoded.
 
-    A null text counts as empty; empty texts have no ids and decode to "". Rows may repeat. Special strings in texts
-    become their special tokens, as the library's default has it. An empty table gives an empty result.
+    A null text counts as empty; empty texts have no ids and decode to "". Very long texts are encoded whole, one at a
+    time. Rows may repeat, null ids are kept, other columns have no influence. Special strings in texts become their
+    special tokens, as the library's default has it. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encoder(path), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col), encoded(path, F.col(text_col)).alias("ids"))
+    return rows.select(id_col, "ids", decoded(path, F.col("ids")).alias("decoded"))
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.session import materialize, shared_dir
+from sedimenta.session import materialize, release, shared_dir
 
-__all__ = ["WORD", "materialize", "shared_dir", "table", "utf8"]
+__all__ = ["WORD", "materialize", "release", "shared_dir", "table", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 

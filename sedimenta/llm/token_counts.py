@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import NOT_LATIN, ODD, Bpe, L, Memory, N, S, load, slices
+from .bpe import NOT_LATIN, ODD, Bpe, L, Memory, N, S, by_slices, load
 from .common import table
 
 #: White space runs with the piece after them: contractions, letters, numbers, others; or a run at the end.
@@ -36,8 +36,7 @@ IS_CONTRACTION = re.compile(f"{CONTRACTION}$")
 
 class PrefixCounter:
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe, self.wide = bpe, {}
-        self.memory = Memory(self.differences)
+        self.bpe, self.memory = bpe, Memory(self.differences)
 
     def piece(self, text: str) -> list[int]:
         """Token counts of a piece's prefixes, by characters, from 0 on."""
@@ -78,14 +77,14 @@ class PrefixCounter:
             return spaces + [before + x for x in self.piece(" " + rest)[2:]]
         return spaces + [before + self.piece(text[run - 1])[1] + x for x in self.chunk(rest)[1:]]
 
-    def differences(self, text: str) -> bytes:
+    def differences(self, text: str) -> bytes | tuple[np.ndarray]:
+        """A chunk's differences, a byte each; an int16 array in a tuple where a byte can't hold one."""
         counts = self.chunk(text)
         d = [b - a for a, b in zip(counts, counts[1:])]  # noqa: B905
         try:
             return array("b", d).tobytes()
         except OverflowError:
-            self.wide[text] = np.array(array("h", d), dtype="<i2")
-            return bytes(len(d))
+            return (np.array(array("h", d), dtype="<i2"),)
 
     def chunks(self, text: str) -> list[str]:
         if text.isascii() or not NOT_LATIN.search(text):
@@ -101,11 +100,11 @@ class PrefixCounter:
         return [*out, held] if held else out
 
     def plain(self, text: str) -> np.ndarray:
-        chunks = self.chunks(text)
-        joined = b"".join(map(self.memory.__getitem__, chunks))
-        if self.wide and any(c in self.wide for c in chunks):
-            return np.concatenate([self.wide.get(c, np.frombuffer(self.memory[c], dtype=np.int8)) for c in chunks])
-        return np.frombuffer(joined, dtype=np.int8)
+        found = list(map(self.memory.__getitem__, self.chunks(text)))
+        try:
+            return np.frombuffer(b"".join(found), dtype=np.int8)
+        except TypeError:  # a wide chunk is among them
+            return np.concatenate([np.frombuffer(x, dtype=np.int8) if isinstance(x, bytes) else x[0] for x in found])
 
     def text(self, text: str) -> np.ndarray:
         """The differences of the counts of a text's prefixes, a number for each character; int8 or int16."""
@@ -122,64 +121,79 @@ class PrefixCounter:
         return joined.astype(np.int8) if len(joined) == 0 or (joined.max() <= 127 and joined.min() >= -128) else joined
 
 
-def prefix_counts(table_bytes: bytes, width: int) -> np.ndarray:
+def _stored(table_bytes, width: int) -> np.ndarray:
+    return np.frombuffer(table_bytes, dtype=np.int8 if width == 1 else "<i2")
+
+
+def prefix_counts(table_bytes, width: int) -> np.ndarray:
     """Token counts of the prefixes of 1, 2, ... characters from a stored table."""
-    return np.cumsum(np.frombuffer(table_bytes, dtype=np.int8 if width == 1 else "<i2"), dtype=np.int64)
+    return np.cumsum(_stored(table_bytes, width), dtype=np.int64)
 
 
-def longest_prefix(table_bytes: bytes, width: int, budget: int) -> int:
+def longest_prefix(table_bytes, width: int, budget: int) -> int:
     """Characters of the longest prefix of at most `budget` tokens."""
     below = np.flatnonzero(prefix_counts(table_bytes, width) <= budget)
     return int(below[-1]) + 1 if len(below) else 0
 
 
-def _count(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+KIND = pa.struct([("n_tokens", pa.int64()), ("width", pa.int32()), ("prefix_table", pa.binary())])
+
+
+def counted(path: str, text: Column) -> Column:
+    """struct(n_tokens, width, prefix_table) of a text; null counts as empty. Only the text goes to Python."""
+
+    @F.arrow_udf("n_tokens long, width int, prefix_table binary")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PrefixCounter(load(path))
-        for b in batches:
-            for rows in slices(b):
-                tables = [counter.text(t or "") for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([int(t.sum(dtype=np.int64)) for t in tables], pa.int64()), pa.array([t.itemsize for t in tables], pa.int32()), pa.array([t.tobytes() for t in tables], pa.binary())],
-                    names=["id", "n_tokens", "width", "prefix_table"],
-                )
 
-    return run
+        def run(part: list) -> pa.Array:
+            tables = [counter.text(t or "") for t in part]
+            columns = [int(t.sum(dtype=np.int64)) for t in tables], [t.itemsize for t in tables], [t.tobytes() for t in tables]
+            return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, KIND, strict=True)], fields=list(KIND))
+
+        try:
+            yield from by_slices(texts, KIND, run)
+        finally:
+            counter.bpe.forget()
+
+    return count.asNondeterministic()(text)  # so that it is computed once
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's token count and prefix table: id_col, n_tokens, width (bytes of an entry), prefix_table.
 
-    A null text counts as empty: no tokens, an empty table. Rows may repeat. An empty input gives an empty result.
+    A null text counts as empty: no tokens, an empty table. Very long texts are counted whole, one at a time. Rows may
+    repeat, null ids are kept, other columns have no influence. An empty input gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_count(path), f"id {kind}, n_tokens long, width int, prefix_table binary").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), counted(path, F.col(text_col)).alias("counted")).select(id_col, "counted.*")
+
+
+def _asked(what: Callable[[bytes, int, int], int], tables: Column, width: Column, asked: Column) -> Column:
+    @F.arrow_udf("long")
+    def answer(stored: pa.Array, width: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.array([what(t.as_buffer(), w.as_py(), max(n.as_py() or 0, 0)) for t, w, n in zip(stored, width, asked, strict=True)], pa.int64())
 
+    return answer(tables, width, asked.cast("long"))
 
-def _answer(what):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            answers = [what(*row) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(answers, pa.int64())], names=["id", "answer"])
 
-    return run
+def count_within(chars: Column | int) -> Column:
+    """From stored columns prefix_table and width: tokens of the text cut to its first `chars` characters (null: 0)."""
+    return _asked(lambda t, w, n: int(_stored(t, w)[:n].sum(dtype=np.int64)), F.col("prefix_table"), F.col("width"), chars if isinstance(chars, Column) else F.lit(chars))
 
 
-def _answers(tables: DataFrame, id_col: str, asked: Column, what, name: str) -> DataFrame:
-    kind = tables.schema[id_col].dataType.simpleString()
-    rows = tables.select(F.col(id_col).alias("id"), "prefix_table", "width", asked.cast("long").alias("asked"))
-    return rows.mapInArrow(_answer(what), f"id {kind}, answer long").withColumnsRenamed({"id": id_col, "answer": name})
+def longest_within(budget: Column | int) -> Column:
+    """From stored columns prefix_table and width: characters of the text's longest prefix of at most `budget` tokens (null: 0)."""
+    return _asked(longest_prefix, F.col("prefix_table"), F.col("width"), budget if isinstance(budget, Column) else F.lit(budget))
 
 
 def tokens_within(tables: DataFrame, chars: Column, id_col: str = "doc_id") -> DataFrame:
     """From stored tables: tokens of each text cut to its first `chars` characters (id_col, n_tokens)."""
-    return _answers(tables, id_col, chars, lambda t, w, n: int(np.frombuffer(t, dtype=np.int8 if w == 1 else "<i2")[: max(n or 0, 0)].sum(dtype=np.int64)), "n_tokens")
+    return tables.select(id_col, count_within(chars).alias("n_tokens"))
 
 
 def chars_within(tables: DataFrame, budget: Column, id_col: str = "doc_id") -> DataFrame:
     """From stored tables: characters of each text's longest prefix of at most `budget` tokens (id_col, n_chars)."""
-    return _answers(tables, id_col, budget, lambda t, w, n: longest_prefix(t, w, n or 0), "n_chars")
+    return tables.select(id_col, longest_within(budget).alias("n_chars"))
 
 
 LIMIT = 512
@@ -188,5 +202,7 @@ LIMIT = 512
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = count_tokens(table(spark, sf_dir, "documents").withColumn("id_bytes", F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))), public_tokenizers.path("byte_bpe_50k.json"), id_col="id_bytes")
-    return counted.select("id_bytes.doc_id", "id_bytes.n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.struct("doc_id", n_bytes.alias("n_bytes")))
+    stored = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), id_col="key")
+    return stored.select("key.doc_id", "key.n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), longest_within(LIMIT).alias("chars_within_limit"))

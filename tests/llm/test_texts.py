@@ -1,6 +1,7 @@
 """Operators 1, 2, 3 and 9: per-text results against libraries and brute force."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -41,6 +42,18 @@ def test_every_token_encodes_to_itself():
         b.ids = b_ids
 
 
+def test_a_workers_memory_is_bounded():
+    made = []
+    memory = bpe.Memory(lambda key: made.append(key) or b"x" * 100)
+    for n in range(3 * bpe.MEMORY // (bpe.ENTRY + 100)):
+        memory[str(n)]
+    assert max(len(memory) * (bpe.ENTRY + 100), memory.held) <= bpe.MEMORY + 1000
+    long = "y" * 10_000
+    assert memory[long] and long not in memory
+    memory.forget()
+    assert not memory and memory.held == 0
+
+
 def test_stable_characters_are_split_as_the_library_splits():
     for text in ("x" * 30_000, " " * 5000 + "x", "ab" * 20_000, "\n \n" * 1000):
         assert np.frombuffer(bpe.load(PATH).encode(text), dtype="<u4").tolist() == ids_of(text)
@@ -161,17 +174,65 @@ def test_language_accuracy_on_held_out_rows(spark):
 def test_rare_languages_stay_in_the_sample(spark):
     lang = F.when(F.col("doc_id") < 20, "rare").otherwise(F.concat(F.lit("l"), (F.col("doc_id") % 11).cast("string")))
     docs = spark.range(22020).select(F.col("id").alias("doc_id")).select("doc_id", F.concat(F.lit("word "), F.col("doc_id").cast("string")).alias("text"), lang.alias("lang"))
-    texts, langs = language_id.sample(docs, F.lit(True))
-    counts = Counter(langs)
-    assert counts.pop("rare") == 20 and len(set(texts)) == len(texts) <= language_id.MOST
+    counts = Counter(x.lang for x in language_id.sample(docs, F.lit(True)) if x.lang)
+    assert counts.pop("rare") == 20
     assert set(counts.values()) == {(language_id.MOST - 20) // 11} and len(counts) == 11
     many = docs.withColumn("lang", F.when(F.col("doc_id") < 600, F.col("doc_id").cast("string")).otherwise("l"))
-    counts = Counter(language_id.sample(many, F.lit(True))[1])
+    counts = Counter(x.lang for x in language_id.sample(many, F.lit(True)) if x.lang)
     assert len(counts) == 601 and counts["l"] == language_id.SAMPLE
 
 
+def small_model():
+    rows = [language_id.examples(f"{a} {n} " * 5, g) for n in range(20) for a, g in (("the cat and the dog", "en"), ("der hund und die katze", "de"))]
+    return language_id.train(sum(rows, []))
+
+
+def brute_prediction(model, text):
+    """The grams of each word with its border marks, one by one."""
+    sums, counts, known = [0] * len(model.langs), 0, 0
+    classes = bytes(int(c) for c in language_id.CLASSES)
+    for word in re.findall(rb"[^\0]+", (text or "").encode().translate(classes)):
+        word = b"\0" + word + b"\0"
+        for n in language_id.GRAMS:
+            for k in range(len(word) - n + 1):
+                h = n
+                for c in word[k : k + n]:
+                    h = (h * 0x01000193 + c) % 2**32
+                h = (h ^ h >> 15) * 0x85EBCA6B % 2**32 >> 32 - language_id.BITS
+                counts, known = counts + 1, known + bool(model.seen[h])
+                sums = [a + int(b) for a, b in zip(sums, model.folded[h], strict=True)]
+    x = np.array(sums) / (max(counts, 1) * language_id.SCALE) + model.bias
+    p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max()), known / max(counts, 1)
+
+
+def test_predictions_are_brute_force(edge_texts):
+    model = small_model()
+    texts = [*edge_texts.values(), "der die das " * 50, "x", "ab", "ÄÖ ü", "the cat, und die katze!"]
+    for text, lang, score, ok in zip(texts, *language_id.predict(model, texts), strict=True):
+        expected, sure, share = brute_prediction(model, text)
+        if text and any(c.isalpha() for c in text):
+            assert lang == expected and score == pytest.approx(sure) and ok == (sure * share >= model.threshold)
+        else:
+            assert (lang, score, ok) == ("und", 0.0, False)
+
+
+def test_junk_and_foreign_texts_are_rejected(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = language_id.fit(docs, F.col("doc_id").isNotNull() & ~language_id.held_out())
+    held = [r for r in docs.where(language_id.held_out()).collect() if r.text and r.lang]
+    lang, _, ok = language_id.predict(model, [r.text for r in held])
+    right = [g == r.lang for g, r, a in zip(lang, held, ok, strict=True) if a]
+    assert np.mean(right) >= language_id.PRECISION and np.mean(ok) > 0.98
+    noise = [j for r in held for j in language_id.junk(r.text[::-1]) if len(j) > 40]
+    assert np.mean(language_id.predict(model, noise)[2]) < 0.03
+    foreign = ["Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt, ja se pitäisi hylätä.", "To jest tekst po polsku, którego model nigdy nie widział.", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ= kJ8dj2K9ddjK2 kfjDKJ39dkjf", "漢字 カナ かな 한국어 텍스트"]
+    assert language_id.predict(model, foreign)[2] == [False] * 4
+
+
 def test_edges_of_language_id(edge_docs, no_docs, edge_texts):
-    model = language_id.train(["the cat and the dog " * 5, "der hund und die katze " * 5] * 20, ["en", "de"] * 20)
+    model = small_model()
     got = {r.doc_id: r for r in language_id.identify(edge_docs, model).collect()}
     assert {i for i, r in got.items() if r.lang_pred == "und"} == {0, 1, 2}
     assert all(r.score == 0 and not r.accepted for i, r in got.items() if i < 3)
