@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import materialize
+from sedimenta.session import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
     both = materialize(ends.union(ends.select("b", "a")).toDF("u", "v").where("u <> v").distinct(), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    table = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("next")), "labels")
     while True:
+        labels = table.select("node", F.col("next").alias("label"))
         heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("heard"))
         near = labels.join(heard, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", "heard").alias("near"))
         jump = labels.select(F.col("node").alias("of"), F.col("label").alias("further"))
-        moved = materialize(near.join(jump, F.col("near") == F.col("of"), "left").select("node", "label", F.least("near", "further").alias("next")), "labels")
-        changed = moved.where("label <> next").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        moved = near.join(jump, F.col("near") == F.col("of"), "left").select("node", "label", F.least("near", "further").alias("next"))
+        last, table = table, materialize(moved, "labels")
+        release(last)
+        if not table.where("label <> next").limit(1).count():
+            release(both)
+            found = table.select("node", F.col("next").alias("component"))
+            found._table_path = table._table_path  # so that release() finds it
+            return found
 
 
 def lineages(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
