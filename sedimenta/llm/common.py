@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sedimenta.session import materialize, release, shared_dir
 
-__all__ = ["WORD", "materialize", "release", "shared_dir", "table", "utf8"]
+__all__ = ["WORD", "hot_keys", "materialize", "release", "salted_join", "shared_dir", "table", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one of so many rows is hot; there are fewer such keys than this.
+SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def utf8(text: Column) -> Column:
     """The text's bytes; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Of rows (keys, n) those with more than 1 / SHARE of `total` rows, with the salts that split them: below SHARE rows."""
+    return counts.where(F.col(n) * SHARE > total).select(*keys, F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).alias("__salts"))
+
+
+def salted_join(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """Inner join of rows with values (one row a key) in which the rows of a hot key are dealt over its salts by a hash of `by`.
+
+    A hot key's value is copied once a salt, so copies come to 2 * SHARE rows at most. hot: of hot_keys(), which has
+    fewer than SHARE rows and is broadcast for that reason.
+    """
+    few = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")), F.lit(0).cast("long"))
+    dealt = rows.join(few, keys, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1).cast("long")) - 1)
+    spread = values.join(few, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
+    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")

@@ -5,15 +5,21 @@ REGISTERS buckets; a bucket keeps its least hash as a leading-zero count and MAN
 empty registers borrow from the first occupied one of a fixed random order of their own. The first ROWS * BANDS registers
 give BANDS keys; estimates use all. A pair at a similarity of 0.75 meets in one with a probability of 1 - (1 - 0.75^4)^32 = 0.999995.
 
-Texts that agree word by word are one class, represented by its smallest id, before anything is compared. Then:
-1. In every bucket of classes, each is paired with the bucket's smallest class (a star, linear in the bucket).
+Texts that agree word by word are one class, whatever their ids, before anything is compared. Then:
+1. In every bucket of classes, each is paired with the bucket's centre (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
 3. Buckets that still hold several components: each class outside the centre's component is compared with all classes
    of other components in the bucket, block by block on registers, and every pair that the estimate leaves possible is
    confirmed inside its block, likeliest first, unless links found there have joined its components. Pairs inside a
-   component need no comparison, so a large group of copies costs its star only. No bucket is capped, and pairs that
-   aren't links leave no task.
+   component need no comparison, so a large group of copies costs its star only.
+4. Crowded buckets, with more than BLOCK such classes (texts of one template, say), are first cut into smaller groups
+   in a way that loses no link: shingles are ordered, those that the centre has last, and two sets that are linked
+   share one within the first part of both (the prefix filter of set similarity joins: of n shingles the first
+   n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger). So classes that share a template but little
+   else don't meet, and step 3 runs on the groups of classes that share such a shingle.
+No bucket is capped, and pairs that aren't links leave no task. Keys with more than a thousandth of the rows (a large
+group of copies has hot buckets and a hot centre) are dealt over salts in every join.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sedimenta.operators.graph import components
 
-from .common import materialize, table
+from .common import hot_keys, materialize, release, salted_join, table
 
 WORDS, SIMILARITY = 5, 75
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 4, 32
@@ -37,7 +44,7 @@ BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Standard errors below the threshold from which on an estimate rules a pair out, and how often two different
 #: registers agree by chance: about a third (equal zero counts) of one in 2^MANTISSA.
 ERRORS, COLLISION = 5.0, 1 / 3 / (1 << MANTISSA)
-#: Classes of a block in step 3.
+#: Classes of a block in step 3; more of them outside the centre's component make a bucket crowded.
 BLOCK = 256
 #: Of each register the order in which it looks for an occupied one, itself first.
 PROBES = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=1)
@@ -109,15 +116,16 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILARITY * (small + large - both)
 
 
-SKETCH = "id long, h1 long, h2 long, n_shingles long, registers binary, bands array<long>"
+SKETCH = "id long, text_key long, h1 long, h2 long, n_shingles long, registers binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text_key, text) to SKETCH."""
     for b in batches:
         for at in range(0, len(b), 1000):
             part, rows = b.slice(at, 1000), []
-            for data in part.column(1).to_pylist():
-                words = (data or b"").lower().split()
+            for value in part.column(2):
+                words = (value.as_py() or b"").lower().split()
                 if not words:
                     rows.append((None, None, 0, None, None))
                     continue
@@ -126,7 +134,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 regs = registers(s)
                 rows.append((int(key[0]), int(key[1]), len(s), regs.tobytes(), bands(regs)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["id", "h1", "h2", "n_shingles", "registers", "bands"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "text_key", "h1", "h2", "n_shingles", "registers", "bands"])
 
 
 def _as_registers(column: pa.Array) -> np.ndarray:
@@ -189,7 +198,7 @@ def _pairs_of_cells(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (cell, side, id, component, registers) that are part of a possible pair."""
+    """The rows (cell, side, node, component, registers) that are part of a possible pair."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(len(t), dtype=bool)
@@ -201,12 +210,12 @@ def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, id, component, registers, text) to links (x, y), likeliest pairs first.
+    """Rows (cell, side, node, component, registers, text) to links (x, y), likeliest pairs first.
 
     A pair whose components a link of its part of the cell has joined already needs no set comparison.
     """
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, comp, texts = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("text")
+        node, comp, texts = t.column("node").to_numpy(), t.column("component").to_numpy(), t.column("text")
         links: list[tuple[int, int]] = []
         last_cell, sets, above = None, {}, {}
         cell = t.column("cell").to_numpy()
@@ -237,67 +246,149 @@ def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     return _by_cell(batches, run)
 
 
-def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """Pairs (x, y) with a class's value on either side: x, y, x_value, y_value. Joined on y last, so rows of one y are neighbours."""
-    return pairs.join(values.select(F.col("id").alias("x"), F.col(value).alias("x_value")), "x").join(values.select(F.col("id").alias("y"), F.col(value).alias("y_value")), "y").select("x", "y", "x_value", "y_value")
+def prefixes(s: np.ndarray, centre: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group keys of a set in a crowded bucket, and for which of them it can be the smaller set of a link."""
+    n = len(s)
+    known = np.isin(s, centre, assume_unique=True)
+    ordered = np.concatenate([s[~known], s[known]])  # both parts are sorted by hash: one order for all sets of the bucket
+    smaller, larger = n + 1 + -2 * SIMILARITY * n // (100 + SIMILARITY), n + 1 + -SIMILARITY * n // 100
+    keys = mix(ordered[:larger] * MULTIPLIER + np.uint64(band % (1 << 64)))
+    return keys.view(np.int64), np.arange(larger) < smaller
 
 
-def _across(shared: DataFrame, found: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (x, y) between different components in the buckets that hold several.
+def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, node, component, text, centre's text) to (group, node, component, first). Rows of one centre come together."""
+    last, centre = None, None
+    for b in batches:
+        for band, node, component, text, other in zip(*b.columns, strict=True):
+            other = other.as_py()
+            if last is None or other != last:
+                last, centre = other, shingles_of_text(other)
+            keys, first = prefixes(shingles_of_text(text.as_py()), centre, band.as_py())
+            same = lambda x: pa.array(np.full(len(keys), x.as_py(), dtype=np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(keys), same(node), same(component), pa.array(first)], names=["group", "node", "component", "first"])
+
+
+def _with(pairs: DataFrame, values: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+    """Pairs (x, y) with a class's value on either side: x, y, x_value, y_value. Rows of one y are neighbours; hot y's are salted."""
+    left = pairs.join(values.select(F.col("node").alias("x"), F.col(value).alias("x_value")), "x")
+    both = salted_join(left, values.select(F.col("node").alias("y"), F.col(value).alias("y_value")), ["y"], hot, "x")
+    return both.select("x", "y", "x_value", "y_value").sortWithinPartitions("y")
+
 
-    The classes outside the bucket centre's component are compared with all of the bucket: their blocks meet its blocks
-    in cells, so a bucket of any size is spread over tasks. Registers select the classes of possible pairs; their texts
-    come to the cells, and only links leave them.
+def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (x, y) between different components among classes of one group, from rows (group, node, component, first).
+
+    One class of a pair is a `first` one. Their blocks meet the group's blocks in cells, so a group of any size is
+    spread over tasks. Registers select the classes of possible pairs; their texts come to the cells, and only links
+    leave them.
     """
-    labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    sizes = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"), F.count("*").alias("n_all")).where("low <> high")
-    open_ = materialize(labelled.join(sizes, "band").select("band", "id", "component", "main", "n_all"), "open")
-    blocks = open_.groupBy("band").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("out_blocks"), F.ceil(F.max("n_all") / BLOCK).alias("all_blocks"))
-    sized = open_.join(blocks, "band")
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    sizes = groups.groupBy("group").agg(F.count_if("first").alias("n_first"), F.count("*").alias("n_all"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = materialize(sizes.where("n_first > 0 AND n_all > 1 AND low <> high").select("group", "n_first", "n_all"), "groups")
+    total = sizes.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
+    blocks = sizes.select("group", F.ceil(F.col("n_first") / BLOCK).alias("first_blocks"), F.ceil(F.col("n_all") / BLOCK).alias("all_blocks"))
+    sized = salted_join(groups, blocks, ["group"], hot_keys(sizes, ["group"], "n_all", total), "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    out_side = sized.where("component <> main").select("band", place("out_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "id", "component")
-    all_side = sized.select("band", upto("out_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "id", "component")
-    cells = out_side.union(all_side).select(F.xxhash64("band", "i", "j").alias("cell"), "side", "id", "component").join(sketch, "id").select("cell", "side", "id", "component", "registers")
+    one = sized.where("first").select("group", place("first_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "node", "component")
+    other = sized.select("group", upto("first_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "node", "component")
+    cells = one.union(other).select(F.xxhash64("group", "i", "j").alias("cell"), "side", "node", "component").join(sketch, "node").select("cell", "side", "node", "component", "registers")
     sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
-    wanted = sorted_(cells).mapInArrow(_select_members, "cell long, side int, id long, component long, registers binary")
-    return sorted_(wanted.join(texts, "id").select("cell", "side", "id", "component", "registers", "text")).mapInArrow(_confirm_cells, "x long, y long").distinct()
+    wanted = sorted_(cells).mapInArrow(_select_members, "cell long, side int, node long, component long, registers binary")
+    with_text = wanted.join(texts, "node").select("cell", "side", "node", "component", "registers", "text")
+    return sorted_(with_text).mapInArrow(_confirm_cells, "x long, y long").distinct()
+
+
+def _groups(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (group, node, component, first) of the buckets that hold several components; crowded ones are cut by prefixes."""
+    labelled = shared.join(found, "node", "left").select("band", "node", "centre", "n", F.coalesce("component", "node").alias("component"))
+    labelled = materialize(labelled, "labelled")
+    mains = labelled.where("node = centre").select("band", F.col("component").alias("main"))
+    sizes = labelled.select("band", "n").distinct()
+    hot = hot_keys(sizes, ["band"], "n", labelled.count())
+    marked = materialize(salted_join(labelled, mains, ["band"], hot, "node").withColumn("first", F.col("component") != F.col("main")), "marked")
+    outside = marked.where("first").groupBy("band", "n").agg(F.count("*").alias("n_first"))
+    opened = materialize(salted_join(marked.drop("n"), outside, ["band"], hot, "node"), "opened")
+    few = opened.where(F.col("n_first") <= BLOCK).select(F.col("band").alias("group"), "node", "component", "first")
+    crowded = opened.where(F.col("n_first") > BLOCK).select("band", "node", "component", "centre").join(texts, "node")
+    crowds = opened.where((F.col("n_first") > BLOCK) & (F.col("node") == F.col("centre"))).groupBy("centre").agg(F.sum("n").alias("n"))
+    total = crowds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    centres = texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
+    beside = salted_join(crowded, centres, ["centre"], hot_keys(crowds, ["centre"], "n", total), "node").sortWithinPartitions("centre")
+    cut = beside.select("band", "node", "component", "text", "centre_text").mapInArrow(_prefix_groups, "group long, node long, component long, first boolean")
+    return materialize(few.union(cut), "members")
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id, text_key (xxhash64 of the text), n_shingles, component (null without words) and component_id."""
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), F.xxhash64(id_).alias("id_key"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    sketches = materialize(rows.drop("id_key").mapInArrow(_sketch, SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    full = sketches.where("n_shingles > 0")
+    classes = materialize(full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("row").alias("node"), F.count("*").alias("n_rows")), "classes")
+    reps = sketches.join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node")
+
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = materialize(banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    total = BANDS * classes.count()
+    shared = materialize(salted_join(banded, buckets, ["band"], hot_keys(buckets, ["band"], "n", total), "node"), "shared")
+    members = shared.select("node").distinct()
+    wanted = materialize(reps.join(members, "node").select("node", "id", "text_key", "registers"), "registers")
+    sketch = wanted.select("node", "registers")
+    named = wanted.select("node", F.xxhash64("id").alias("id_key"), "text_key")
+    # one text of rows that repeat; grouped as joined, so without another shuffle
+    texts = rows.select("id_key", "text_key", "text").join(named, ["id_key", "text_key"])
+    texts = materialize(texts.groupBy("id_key", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
+
+    star = materialize(shared.where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct(), "star")
+    hot = hot_keys(star.groupBy("y").agg(F.count("*").alias("n")), ["y"], "n", star.count())
+    hopeful = _with(star, sketch, "registers", hot).mapInArrow(_estimate, "x long, y long")
+    links = materialize(_with(hopeful, texts, "text", hot).mapInArrow(_confirm, "x long, y long").toDF("a", "b"), "links")
+    found = components(links)
+
+    groups = _groups(shared.where("n > 2"), found, texts)
+    more = materialize(_links_of_groups(groups, sketch, texts).toDF("a", "b"), "links")
+    if more.limit(1).count():
+        release(found)
+        found = components(links.union(more))
+    of_class = materialize(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    release(buckets, shared, wanted, texts, star, links, groups, more, found)
+
+    # a component of one class needs no join; the others' smallest ids go back to their classes
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    n_classes = of_class.count()
+    of_class = salted_join(of_class, least.drop("n"), ["component"], hot_keys(least, ["component"], "n", n_classes), "node")
+    of_class = materialize(of_class.select("h1", "h2", "component", "component_id", "n_rows"), "components")
+    keyed = salted_join(full.select("id", "text_key", "h1", "h2", "n_shingles", "row"), of_class.drop("n_rows"), ["h1", "h2"], hot_keys(of_class, ["h1", "h2"], "n_rows", sketches.count()), "row")
+    nothing = sketches.where("n_shingles = 0").select("id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    return keyed.select(nothing.columns).union(nothing)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id_col, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id).
 
     Ids are integers. Texts that are null or have no word have no shingles and are linked with nothing. Rows with a
-    null id stand for themselves: component_id is the smallest id of their class, null if there is none, and they
-    are not kept. Repeated rows are copies. An empty table gives an empty result.
+    null id link others like any row: their component_id is the smallest id of their component, null if there is none,
+    and they are not kept. Repeated rows are copies; of texts that share an id each is linked by itself. Very long texts
+    are read whole. Other columns have no influence. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
-    full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = materialize(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = sketches.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(banded.join(buckets, "band").select("band", "id", "centre", "n"), "buckets")
-    members = shared.select("id").distinct()
-    sketch = materialize(sketches.join(members, "id", "left_semi").select("id", "registers"), "registers")
-    texts = materialize(rows.join(members, "id", "left_semi"), "texts")
-
-    star = shared.where("id <> centre").select(F.col("id").alias("x"), F.col("centre").alias("y")).distinct()
-    hopeful = _with(star, sketch, "registers").mapInArrow(_estimate, "x long, y long")
-    links = materialize(_with(hopeful, texts, "text").mapInArrow(_confirm, "x long, y long").toDF("a", "b"), "links")
-    found = components(links)
+    rows = labelled_rows(docs, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
-    apart = _across(shared.where("n > 2"), found, sketch, texts)
-    more = materialize(apart.toDF("a", "b"), "links")
-    if more.limit(1).count():
-        found = components(links.union(more))
 
-    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "h1", "h2", "n_shingles").join(of_class, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with its smallest id (null where none has one), then the smallest hash
+    of the text, then of the whole row. Rows without words are in no component; of those with one id and text one stays.
+    """
+    rows = materialize(labelled_rows(docs, id_col, text_col), "rows")
+    first = rows.where(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component", "component_id").agg(F.min("text_key").alias("of_key"))
+    alone = rows.where("component IS NULL").select(F.col("id").alias("component_id"), F.col("text_key").alias("of_key"))
+    keep = first.select("component_id", "of_key").union(alone).distinct().select(F.xxhash64("component_id").alias("__id"), F.col("of_key").alias("__key"))
+    keyed = docs.withColumns({"__id": F.xxhash64(F.col(id_col).cast("long")), "__key": F.xxhash64(text_col), "__tie": F.xxhash64(*docs.columns)})
+    chosen = keyed.join(keep, ["__id", "__key"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__tie"))
+    return chosen.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,56 @@ def test_rows_without_an_id(spark):
     assert got == sorted([(None, 3, False), (3, 3, True), (None, None, False), (None, None, False)], key=repr)
 
 
+def test_ids_that_name_several_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (2, "h i j k l m n"), (None, "o p q r s t u"), (None, "o p q r s t u v"), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("x"))
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.distinct_documents(df).collect()), key=repr)
+    assert got in [sorted([(1, "a b c d e f g"), (1, "h i j k l m n"), (None, t), (None, None), (5, "")], key=repr) for _, t in rows[4:6]]
+    found = {(r.doc_id, r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {(1, 1, 3), (2, 1, 3), (None, None, 3), (None, None, 4), (None, None, 0), (5, 5, 0)}
+    # the links of a row without an id join others
+    words = [f"w{i}" for i in range(40)]
+    chain = [(7, " ".join(words[:30])), (None, " ".join(words[2:32])), (9, " ".join(words[4:34]))]
+    assert {r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()} == {7}
+
+
+def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    n = 20_000
+    template = [f"t{i}" for i in range(60)]
+    # ten words of the template are replaced in one place: pairs have a similarity of about 0.6
+    docs = {i: " ".join(template[: 40] + [f"u{i}x{k}" for k in range(11)] + template[51:]) for i in range(n)}
+    for i in range(0, 200, 2):  # and some are copies but for one word
+        docs[n + i] = docs[i].replace("t59", "other")
+    compared = []
+    links = near_dedup._links_of_groups
+
+    def counted(groups, *rest):
+        sizes = groups.groupBy("group").agg(F.count_if("first").alias("f"), F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
+        compared.append(sizes.where("n > 1 AND a <> b").agg(F.sum(F.col("f") * F.col("n"))).first()[0])
+        return links(groups, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links_of_groups", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert {i for i, c in got.items() if c != i} == {n + i for i in range(0, 200, 2)} and all(got[n + i] == i for i in range(0, 200, 2))
+    assert (compared[0] or 0) < 100 * n
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(3)
+    for _ in range(2000):
+        n = int(r.integers(1, 60))
+        pool = r.permutation(np.arange(1, 3 * n + 9, dtype=np.uint64))
+        a = np.sort(pool[:n])
+        b = np.sort(np.concatenate([a[: int(r.integers(n // 2, n + 1))], pool[n : n + int(r.integers(0, n + 1))]]))
+        centre = np.sort(r.choice(pool, n, replace=False))
+        if near_dedup.linked(a, b):
+            small, large = sorted((a, b), key=len)
+            (x, first), (y, _) = near_dedup.prefixes(small, centre, -5), near_dedup.prefixes(large, centre, -5)
+            assert set(x[first]) & set(y)
+
+
 def test_banding_misses_no_pair_at_the_threshold():
     r = np.random.default_rng(2)
     for n in (3, 4, 8, 40, 300, 2000):
