@@ -46,11 +46,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without a word are never served and go.
     """
     served = mixing.mixed_rows(mixing.weighted_fair_mix(docs))
+    own = mixing.free_prefix(docs.columns)
     # possessive, so that a repetition of thousands of words takes no stack
     word = r"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"
-    pattern = F.concat(F.lit(f"^{word}{{"), F.col("wfq_words"), F.lit("}+"))
+    pattern = F.concat(F.lit(f"^{word}{{"), F.col(own + "words"), F.lit("}+"))
     first = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
-    text = F.when(F.col("wfq_words") < F.col("wfq_size"), first).otherwise(F.col("text"))
+    text = F.when(F.col(own + "words") < F.col(own + "size"), first).otherwise(F.col("text"))
     return served.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
