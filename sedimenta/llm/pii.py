@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import table
-from .spans import CONTEXT, add_matches, digits, joined, luhn, of_kind, without_overlaps
+from .spans import CONTEXT, add_matches, digits, joined, let, luhn, of_kind, running, without_overlaps
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -34,7 +34,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Candidate generators.
-SPELT = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Z0-9-]{1,64}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Z0-9-]{1,64}+){1,6}+"
+SPELT = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[A-Z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Z0-9-]++)++"
 NUMBER = r"(?<![0-9A-Za-z_])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9])++"
 DEFANGED = r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}+){3}"
 
@@ -48,8 +48,8 @@ WORDS = {
     "context_other": r"(?i)\b(?:order|invoice|isbn|version|date|page|section|no|id|serial|part|total|price|année|jahr)\b|[$€£#]\s*$",
 }
 EXAMPLES, PRECISION = 2400, 0.99
-#: Digits of a card or phone, and groups whose lengths are summed at once.
-DIGITS, BLOCK = (7, 19), 64
+#: Digits of a card or phone.
+DIGITS = (7, 19)
 
 
 def features(kind: Column, m: Column) -> list[Column]:
@@ -74,24 +74,17 @@ def features(kind: Column, m: Column) -> list[Column]:
 def pieces(runs: Column) -> Column:
     """Matches of NUMBER to all their pieces of whole groups with DIGITS digits, which overlap; a run of n groups has at most 13 n.
 
-    A piece begins with the opening bracket or plus directly before its first digit. Places come from sums over blocks
-    of groups, so the work grows with the number of groups.
+    A piece begins with the opening bracket or plus directly before its first digit.
     """
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     # every part is a group with what stands before it; a transform for each step, as a lambda's terms are computed anew at each use
     cut = F.transform(runs, lambda m: F.struct(m.alias("m"), F.regexp_extract_all(m["text"], F.lit("[^0-9]*[0-9]+"), F.lit(0)).alias("parts")))
-    cut = F.transform(cut, lambda c: F.struct(c["m"].alias("m"), c["parts"].alias("parts"), F.transform(c["parts"], F.length).alias("lengths"), F.transform(c["parts"], lambda p: F.length(digits(p))).alias("sizes")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, b: Column, lengths: Column) -> Column:
-        return F.struct((acc["at"] + total(F.slice(lengths, b * BLOCK + 1, BLOCK))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-
-    blocks = lambda c: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(c["parts"]) - 1) / BLOCK).cast("int")), zero, lambda acc, b: step(acc, b, c["lengths"]), lambda acc: acc["out"])
-    cut = F.transform(cut, lambda c: F.struct(c["m"].alias("m"), c["parts"].alias("parts"), c["lengths"].alias("lengths"), c["sizes"].alias("sizes"), blocks(c).alias("blocks")))
+    lengths = lambda c: F.transform(c["parts"], F.length)
+    sizes = lambda c: F.transform(c["parts"], lambda p: F.length(digits(p)))
+    cut = F.transform(cut, lambda c: F.struct(c["m"].alias("m"), c["parts"].alias("parts"), sizes(c).alias("sizes"), running(lengths(c), lambda a, x: a + x, 0).alias("ats")))
 
     def of_group(c: Column, i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        at = F.element_at(c["blocks"], block + 1) + total(F.slice(c["lengths"], block * BLOCK + 1, i - block * BLOCK))
+        at = F.element_at(c["ats"], i + 1)
         before = F.concat(c["m"]["left"], F.array_join(F.slice(c["parts"], F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""))
         ends = F.sequence(F.lit(1), F.least(F.lit(DIGITS[1]), F.size(c["parts"]) - i))
         ends = F.filter(ends, lambda k: total(F.slice(c["sizes"], i + 1, k)).between(*DIGITS))
@@ -110,23 +103,23 @@ def pieces(runs: Column) -> Column:
 def surest(spans: Column) -> Column:
     """Of SCORED spans those that overlap no surer one that stays; ties go to the longer, then the first.
 
-    One pass in order of the starts cuts them into clusters, which don't overlap; within one, the surest go first.
+    In order of their starts a span begins a cluster if none before it reaches it; clusters don't overlap. Within one the
+    surest go first, which takes the square of the cluster's size, not of all spans.
     """
-    kind = f"array<{SCORED}>"
-    none = F.array().cast(kind)
-    order = lambda a, b: F.when(a["over"] != b["over"], F.when(a["over"] > b["over"], -1).otherwise(1)).otherwise(F.coalesce(F.nullif((b["end"] - b["start"]) - (a["end"] - a["start"]), F.lit(0)), a["start"] - b["start"]))
+    none = F.array().cast(f"array<{SCORED}>")
+    size = lambda s: s["end"] - s["start"]
+    tie = lambda a, b: F.coalesce(F.nullif(size(b) - size(a), F.lit(0)), a["start"] - b["start"])
+    order = lambda a, b: F.when(a["over"] > b["over"], -1).when(a["over"] < b["over"], 1).otherwise(tie(a, b))
     free = lambda acc, x: ~F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"]))
     best = lambda xs: F.aggregate(F.array_sort(xs, order), none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    zero = F.struct(F.lit(-1).alias("edge"), none.alias("cluster"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["edge"]
-        return F.struct(
-            F.greatest(acc["edge"], x["end"]).alias("edge"), F.when(apart, F.array(x)).otherwise(F.concat(acc["cluster"], F.array(x))).alias("cluster"),
-            F.when(apart, F.concat(acc["out"], best(acc["cluster"]))).otherwise(acc["out"]).alias("out"),
-        )
+    def of(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: x["end"]), F.greatest, -1)
+        opens = let(reach, lambda r: F.filter(F.transform(xs, lambda x, i: F.when(x["start"] >= F.element_at(r, i + 1), i + 1)), lambda i: i.isNotNull()))
+        until = lambda o, n: F.coalesce(F.get(o, n + 1), F.size(xs) + 1)
+        return let(opens, lambda o: F.flatten(F.transform(o, lambda i, n: best(F.slice(xs, i, until(o, n) - i)))))
 
-    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], best(acc["cluster"])))
+    return let(F.array_sort(spans), of)
 
 
 def candidates(df: DataFrame) -> DataFrame:

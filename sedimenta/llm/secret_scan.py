@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .spans import add_matches, joined, without_overlaps
+from .spans import add_matches, cut_out, joined, without_overlaps
 
 KINDS = ("assign", "access", "hex")
 ASSIGN, ACCESS, HEX = range(3)
@@ -30,7 +30,8 @@ BASE = {
 }
 #: Generators of further candidates; group 1 is the secret.
 MORE = {
-    "assign": r"""(?i:authorization|bearer|credentials?|private_?key|access_?key|client_?id|pwd|auth)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?((?=[A-Za-z0-9+/_.=-]*[0-9])(?=[A-Za-z0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}+)""",
+    "assign": r"""(?i:authorization|bearer|credentials?|private_?key|access_?key|client_?id|pwd|auth)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?"""
+    r"((?=[A-Za-z0-9+/_.=-]*[0-9])(?=[A-Za-z0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}+)",
     "access": r"((?:A(?:SIA|GPA|IDA|ROA|IPA|NPA|NVA)[A-Z0-9]{16,}+)|(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}+)",
     "hex": r"(?<![0-9A-Za-z])((?=[0-9]*[A-F])[0-9A-F]{32,}+)(?![0-9A-Za-z])",
 }
@@ -98,7 +99,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
     Where rows don't name a repository (repo_col is None), owners alone decide. Null texts count as empty and
     have no spans; null owners and repositories don't count, so a secret that only they hold looks live. Rows that
-    repeat count once. An empty table gives an empty result.
+    repeat count once. Very long texts are searched whole, in time that grows with the text and its matches. Other
+    columns have no influence. An empty table gives an empty result.
     """
     found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets")
     verdicts = judged(found)
@@ -109,20 +111,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", mark: str = "<secret>") -> DataFrame:
-    """docs with the live-looking secrets' spans in text_col replaced by `mark`; other rows and columns stay as they are."""
+    """docs with the live-looking secrets' spans in text_col replaced by `mark`; other rows and columns stay as they are.
+
+    Nulls, repeated rows and very long texts as in scan(); overlapping spans become one mark. An empty table gives an
+    empty result.
+    """
     # the filter comes after the table: pushed below it, it would search every text again
     found = materialize(candidates(docs, id_col, text_col, repo_col, owner_col), "secrets").where(F.size("found") > 0)
-    live = judged(found).where(F.size("live") > 0).select(F.col("key").alias("__secret_key"), F.array_sort(F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__secret_live"))
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("__secret_live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    live = judged(found).where(F.size("live") > 0).select(F.col("key").alias("__secret_key"), F.col("live").alias("__secret_live"))
     rows = docs.withColumn("__secret_key", row_key(id_col, text_col)).join(live, "__secret_key", "left")
-    return rows.withColumn(text_col, F.when(F.col("__secret_live").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = cut_out(F.col(text_col), F.col("__secret_live"), mark)
+    return rows.withColumn(text_col, F.when(F.col("__secret_live").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,33 @@ from pyspark.sql import functions as F
 #: A match: its place, its text, and up to CONTEXT characters on either side.
 CONTEXT = 24
 FOUND = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
+#: Numbers that a running total adds up at once.
+BLOCK = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda's outer terms are computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column, plus: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Of an array of integers what plus() gives over the elements before each, from zero on: an array of the same size.
+
+    Blocks are summed first, then the elements of one's own block, so an array grows by one element a block only.
+    """
+    whole = lambda xs: F.aggregate(xs, F.lit(zero), lambda a, x: plus(a, x))
+    block_of = lambda i: F.floor(i / BLOCK).cast("int")
+
+    def step(acc: Column, b: Column, xs: Column) -> Column:
+        return F.struct(plus(acc["at"], whole(F.slice(xs, b * BLOCK + 1, BLOCK))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def of(xs: Column) -> Column:
+        empty = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        blocks = F.aggregate(F.sequence(F.lit(0), block_of(F.size(xs) - 1)), empty, lambda acc, b: step(acc, b, xs), lambda acc: acc["out"])
+        own = lambda i: whole(F.slice(xs, block_of(i) * BLOCK + 1, i - block_of(i) * BLOCK))
+        return let(blocks, lambda o: F.transform(xs, lambda x, i: plus(F.element_at(o, block_of(i) + 1), own(i))))
+
+    return let(numbers, lambda xs: F.when(F.size(xs) > 0, of(xs)).otherwise(F.array().cast("array<int>")))
 
 
 def add_matches(df: DataFrame, name: str, text: str, pattern: str, where: Column | None = None) -> DataFrame:
@@ -26,15 +53,17 @@ def add_matches(df: DataFrame, name: str, text: str, pattern: str, where: Column
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
     size = F.size(hits)
     pieces = F.arrays_zip(F.slice(gaps, 1, size).alias("gap"), F.col(hits).alias("hit"), F.slice(gaps, 2, size).alias("next"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"), F.substring(x["gap"], -CONTEXT, CONTEXT).alias("left"), F.substring(x["next"], 1, CONTEXT).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        left, right = F.substring(x["gap"], -CONTEXT, CONTEXT), F.substring(x["next"], 1, CONTEXT)
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("text"), left.alias("left"), right.alias("right"))
 
-    spans = F.when(size > 0, F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(FOUND))
+    def of(p: Column) -> Column:
+        at = running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, x: a + x, 0)
+        return let(at, lambda at: F.transform(p, lambda x, i: one(x, F.element_at(at, i + 1))))
+
+    spans = F.when(size > 0, let(pieces, of)).otherwise(F.array().cast(FOUND))
     return df.withColumn(name, spans).drop(hits, gaps)
 
 
@@ -52,31 +81,41 @@ def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
 def without_overlaps(some: Column, base: Column, element: str) -> Column:
     """The elements of `some` (structs of type `element` with start and end) that overlap none of base (structs with both too).
 
-    Two sweeps over the spans in order of their starts, forwards for base spans that begin before and backwards for
-    those that begin after, so the work grows with the number of spans, not with pairs of them.
+    In one order, base spans by their start and the others by their end: an element overlaps if a base span before it
+    in that order, so one that starts before the element's end, ends after the element's start.
     """
     blank = F.lit(None).cast(element)
     tagged = F.concat(
-        F.transform(base, lambda b: F.struct(b["start"].alias("at"), b["end"].alias("till"), F.lit(0).alias("tag"), blank.alias("it"))),
-        F.transform(some, lambda x: F.struct(x["start"].alias("at"), x["end"].alias("till"), F.lit(1).alias("tag"), x.alias("it"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("tag"), b["end"].alias("till"), blank.alias("it"))),
+        F.transform(some, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("tag"), F.lit(-1).alias("till"), x.alias("it"))),
     )
-    kind = f"array<struct<at:int,till:int,tag:int,it:{element}>>"
-    # a stable order that needs no comparison of the elements themselves
-    order = lambda spans: F.array_sort(spans, lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["tag"] - b["tag"]))
 
-    def sweep(spans: Column, first: Column, hits, moved) -> Column:
-        zero = F.struct(first.alias("edge"), F.array().cast(kind).alias("out"))
+    def of(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda x: x["till"]), F.greatest, -1)
+        kept = let(reach, lambda r: F.filter(spans, lambda x, i: (x["tag"] == 0) & (F.element_at(r, i + 1) <= x["it"]["start"])))
+        return F.transform(kept, lambda x: x["it"])
+
+    return let(F.array_sort(tagged), of)
 
-        def step(acc: Column, x: Column) -> Column:
-            is_base = x["tag"] == 0
-            keep = is_base | ~hits(acc["edge"], x)
-            return F.struct(F.when(is_base, moved(acc["edge"], x)).otherwise(acc["edge"]).alias("edge"), F.when(keep, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+def cut_out(text: Column, spans: Column, mark: str) -> Column:
+    """The text with spans (structs start, end in code points, which may overlap) replaced by a mark, adjacent ones by one each.
 
-    ahead = sweep(order(tagged), F.lit(-1), lambda edge, x: x["at"] < edge, lambda edge, x: F.greatest(edge, x["till"]))
-    back = sweep(F.reverse(ahead), F.lit(2**31 - 1), lambda edge, x: edge < x["till"], lambda edge, x: F.least(edge, x["at"]))
-    return F.transform(F.filter(F.reverse(back), lambda x: x["tag"] == 1), lambda x: x["it"])
+    Cut from four bytes a code point, so a piece is found without reading what stands before it.
+    """
+    wide, blank = F.encode(text, "UTF-32"), F.encode(F.lit(" "), "UTF-32")
+    # a blank before each piece, since decoding drops a byte order mark at the start
+    piece = lambda w, a, b: F.substring(F.decode(F.concat(blank, F.substring(w, a * 4 + 1, (b - a) * 4)), "UTF-32"), F.lit(2), b - a)
+
+    def of(w: Column, s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), F.greatest, 0)
+        fresh = lambda r: F.filter(F.transform(s, lambda x, i: F.struct(F.element_at(r, i + 1).alias("a"), x["start"].alias("b"))), lambda x: x["b"] >= x["a"])
+        before = let(reach, lambda r: F.transform(fresh(r), lambda x: F.concat(piece(w, x["a"], x["b"]), F.lit(mark))))
+        end = F.array_max(F.transform(s, lambda x: x["end"]))
+        return F.concat(F.array_join(before, ""), piece(w, end, F.floor(F.octet_length(w) / 4).cast("int")))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) > 0, let(wide, lambda w: let(ordered, lambda s: of(w, s)))).otherwise(text)
 
 
 def digits(text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sedimenta.llm import boosting, pii, secret_scan
+from sedimenta.llm import boosting, pii, secret_scan, spans
 from sedimenta.llm.spans import joined
 
 PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -155,3 +156,46 @@ def test_op4_and_op6_over_the_table(spark, sf, docs_001):
             assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
             assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
             assert [getattr(r, f"n_{k}") for k, _ in patterns] == [base.count(f"{k}:") for k, _ in patterns]
+
+
+def test_many_spans_of_one_text_take_linear_time(spark):
+    n = 100_000
+    text = "é﻿" + "token=abcdef1 " * n + "Bearer abcd1234efgh5678ijkl \U0001f600"
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    assert len(secret_scan.scan(df).first().live) == n + 1
+    assert secret_scan.redact(df).first().text == "é﻿" + "<secret> " * (n + 1) + "\U0001f600"
+    assert time.time() - began < 300
+    mails = "a@b.cd, tel (578) 555-6437; " * (n // 4)
+    found = pii.find(spark.createDataFrame([(1, mails)], "doc_id long, text string"), pii.fit(spark), ["doc_id"]).first()
+    assert len(found.base) == n // 4 and len(found.added) == n // 4
+    assert time.time() - began < 600
+
+
+def test_a_secret_of_a_million_characters_is_redacted_whole(spark):
+    text = "Bearer " + "aB3_" * 250_000 + " end"
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    assert secret_scan.redact(df).first().text == "<secret> end"
+
+
+def test_running_totals_and_overlaps_against_loops(spark):
+    r = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 500):
+        numbers = [int(x) for x in r.integers(0, 50, n)]
+        df = spark.createDataFrame([(numbers,)], "x array<int>")
+        got = df.select(spans.running(F.col("x"), lambda a, x: a + x, 0).alias("s"), spans.running(F.col("x"), F.greatest, -1).alias("m")).first()
+        assert got.s == [sum(numbers[:i]) for i in range(n)] and got.m == [max(numbers[:i], default=-1) for i in range(n)]
+    for _ in range(20):
+        base, some = ([(int(a), int(a + d)) for a, d in zip(r.integers(0, 300, n), r.integers(1, 20, n), strict=True)] for n in (25, 40))
+        kind = "array<struct<start:int,end:int>>"
+        df = spark.createDataFrame([(base, some)], f"base {kind}, some {kind}")
+        got = df.select(spans.without_overlaps(F.col("some"), F.col("base"), "struct<start:int,end:int>").alias("x")).first().x
+        assert sorted(map(tuple, got)) == sorted(s for s in some if not any(a < s[1] and s[0] < e for a, e in base))
+        text = "".join(r.choice(list("aé\U0001f600﻿"), 330))
+        out = spark.createDataFrame([(text, base)], f"t string, s {kind}").select(spans.cut_out(F.col("t"), F.col("s"), "#").alias("x")).first().x
+        expected, at = "", 0
+        for a, e in sorted(base):
+            if a >= at:
+                expected += text[at:a] + "#"
+            at = max(at, e)
+        assert out == expected + text[at:]
