@@ -27,10 +27,10 @@ from .common import table, utf8
 
 #: Fixed values of the WAV format: chunk ids, PCM, the header's size.
 RIFF, WAVE_FMT, DATA, PCM, HEADER = b"RIFF", b"WAVEfmt ", b"data", 1, 44
-RATE, UP, DOWN, TAPS = 16000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16000, 5, 8, 16
 WINDOW, HOP, FFT, MELS, FRAMES = 256, 128, 256, 32, 64
 HIGH, LOW, LEAST = 0.6, 0.4, 3
-#: Frames that are computed at once.
+#: Frames, or outputs of a phase, that are computed at once.
 BLOCK = 4096
 ALIGN = 64
 
@@ -75,16 +75,12 @@ def read_wav(data) -> tuple[np.ndarray, int]:
 
 
 @functools.cache
-def filters() -> np.ndarray:
-    """Windowed-sinc low-pass at the lower of both rates, by phase: UP x (2 * TAPS + 1)."""
-    t = np.arange(-TAPS * UP, TAPS * UP + UP)[: (2 * TAPS + 1) * UP]
-    cut = min(1.0, UP / DOWN)
-    h = np.sinc(cut * t / UP) * np.hanning(2 * TAPS * UP + 3)[1 : 1 + len(t)]
-    bank = np.zeros((UP, 2 * TAPS + 1))
-    for p in range(UP):
-        bank[p] = h[p::UP][: 2 * TAPS + 1]
-        bank[p] /= bank[p].sum()
-    return bank.astype(np.float32)
+def filters(up: int, down: int) -> np.ndarray:
+    """Windowed-sinc low-pass at the lower of both rates, by phase: row p weighs the samples around an output p / up after one."""
+    half = -(-TAPS * max(2 * up, down) // (2 * up))  # as many zero crossings at any ratio
+    t = np.arange(-half, half + 1)[None, :] - np.arange(up)[:, None] / up
+    bank = np.sinc(min(1.0, up / down) * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1)))
+    return (bank / bank.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 @functools.cache
@@ -97,16 +93,19 @@ def mel_bank(rate: float) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Samples at UP / DOWN times their rate; output k lies at input k * DOWN / UP."""
-    bank, n = filters(), -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS, np.float32), x, np.zeros(TAPS + DOWN, np.float32)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * TAPS + 1)
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Samples at up / down times their rate; output k lies at input k * down / up. Each phase filters every up-th output."""
+    bank, n = filters(up, down), -(-len(x) * up // down)
+    half = bank.shape[1] // 2
+    padded = np.concatenate([np.zeros(half, np.float32), x, np.zeros(half + down, np.float32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, bank.shape[1])
     out = np.empty(n, dtype=np.float32)
-    for k in range(min(UP, n)):
-        begin, phase = divmod(k * DOWN, UP)
-        m = len(range(k, n, UP))
-        out[k::UP] = windows[begin : begin + DOWN * (m - 1) + 1 : DOWN] @ bank[phase]
+    for first in range(min(up, n)):
+        begin, phase = divmod(first * down, up)
+        for k in range(first, n, up * BLOCK):
+            own = out[k : k + up * BLOCK : up]
+            at = begin + down * ((k - first) // up)
+            own[:] = windows[at : at + down * (len(own) - 1) + 1 : down] @ bank[phase]
     return out
 
 
@@ -165,36 +164,51 @@ def read_tensors(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<start_s double, end_s double>>, tensors binary"
+FEATURES = "reason string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<start_s double, end_s double>>, tensors binary"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def features_of(media, up: int = UP, down: int = DOWN) -> tuple:
+    """FEATURES of one clip; the reason is null unless media is no clip, and then all others are."""
+    try:
+        samples, rate = read_wav(b"" if media is None else media)
+    except (ValueError, struct.error) as e:
+        return "no media" if media is None else str(e), *[None] * 6
+    rate = rate * up / down
+    mel = log_mel(resample((samples.astype(np.float32) - 128) / 128, up, down), rate)
+    found = [{"start_s": a * HOP / rate, "end_s": ((e - 1) * HOP + WINDOW) / rate} for a, e in segments(mel)]
+    return None, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(mel), found, tensors(mel, rate)
+
+
+def _features(up: int, down: int):
     spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), spans, pa.binary()]
-    for b in batches:
-        held, size, at = [], 0, 0
-        for i in range(len(b)):
-            samples, rate = read_wav(b.column(1)[i].as_buffer())
-            x = (samples.astype(np.float32) - 128) / 128
-            rate = rate * UP / DOWN
-            mel = log_mel(resample(x), rate)
-            found = [{"start_s": a * HOP / rate, "end_s": ((e - 1) * HOP + WINDOW) / rate} for a, e in segments(mel)]
-            held.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(mel), found, tensors(mel, rate)))
-            size += len(held[-1][-1])
-            if size > 8 << 20 or i == len(b) - 1:
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : i + 1], *(pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True))], names=["key", *(x.split()[0] for x in FEATURES.replace("<struct<start_s double, end_s double>>", "").split(", "))])
-                held, size, at = [], 0, i + 1
-
-
-def audio_features(clips: DataFrame, key_col: str, media_col: str = "media") -> DataFrame:
-    """Features of every clip: key_col, payload_bytes (samples), payload_sha256, tail_crc32 (of the last 64 samples), n_frames,
-    segments (spans in seconds) and tensors (an Arrow stream, see read_tensors()).
-
-    Rows may repeat. A clip without samples has one frame of silence. A media value that is null or no WAV of 8-bit mono
-    PCM raises ValueError: filter such rows first. An empty table gives an empty result.
+    names = ["reason", "payload_bytes", "payload_sha256", "tail_crc32", "n_frames", "segments", "tensors"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), spans, pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size, at = [], 0, 0
+            for i in range(len(b)):
+                held.append(features_of(b.column(1)[i].as_buffer(), up, down))
+                size += len(held[-1][-1] or b"")
+                if size > 8 << 20 or i == len(b) - 1:
+                    columns = [pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0)[at : i + 1], *columns], names=["key", *names])
+                    held, size, at = [], 0, i + 1
+
+    return run
+
+
+def audio_features(clips: DataFrame, key_col: str, media_col: str = "media", up: int = UP, down: int = DOWN) -> DataFrame:
+    """Features of every clip, resampled by up / down: key_col, reason, payload_bytes (samples), payload_sha256, tail_crc32 (of
+    the last 64 samples), n_frames, segments (spans in seconds) and tensors (an Arrow stream, see read_tensors()).
+
+    Rows may repeat, null keys are kept, other columns have no influence. A clip without samples has one frame of
+    silence; long ones are read whole. Where media is null or no WAV of 8-bit mono PCM, reason says so and the features
+    are null. An empty table gives an empty result.
     """
     kind = clips.schema[key_col].dataType.simpleString()
-    return clips.select(F.col(key_col).alias("key"), F.col(media_col).alias("media")).mapInArrow(_features, f"key {kind}, {FEATURES}").withColumnRenamed("key", key_col)
+    rows = clips.select(F.col(key_col).alias("key"), F.col(media_col).alias("media"))
+    return rows.mapInArrow(_features(up, down), f"key {kind}, {FEATURES}").withColumnRenamed("key", key_col)
 
 
 def text_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,15 +128,56 @@ def test_audio_features_of_a_tone(spark):
     mel = chunks.column("log_mel").chunk(0).to_numpy_ndarray()
     assert mel.shape[1:] == (audio.FRAMES, audio.MELS)
     loud = mel.reshape(-1, audio.MELS)[60].argmax()
-    assert abs(audio.mel_bank(8000)[:, loud].argmax() * 8000 / audio.FFT - 1000) < 100
+    assert abs(audio.mel_bank(10000)[:, loud].argmax() * 10000 / audio.FFT - 1000) < 100
     assert chunks.column("n_frames").to_pylist()[-1] <= audio.FRAMES
 
 
-def test_resampling_keeps_a_low_tone_and_drops_a_high_one():
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (5, 8), (160, 441), (3, 2), (7, 1)])
+def test_resampling_keeps_a_low_tone_and_drops_a_high_one(up, down):
     t = np.arange(16000) / 16000
-    low, high = (audio.resample(np.sin(2 * np.pi * f * t).astype(np.float32)) for f in (500, 7000))
-    assert np.abs(low[100:-100] - np.sin(2 * np.pi * 500 * t[::2])[100:-100]).max() < 0.02
-    assert np.abs(high[100:-100]).max() < 0.05
+    low, high = (audio.resample(np.sin(2 * np.pi * f * t).astype(np.float32), up, down) for f in (500, 7600))
+    at = np.arange(len(low)) * down / up / 16000
+    assert len(low) == -(-16000 * up // down)
+    assert np.abs(low - np.sin(2 * np.pi * 500 * at))[200:-200].max() < 0.005
+    if up < down:
+        assert np.abs(high[200:-200]).max() < 0.1
+
+
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (5, 8), (160, 441), (3, 2)])
+def test_resampling_is_a_convolution(up, down):
+    x = np.random.default_rng(0).normal(size=700).astype(np.float32)
+    half = int(np.ceil(audio.TAPS * max(1, down / (2 * up))))
+    for k, y in list(enumerate(audio.resample(x, up, down)))[::13]:
+        at, total, weight = k * down / up, 0.0, 0.0
+        for j in range(int(np.floor(k * down / up)) - half, int(np.floor(k * down / up)) + half + 1):
+            h = np.sinc(min(1, up / down) * (j - at)) * (0.5 + 0.5 * np.cos(np.pi * np.clip((j - at) / (half + 1), -1, 1)))
+            weight += h
+            total += h * x[j] if 0 <= j < len(x) else 0
+        assert y == pytest.approx(total / weight, abs=1e-4)
+
+
+def test_log_mel_and_features_against_a_plain_transform(spark, sf, docs_001):
+    def brute(payload):
+        x = audio.resample((np.frombuffer(payload, dtype=np.uint8).astype(np.float32) - 128) / 128)
+        rate, frames = 10000, []
+        for n in range(max(1, -(-max(0, len(x) - audio.WINDOW) // audio.HOP) + 1)):
+            frame = np.zeros(audio.WINDOW)
+            part = x[n * audio.HOP : n * audio.HOP + audio.WINDOW]
+            frame[: len(part)] = part
+            power = np.abs(np.fft.fft(frame * np.hanning(audio.WINDOW + 2)[1:-1]))[: audio.FFT // 2 + 1] ** 2
+            frames.append(np.log10(power @ audio.mel_bank(rate).astype(float) + 1e-10))
+        return np.array(frames)
+
+    some = spark.createDataFrame([(i, docs_001[i]) for i in list(docs_001)[:25]], "doc_id long, text string")
+    for r in audio.audio_features(audio.text_clips(some), "doc_id").collect():
+        data = docs_001[r.doc_id].encode()
+        mel = brute(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0"))
+        chunks = audio.read_tensors(r.tensors)
+        stored = chunks.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)[: r.n_frames]
+        assert r.n_frames == len(mel) == sum(chunks.column("n_frames").to_pylist())
+        assert np.abs(stored - mel).max() < 0.01
+        spans = [(a * audio.HOP / 10000, ((e - 1) * audio.HOP + audio.WINDOW) / 10000) for a, e in audio.segments(stored)]
+        assert [(s.start_s, s.end_s) for s in r.segments] == spans
 
 
 def test_hysteresis_against_a_loop():
@@ -157,8 +198,9 @@ def test_edges_of_audio(edge_docs, no_docs, edge_texts):
     assert len(got) == len(edge_texts) + 1
     assert {r.payload_bytes for r in got if r.doc_id in (0, 1)} == {64}
     assert audio.audio_features(audio.text_clips(no_docs), "doc_id").collect() == []
-    with pytest.raises(ValueError, match="WAV"):
-        audio.read_wav(b"no wav file at all")
+    odd = [(1, None), (2, bytearray(b"no wav file at all")), (3, bytearray(b"RIFF\0\0\0\0WAVEfmt \x10\0")), (None, bytearray())]
+    got = audio.audio_features(edge_docs.sparkSession.createDataFrame(odd, "id long, media binary"), "id").collect()
+    assert all(r.reason and r.payload_bytes is None and r.tensors is None for r in got) and len(got) == 4
 
 
 def test_language_accuracy_on_held_out_rows(spark):
