@@ -2,13 +2,15 @@
 
 Vectors are packed in blocks whose components lie in vertical layout: one contiguous column a dimension. For a
 block of queries the dimensions are visited in blocks, those with most of the queries' mass first; a block's inner
-products are added to the candidates' scores, and candidates whose score plus the bound on what remains (by
-Cauchy-Schwarz, from the masses of the unvisited dimensions) stays below the query's k-th best so far are
-dropped by compaction. Survivors of all blocks have exact scores.
+products are added to the candidates' scores, and candidates whose score plus the bound on what remains (for each
+unvisited block of dimensions its masses' product, by Cauchy-Schwarz) stays below the query's k-th best so far are
+dropped by compaction. A block none of whose vectors can reach a k-th best is left before its first product. Survivors
+of all blocks have exact scores.
 
 Query blocks meet candidate blocks in the cells of a grid: each side is copied along one axis of it only, and
-a cell's pairs stream through one task. Every pair gives at most k rows a query; the merge ranks them with a
-limit before its shuffle.
+a cell's pairs stream through one task. A cell's queries are bounded by CELL_BYTES, so more queries make more cells;
+what a task remembers are the k-th best scores of its query blocks. Every pair gives at most k rows a query; the merge
+ranks them with a limit before its shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import table
 CANDIDATES, QUERIES, DIMS = 4096, 512, 8
 #: Candidates that give a block's first bound, and the share of live pairs below which they are compacted.
 SEED, DENSE = 512, 0.25
-#: Cells of the grid for each task slot.
-CELLS_A_SLOT = 2
+#: Cells of the grid for each task slot, at least, and bytes of a cell's queries, at most.
+CELLS_A_SLOT, CELL_BYTES = 2, 64 << 20
 
 PACKED = "block long, dim int, ids binary, columns binary"
 EXACT_FLOAT, EXACT_DOUBLE = 2.0**24, 2.0**53
@@ -69,47 +71,52 @@ def pack(block_rows: int):
     return run
 
 
-def search_block(q_ids, q, c_ids, c, k: int, kth: np.ndarray, reach: float, dims: int = DIMS):
+def search_block(q_ids, q, c_ids, c, k: int, kth: np.ndarray, reach: float, dims: int = DIMS, work: list[int] | None = None):
     """The k best candidates of every query within a block: arrays (query index, candidate id, score).
 
     q, c: columns, dimension by dimension, of integers that the type holds exactly. kth: lower bounds of the queries'
     k-th best scores, raised in place. Candidates that tie with them are kept, since the smaller id wins.
-    reach: no score is larger; its rounding in comparisons is allowed for by slack.
+    reach: no score is larger; its rounding in comparisons is allowed for by slack. work: gets the products computed.
     """
     real, slack = (np.float32 if c.dtype == np.float32 else np.float64), 1 + reach * 1e-6
+    none = np.zeros(0, dtype=np.int64)
+    did = (work if work is not None else []).append
     mass_q, mass_c = (np.square(x, dtype=np.float64) for x in (q, c))
     order = np.argsort(-mass_q.sum(axis=1), kind="stable")
-    rest_q, rest_c = mass_q.sum(axis=0), mass_c.sum(axis=0)
+    steps = [order[at : at + dims] for at in range(0, len(order), dims)]
+    # a little more than the masses' roots, for rounding
+    root_q, root_c = ([np.sqrt(m[some].sum(axis=0)).astype(real) * real(1 + 1e-4) for some in steps] for m in (mass_q, mass_c))
+    rest = sum((a[:, None] * b[None, :] for a, b in zip(root_q, root_c, strict=True)), np.zeros((len(q_ids), len(c_ids)), dtype=real))
     own = np.isin(q_ids, c_ids)
     if np.isneginf(kth).any() and len(c_ids) > k + 1:  # a first bound, from some of the candidates
+        did(len(q_ids) * min(SEED, len(c_ids)) * len(order))
         some = q.T @ c[:, :SEED]
         some = np.where(q_ids[:, None] == c_ids[None, :SEED], -np.inf, some)
         if some.shape[1] > k:
             np.maximum(kth, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k], out=kth)
+    least = (kth[:, None] - slack).astype(real)
+    if not (rest >= least).any():
+        return none, none, none.astype(c.dtype)
     score, at_q, at_c = np.zeros((len(q_ids), len(c_ids)), dtype=c.dtype), None, None
-    for at in range(0, len(order), dims):
-        some = order[at : at + dims]
+    for n, some in enumerate(steps):
         if at_q is None:
+            did(score.size * len(some))
             score += q[some].T @ c[some]
+            rest -= root_q[n][:, None] * root_c[n][None, :]
+            if n + 1 < len(steps):
+                live = score + rest >= least
+                if np.count_nonzero(live) <= DENSE * live.size:
+                    at_q, at_c = np.nonzero(live)
+                    score, rest = score[at_q, at_c], rest[at_q, at_c]
         else:
+            did(len(score) * len(some))
             for d in some:
                 score += q[d, at_q] * c[d, at_c]
-        rest_q, rest_c = rest_q - mass_q[some].sum(axis=0), rest_c - mass_c[some].sum(axis=0)
-        if at + dims >= len(order):
-            break
-        root_q, root_c = (np.sqrt(np.maximum(x, 0)) * (1 + 1e-4) for x in (rest_q, rest_c))
-        if at_q is None:
-            if float(np.max(kth - root_q * root_c.max(initial=0))) <= 0:  # too much remains
-                continue
-            live = score + root_q[:, None].astype(real) * root_c[None, :].astype(real) >= (kth[:, None] - slack).astype(real)
-            if np.count_nonzero(live) <= DENSE * live.size:
-                at_q, at_c = np.nonzero(live)
-                score = score[at_q, at_c]
-        else:
-            live = score + root_q[at_q] * root_c[at_c] >= kth[at_q] - slack
-            at_q, at_c, score = at_q[live], at_c[live], score[live]
+            rest = rest - root_q[n][at_q] * root_c[n][at_c]
+            live = score + rest >= kth[at_q] - slack
+            at_q, at_c, score, rest = at_q[live], at_c[live], score[live], rest[live]
     if at_q is None:
-        at_q, at_c = np.nonzero(score >= kth[:, None] - slack)
+        at_q, at_c = np.nonzero(score >= least)
         score = score[at_q, at_c]
     keep = (score >= kth[at_q] - slack) & ~(own[at_q] & (q_ids[at_q] == c_ids[at_c]))
     at_q, ids, score = at_q[keep], c_ids[at_c[keep]], score[keep]
@@ -138,8 +145,6 @@ def search_pairs(k: int):
                     if reach >= 2.0**62:
                         raise OverflowError("inner products beyond 64-bit integers")
                     q, c = q.astype(np.int64), c.astype(np.int64)
-                if len(best) > 64:
-                    best.clear()
                 kth = best.setdefault(row["q_block"], np.full(len(q_ids), -np.inf))
                 at, ids, score = search_block(q_ids, q, c_ids, c, k, kth, reach)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
@@ -151,20 +156,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     """Each query's k rows of highest integer inner product: query_id, rank (from 1), vec_id, score; ties to the smaller id.
 
     Components become floor(scale * x). Vectors that are null or hold null, NaN or infinity take no part, nor do
-    rows without an id. A row whose id is the query's own is no candidate of it; repeated query ids count once and
-    repeated candidate rows each count. Vectors of other dimensions than the query's are no candidates. An empty
-    vector scores 0. Empty tables give an empty result.
+    rows without an id. A row whose id is the query's own is no candidate of it. Rows that repeat a query's id and vector are
+    one query; different vectors under one id are ranked together, so a candidate can stand there once for each. Repeated
+    candidate rows each count. Vectors of other dimensions than the query's are no candidates. An empty vector scores
+    0. Other columns have no influence. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     fit = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     rows = vectors.where(fit & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
+    n, n_queries, dims = rows.agg(F.count("*"), F.count_if("is_query"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_c, n_q = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(n_queries / QUERIES))
     candidates = rows.select("id", "v").repartition(n_c).mapInArrow(pack(CANDIDATES), PACKED)
     queries = rows.where("is_query").dropDuplicates(["id", "v"]).select("id", "v").repartition(n_q).mapInArrow(pack(QUERIES), PACKED)
     cells = CELLS_A_SLOT * spark.sparkContext.defaultParallelism
-    across = min(n_q, max(1, round(math.sqrt(cells * n_q / n_c))))
+    fewest = math.ceil(n_q * QUERIES * dims * 8 / CELL_BYTES)
+    across = min(n_q, max(1, fewest, round(math.sqrt(cells * n_q / n_c))))
     down = min(n_c, math.ceil(cells / across))
     c_side = candidates.select("dim", "ids", "columns", F.pmod(F.xxhash64("block"), F.lit(down)).alias("c_cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("q_cell"))
     q_side = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"), F.pmod(F.xxhash64("block"), F.lit(across)).alias("q_cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("c_cell"))

@@ -1,30 +1,37 @@
 """WARC records in ZIP packages: a writer, and a reader that ranges over stored members without extracting them.
 
-A package holds archive/data.warc (records one after another, stored) and indexes/index.cdx (a line a record:
-offset, length, page id; stored). The reader finds the end-of-central-directory record, the ZIP64 locator and
-directory where sizes or counts need them, and the members' local headers; a record is then one range of the
-package's bytes. Packages are binary rows of a table, so any store that Spark reads and writes can hold them and
-a lost executor's packages are written again under Spark's commit protocol. Each is bounded by PACKAGE_BYTES and
-PACKAGE_RECORDS, plus one record.
+A package is a ZIP file in the folder that driver and executors share. It holds archive/data.warc (records one after
+another, stored) and indexes/index.cdx (a line a record: offset, length, page id; stored). The reader opens packages
+through the file system and asks for ranges only: the end of the file, the central directory (and the ZIP64 end record
+where sizes or counts need it), local headers, the index piece by piece, and each record; nothing is extracted.
+
+Writers stream records into their packages, each bounded by PACKAGE_BYTES and PACKAGE_RECORDS, plus one record. A
+package's path is new for each attempt of a task, and a table of paths that Spark commits names those that count, so
+what a lost executor had begun is never read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import tables_dir
+
 from .common import materialize, table, utf8
 
 PACKAGE_BYTES, PACKAGE_RECORDS = 16 << 20, 4096
+#: Bytes of an index that are read at once.
+INDEX_BYTES = 1 << 16
 WARC, INDEX = "archive/data.warc", "indexes/index.cdx"
 #: Fixed values of the ZIP format: signatures, sizes of fixed parts, the tag of the ZIP64 extra field, the "see ZIP64" marks.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -117,26 +124,39 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class PackageWriter:
-    def __init__(self) -> None:
-        self.warc, self.index, self.n = io.BytesIO(), [], 0
+    """Streams records into a package; out is a binary file object, which need not be seekable."""
+
+    def __init__(self, out, wide: bool = False) -> None:
+        """wide: with ZIP64 fields even where they aren't needed."""
+        self.out, self.wide, self.index, self.n, self.at = out, wide, [], 0, 0
+        self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+        self.warc = self.zip.open(zipfile.ZipInfo(WARC), "w", force_zip64=wide)
 
-    def add(self, record: bytes, page_id: int | None, url: str | None) -> None:
-        self.index.append(f"{self.warc.tell()} {len(record)} {'-' if page_id is None else page_id}\n")
+    def add(self, record: bytes, page_id: int | None) -> None:
+        self.index.append(f"{self.at} {len(record)} {'-' if page_id is None else page_id}\n")
         self.warc.write(record)
         self.n += 1
+        self.at += len(record)
 
     @property
     def full(self) -> bool:
-        return self.n >= PACKAGE_RECORDS or self.warc.tell() >= PACKAGE_BYTES
+        return self.n >= PACKAGE_RECORDS or self.at >= PACKAGE_BYTES
+
+    def close(self) -> None:
+        self.warc.close()
+        with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=self.wide) as f:
+            f.write("".join(self.index).encode())
+        self.zip.close()
+
 
-    def close(self, wide: bool = False) -> bytes:
-        """The package's bytes. wide: with ZIP64 fields even where they aren't needed."""
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for name, data in ((WARC, self.warc.getvalue()), (INDEX, "".join(self.index).encode())):
-                with z.open(zipfile.ZipInfo(name), "w", force_zip64=wide) as f:
-                    f.write(data)
-        return out.getvalue()
+def lines(read: ReadAt, at: int, size: int) -> Iterator[str]:
+    """The lines of a range, read piece by piece."""
+    held = b""
+    for begin in range(at, at + size, INDEX_BYTES):
+        *whole, held = (held + read(begin, min(INDEX_BYTES, at + size - begin))).split(b"\n")
+        yield from (x.decode() for x in whole)
+    if held:
+        yield held.decode()
 
 
 def records(read: ReadAt, length: int) -> Iterator[bytes]:
@@ -144,24 +164,50 @@ def records(read: ReadAt, length: int) -> Iterator[bytes]:
     found = members(read, length)
     index, warc = found[INDEX], found[WARC]
     at, base = data_offset(read, index), data_offset(read, warc)
-    for line in read(at, index.size).decode().splitlines():
+    for line in lines(read, at, index.size):
         offset, n, _ = line.split(" ", 2)
         if int(offset) + int(n) > warc.size:
             raise ValueError("the index points outside the archive")
         yield read(base + int(offset), int(n))
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, payload, record_type, refers_to) to packages."""
-    w = PackageWriter()
-    for b in batches:
-        for page_id, url, payload, kind, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            w.add(write_record(kind, page_id, url, payload, refers_to)[0], page_id, url)
-            if w.full:
-                yield pa.RecordBatch.from_arrays([pa.array([w.close()], pa.binary())], names=["package"])
-                w = PackageWriter()
-    if w.n:
-        yield pa.RecordBatch.from_arrays([pa.array([w.close()], pa.binary())], names=["package"])
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI as Hadoop writes it: file:/x, file:///x, hdfs://, s3a://, or a plain path."""
+    scheme, _, rest = uri.partition(":") if ":" in uri else ("file", "", uri)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{rest}")
+
+
+PACKAGES = "path string, bytes long, records long"
+
+
+def _write(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (page_id, url, payload, record_type, refers_to) to rows of PACKAGES."""
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        w, name = None, ""
+
+        def done() -> pa.RecordBatch:
+            w.close()
+            w.out.close()
+            size = store.get_file_info(f"{root}/{name}").size
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([w.n], pa.int64())], names=["path", "bytes", "records"])
+
+        for b in batches:
+            for page_id, url, payload, kind, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if w is None:
+                    name = f"{uuid.uuid4().hex}.zip"
+                    w = PackageWriter(store.open_output_stream(f"{root}/{name}"))
+                w.add(write_record(kind, page_id, url, payload, refers_to)[0], page_id)
+                if w.full:
+                    yield done()
+                    w = None
+        if w is not None:
+            yield done()
+
+    return run
 
 
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, body binary"
@@ -172,44 +218,63 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = (x or "").removeprefix("<urn:page:").removesuffix(">")
         return int(x) if x else None
 
+    names = [x.split()[0] for x in READ.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for b in batches:
-        for i in range(len(b)):
-            view = memoryview(b.column(0)[i].as_buffer())
-            rows = []
-            for raw in records(lambda at, n, view=view: bytes(view[at : at + n]), len(view)):
-                f, body = parse_record(raw)
-                digest = f["warc-payload-digest"].removeprefix("sha1:")
-                if f["warc-type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                    raise ValueError("a payload's digest doesn't hold")
-                rows.append((number(f["warc-record-id"]), f["warc-target-uri"], f["warc-type"], number(f.get("warc-refers-to")), int(f["x-payload-length"]), digest, body))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            for at in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 512], strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "body"])
+        for path in b.column(0).to_pylist():
+            store, at = opened(path)
+            rows, size = [], 0
+            with store.open_input_file(at) as f:
+                for raw in records(lambda at, n, f=f: f.read_at(n, at), f.size()):
+                    fields, body = parse_record(raw)
+                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    if fields["warc-type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+                        raise ValueError("a payload's digest doesn't hold")
+                    page_id, refers_to = number(fields["warc-record-id"]), number(fields.get("warc-refers-to"))
+                    rows.append((page_id, fields["warc-target-uri"], fields["warc-type"], refers_to, int(fields["x-payload-length"]), digest, body))
+                    size += len(body)
+                    if len(rows) == 512 or size > 4 << 20:
+                        yield batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Pages (page_id, url, html) as packages: a row (package binary) for each.
+    """Pages (page_id, url, html) as packages: a table with the path, bytes and records of each.
 
     Of records with equal payloads of at least min_bytes, that with the largest page_id is a response and the others
-    are revisits of it; rows that repeat that page_id are responses too. A null html is an empty payload. Where no
-    row of a payload has a page_id all are responses. An empty table gives no packages.
+    are revisits of it; rows that repeat that page_id are responses too. A null html is an empty payload; pages of any
+    length are whole records. Where no row of a payload has a page_id all are responses. Other columns have no
+    influence. An empty table gives no packages.
     """
+    spark = pages.sparkSession
     rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
     # an aggregate with one row a digest and task, then a join that can split a digest's rows
-    last = keyed.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("digest").alias("last_digest")).agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    long_enough = keyed.where(F.octet_length("payload") >= min_bytes)
+    last = long_enough.groupBy(F.col("digest").alias("last_digest")).agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = keyed.join(last, F.col("digest") == F.col("last_digest"), "left")
     revisit = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
-    return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last_id")).alias("refers_to")).mapInArrow(_write, "package binary")
+    kind = F.when(revisit, "revisit").otherwise("response").alias("record_type")
+    judged = joined.select("page_id", "url", "payload", kind, F.when(revisit, F.col("last_id")).alias("refers_to"))
+    folder = f"{tables_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return materialize(judged.mapInArrow(_write(folder), PACKAGES), "packages")
 
 
 def read_archive(packages: DataFrame) -> DataFrame:
-    """The records of packages (package binary, or content of Spark's binaryFile source) with their bodies."""
-    return packages.select("package" if "package" in packages.columns else "content").mapInArrow(_read, READ)
+    """The records of packages (their paths in column path) with their bodies; a task reads some packages one after another."""
+    spark = packages.sparkSession
+    tasks = min(max(1, packages.count()), 16 * spark.sparkContext.defaultParallelism)
+    return packages.select("path").repartition(tasks).mapInArrow(_read, READ)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    packages = materialize(archive(table(spark, sf_dir, "pages")), "warc")
+    packages = archive(table(spark, sf_dir, "pages"))
     return read_archive(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

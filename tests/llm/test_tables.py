@@ -38,6 +38,32 @@ def test_top_k_is_brute_force(spark, scale):
     assert topk.top_k(df.where("false"), F.lit(True), 5).collect() == []
 
 
+def test_branch_and_bound_computes_less_than_all_products():
+    r = np.random.default_rng(6)
+    dims, k = 64, 20
+    # embeddings as models give them: most of their mass in few directions
+    spread = 2.0 ** -np.arange(0, 16, 0.25)
+    c = np.floor(64 * r.normal(size=(4096, dims)) * spread).T.astype(np.float32)
+    q = c[:, :256].copy()
+    work, kth = [], np.full(256, -np.inf)
+    at, ids, score = topk.search_block(np.arange(256) + 10**6, q, np.arange(4096), c, k, kth, 1e7, work=work)
+    exact = q.T @ c
+    for i in range(256):
+        order = np.lexsort((np.arange(4096), -exact[i]))[:k]
+        assert ids[at == i].tolist() == order.tolist() and score[at == i].tolist() == exact[i][order].tolist()
+    assert sum(work) < 0.5 * 256 * 4096 * dims
+    # a block that can't reach the k-th best costs nothing
+    work = []
+    assert len(topk.search_block(np.arange(256) + 10**6, q, np.arange(4096), c / 1024, k, kth, 1e7, work=work)[0]) == 0 and sum(work) == 0
+
+
+def test_vectors_under_one_query_id_are_ranked_together(spark):
+    rows = [(4, [1.0, 0.0]), (4, [0.0, 2.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") == 4, 3, scale=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(6, 2), (5, 1), (5, 0)]
+
+
 # --- near duplicates
 
 
@@ -192,11 +218,13 @@ def test_warc_round_trip(spark):
 
 @pytest.mark.parametrize("wide", [False, True])
 def test_packages_are_zip_files_that_are_range_read(wide):
-    w = warc.PackageWriter()
+    out = io.BytesIO()
+    w = warc.PackageWriter(out, wide=wide)
     raw = [warc.write_record("response", i, f"http://x/{i}", b"p" * (i * 200), None)[0] for i in range(50)]
     for i, record in enumerate(raw):
-        w.add(record, i, None)
-    data = w.close(wide=wide)
+        w.add(record, i)
+    w.close()
+    data = out.getvalue()
     assert zipfile.ZipFile(io.BytesIO(data)).read(warc.WARC) == b"".join(raw)
     asked = []
 
@@ -205,7 +233,24 @@ def test_packages_are_zip_files_that_are_range_read(wide):
         return data[at : at + n]
 
     assert list(warc.records(read, len(data))) == raw
-    assert max(asked) < len(data)
+    assert max(asked[1:]) <= max(map(len, raw))  # after the end of the file, a directory or a record
+
+
+def test_archives_are_zip_files_of_the_shared_folder(spark):
+    _, df = pages(spark)
+    for r in warc.archive(df).collect():
+        store, path = warc.opened(r.path)
+        with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            assert z.namelist() == [warc.WARC, warc.INDEX] and f.size() == r.bytes
+            assert z.read(warc.INDEX).count(b"\n") == r.records
+
+
+def test_an_index_is_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "INDEX_BYTES", 7)
+    data = b"xx" + b"".join(b"%d\n" % i for i in range(0, 5000, 37))
+    asked = []
+    got = list(warc.lines(lambda at, n: asked.append(n) or data[at : at + n], 2, len(data) - 2))
+    assert got == [str(i) for i in range(0, 5000, 37)] and max(asked) == 7
 
 
 def test_zip64_directories():
