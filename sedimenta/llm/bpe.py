@@ -35,7 +35,7 @@ L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0\u2000
 LATIN = re.compile(f" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
 NOT_LATIN = re.compile("[^\0-\u024f\u2000-\u2064]")
 #: Bytes that each of a worker's memories holds before it starts anew, and the longest piece that one keeps.
-MEMORY, KEPT = 24 << 20, 64
+MEMORY, KEPT = 32 << 20, 64
 #: Bytes of an entry besides its key and value: their objects' heads and the table's slot.
 ENTRY = 200
 
@@ -178,11 +178,6 @@ class Bpe:
             at = m.end()
         yield text[at:], None
 
-    def forget(self) -> None:
-        """Give up what was remembered for speed."""
-        self.fits.forget()
-        self.memory.forget()
-
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers; special strings become special tokens."""
         if not any(s in text for s in self.special):
@@ -236,10 +231,7 @@ def encoded(path: str, text: Column) -> Column:
     @F.arrow_udf("binary")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        try:
-            yield from by_slices(texts, pa.binary(), lambda part: pa.array([bpe.encode(t or "") for t in part], pa.binary()))
-        finally:
-            bpe.forget()
+        yield from by_slices(texts, pa.binary(), lambda part: pa.array([bpe.encode(t or "") for t in part], pa.binary()))
 
     return encode.asNondeterministic()(text)  # so that it is computed once
 

@@ -243,9 +243,13 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     chosen = near.select("lang", "place", F.xxhash64("text").alias("text_hash")).withColumn("rank", rank).where(F.col("rank") <= quota).select("lang", "place", "text_hash").distinct()
     # at most MOST rows: the lists are bounded by WIDEST
     wanted = near.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "place", "text_hash"])
-    got = wanted.select("lang", "place", "text_hash", "text").mapInArrow(_learn, LEARNT).collect()
-    made = [Example(r["lang"], r["held"], np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in sorted(got, key=lambda r: (r["lang"] or "", r["place"], r["text_hash"], len(r["buckets"])))]
-    return made
+    got = wanted.select("lang", "place", "text_hash", "text").mapInArrow(_learn, LEARNT).toArrow().combine_chunks()
+    # slices of two arrays, not lists of Python's integers
+    values = [pa.chunked_array(got.column(n).chunks, pa.list_(pa.int32())).combine_chunks() for n in ("buckets", "counts")]
+    offsets, (buckets, counts) = values[0].offsets.to_numpy(), (v.values.to_numpy() for v in values)
+    keys = list(zip(*(got.column(n).to_pylist() for n in ("lang", "place", "text_hash", "held")), strict=True))
+    order = sorted(range(len(keys)), key=lambda i: (keys[i][0] or "", *keys[i][1:3], int(offsets[i + 1] - offsets[i])))
+    return [Example(keys[i][0], keys[i][3], buckets[offsets[i] : offsets[i + 1]], counts[offsets[i] : offsets[i + 1]]) for i in order]
 
 
 def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
