@@ -1,4 +1,4 @@
-"""Scalar text, date and licence functions (F1-F23, F30, F31, F44-F47, F50) as Column expressions."""
+"""Scalar text, date and licence functions (F1-F13, F15, F18-F20, F22, F23, F30, F31, F44-F47, F50) as Column expressions."""
 
 from __future__ import annotations
 
@@ -40,9 +40,12 @@ def leading_year(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"^(\d{4})(?:-|$)", 1), F.lit("")).cast("int")
 
 
-def temporal_band(year: Column, low: int, high: int) -> Column:
-    """F6."""
-    return F.when(year.isNull(), "unknown").when(year < low, "historical").when(year > high, "out_of_range").otherwise("current")
+def temporal_band(year: Column, snapshot_year: Column | int) -> Column:
+    """six bands, the last up to the snapshot's year."""
+    return (
+        F.when(year.isNull(), "undated_or_unparseable").when((year < 1600) | (year > snapshot_year), "outside_declared_valid_year_range").when(year < 1900, "pre_1900_historical")
+        .when(year < 1950, "1900_1949_historical").when(year < 2000, "1950_1999").otherwise("2000_snapshot_year")
+    )
 
 
 def category(x: Column, known: dict[str, str], default: str) -> Column:
@@ -56,9 +59,13 @@ def percent_encode(x: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+#: Fixed value: terms of a rights text that restrict what may be done with copies.
+RESTRICTIVE = r"(?i)non[ -]?commercial|cc[ -]?by[ -]?nc|no[ -]?derivatives|cc[ -]?by[ -]?nd|share[ -]?alike|cc[ -]?by[ -]?sa"
+
+
 def restricted(x: Column) -> Column:
-    """does a rights text keep its rights?"""
-    return F.coalesce(F.rlike(x, F.lit(r"(?i)all rights reserved|not for (?:re-?)?use|no re-?use|permission required")), F.lit(False))
+    """does a rights text restrict its use? A screen, not a legal conclusion; null texts don't."""
+    return F.coalesce(F.rlike(x, F.lit(RESTRICTIVE)), F.lit(False))
 
 
 def any_filled(*xs: Column) -> Column:
@@ -114,11 +121,45 @@ def letter_tokens(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"\p{L}+"))
 
 
+def json_number(x: Column) -> Column:
+    """a double as RFC 8785 writes it, with the fewest digits that read back as the same; an error for NaN and infinity."""
+    value = x.cast("double")
+    # the platform may print a digit more than is needed: rounded ones that read back as the same come first
+    rounded = [F.format_string(f"%.{n}e", F.abs(value)) for n in (14, 15)]
+    text = F.coalesce(*[F.when(r.try_cast("double") == F.abs(value), r) for r in rounded], F.abs(value).cast("string"))
+    text = F.when(F.abs(value) == 5e-324, "5.0E-324").when(F.abs(value) == 1e-323, "1.0E-323").otherwise(text)
+    part = lambda i: F.regexp_extract(text, r"^(\d+)\.(\d+)(?:[Ee]([+-]?\d+))?$", i)
+    raw = F.concat(part(1), part(2))
+    digits = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")
+    point = F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0)) - (F.length(raw) - F.length(F.regexp_replace(raw, "^0+", "")))
+    n, zeros = F.length(digits), lambda k: F.repeat(F.lit("0"), k.cast("int"))
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    plain = (
+        F.when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n))).when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+        .otherwise(F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string")))
+    )
+    bad = F.raise_error(F.lit("no JSON number: NaN or infinity")).cast("string")
+    return F.when(value.isNull(), "null").when(F.isnan(value) | (F.abs(value) == float("inf")), bad).when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), plain))
+
+
+def json_text(x: Column) -> Column:
+    """A string as JSON writes it, with the shortest escapes; null as null."""
+    quoted = F.to_json(F.struct(x.alias("x")))
+    return F.when(x.isNull(), "null").otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
+
+
 def canonical_json(**fields: Column) -> Column:
-    """fields by name, compact, nulls kept. For strings, integers, booleans and arrays of them."""
+    """fields by name, compact, nulls kept. For strings, integers, booleans and arrays of them; doubles via jcs()."""
     return F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def jcs(**fields: Column) -> Column:
+    """the RFC 8785 form of an object from the JSON texts of its fields, given by json_text(), json_number() and the like."""
+    parts = [F.concat(F.lit(f'"{n}":'), fields[n]) for n in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def fingerprint(**fields: Column) -> Column:
     """SHA-256 of the canonical JSON with a final newline."""
     return F.sha2(F.concat(canonical_json(**fields), F.lit("\n")), 256)

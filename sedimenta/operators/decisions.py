@@ -1,4 +1,4 @@
-"""Decision tables (D1-D36, P3, P17): ordered rules as CASE expressions; what blocks a decision is listed, not lost."""
+"""Decision tables (P3, D8, D9, D13, D16, D17, D21-D25, D27, D28, D30, D31, D33): ordered rules as CASE expressions; what blocks is listed."""
 
 from __future__ import annotations
 
@@ -28,22 +28,52 @@ def complete_gates(rows: DataFrame, subject: str, gate: str, state: str, require
     return per.select(subject, F.when(F.size(blockers) == 0, "release").otherwise("blocked").alias("decision"), blockers.alias("blockers"))
 
 
-def spatial_eligibility(has_coordinates: Column, in_range: Column, valid: Column, sensitive: Column, generalised: Column) -> Column:
-    """Six ordered outcomes of an occurrence's coordinates."""
+def spatial_eligibility(has_coordinates: Column, in_range: Column, valid: Column, generalised: Column) -> Column:
+    """Six ordered outcomes of an occurrence's coordinates (P3); a validity that isn't supplied excludes like a false one, by another name."""
     return (
-        F.when(~has_coordinates, "missing_coordinates").when(~F.coalesce(in_range, F.lit(False)), "out_of_range").when(F.coalesce(sensitive, F.lit(False)) & ~F.coalesce(generalised, F.lit(False)), "withheld_sensitive")
-        .when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.coalesce(generalised, F.lit(False)), "eligible_generalised").otherwise("eligible")
+        F.when(~F.coalesce(has_coordinates, F.lit(False)), "excluded_missing_coordinates").when(~F.coalesce(in_range, F.lit(False)), "excluded_invalid_coordinates")
+        .when(valid.isNull(), "excluded_spatial_validity_not_supplied").when(~valid, "excluded_spatially_suspect")
+        .when(F.coalesce(generalised, F.lit(False)), "eligible_generalised_coarse_only").otherwise("eligible_all_configured_resolutions")
     )
 
 
-def location_decision(ceilings: DataFrame, subject: str, ceiling: str, blocker: str) -> DataFrame:
-    """Constraints (subject, ceiling 0-3 or null, blocker or null) to the strictest decision.
+def location_decisions(rules: DataFrame, requests: DataFrame, constraints: DataFrame, public_states: Mapping[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
+    """subject, publication_state (publish, generalised, withheld), ceiling and blockers of location requests.
 
-    No constraint with a ceiling, or any blocker, withholds: what isn't known isn't published.
+    Rules: subject, action (publish, generalise, withhold), sensitivity (unknown, sensitive, ...), scopes (array), ceiling,
+    minimum_count. Requests: subject, scope, precision, resolution, record_count. Constraints: subject, provider, used,
+    disclosure, ceiling. public_states: each provider's disclosure states that are public; required: providers that
+    must have a constraint. Whatever isn't known blocks, and a blocked location is withheld.
     """
-    per = ceilings.groupBy(subject).agg(F.min(ceiling).alias("ceiling"), F.array_sort(F.collect_set(blocker)).alias("blockers"))
-    decision = F.when(F.col("ceiling").isNull() | (F.size("blockers") > 0) | (F.col("ceiling") == 0), "withhold").when(F.col("ceiling") < 3, "generalise").otherwise("publish")
-    return per.withColumn("decision", decision)
+    used, known = F.coalesce(F.col("used"), F.lit(False)), F.lit(False)
+    for provider, states in public_states.items():
+        known = known | ((F.col("provider") == provider) & F.coalesce(F.col("disclosure").isin(*states), F.lit(False)))
+    name = lambda suffix: F.concat(F.col("provider"), F.lit(suffix))
+    per = constraints.groupBy("subject").agg(
+        F.collect_set("provider").alias("providers"), F.count_if(used).alias("n_used"), F.min(F.when(used, F.col("ceiling"))).alias("used_ceiling"),
+        F.collect_set(F.when(used & ~known, name("_location_not_public"))).alias("hidden"), F.collect_set(F.when(used & F.col("ceiling").isNull(), name("_resolution_mapping_missing"))).alias("unmapped"),
+    )
+    rows = requests.join(rules.withColumnRenamed("ceiling", "rule_ceiling"), "subject", "left").join(per, "subject", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("providers", "hidden", "unmapped")}).withColumn("ceiling", F.least("rule_ceiling", "used_ceiling"))
+    sensitive = F.col("sensitivity")
+    blocks = {
+        **{f"missing_{p}_provider_constraint": ~F.array_contains("providers", p) for p in required},
+        "missing_provider_constraints": F.size("providers") == 0,
+        "sensitive_location_policy_withholds": F.coalesce(F.col("action") == "withhold", F.lit(True)) | F.coalesce(sensitive == "unknown", F.lit(True)),
+        "scope_not_permitted": ~F.coalesce(F.array_contains("scopes", F.col("scope")), F.lit(False)),
+        "source_location_withheld": F.col("precision") == "withheld",
+        "sensitive_exact_location_forbidden": (sensitive == "sensitive") & (F.col("precision") == "exact"),
+        "minimum_public_record_count_not_met": ~F.coalesce(F.col("record_count") >= F.col("minimum_count"), F.lit(False)),
+        "no_permitted_provider_location_used": F.coalesce("n_used", F.lit(0)) == 0,
+        "public_resolution_ceiling_missing": F.col("ceiling").isNull(),
+        "requested_resolution_exceeds_ceiling": (F.col("scope") == "cell") & ~F.coalesce(F.col("resolution") <= F.col("ceiling"), F.lit(False)),
+    }
+    blockers = F.array_sort(F.concat(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in blocks.items()])), "hidden", "unmapped"))
+    rows = rows.withColumn("blockers", blockers)
+    coarse = (F.col("action") == "generalise") | F.col("precision").isin("generalised", "coarse_rollup")
+    state = F.when(F.size("blockers") > 0, "withheld").when(coarse, "generalised").otherwise("publish")
+    return rows.select("subject", state.alias("publication_state"), F.when(F.size("blockers") == 0, F.col("ceiling")).alias("ceiling"), "blockers")
 
 
 def available(value: Column, reason: str) -> Column:
@@ -58,34 +88,6 @@ def shape_violations(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(~F.coalesce(fine, F.lit(False)))
 
 
-def consensus_status(supports: Column, opposes: Column, uncertain: Column, adjudicated: Column) -> Column:
-    """Ordered rules: an adjudication decides, then conflict, agreement of two, a single view, nothing."""
-    return (
-        F.when(adjudicated.isNotNull(), F.concat(F.lit("adjudicated_"), adjudicated)).when((supports > 0) & (opposes > 0), "conflict")
-        .when(supports >= 2, "supported").when(opposes >= 2, "opposed").when(supports + opposes + uncertain > 0, "insufficient").otherwise("no_review")
-    )
-
-
-def layered_consensus(events: DataFrame, subject: str) -> DataFrame:
-    """Effective events (subject, reviewer, decision, weight or null, qualified) to three layers.
-
-    community counts all reviewers, qualified only those with standing, release needs the qualified layer to agree
-    without dissent. A reviewer without a weight counts as 1.
-    """
-    w = F.coalesce(F.col("weight"), F.lit(1.0))
-    layers = F.array(F.lit("community"), F.when(F.col("qualified"), F.lit("qualified")))
-    rows = events.select("*", F.explode(F.array_compact(layers)).alias("layer"))
-    yes, no = F.col("decision") == "support", F.col("decision") == "oppose"
-    per = rows.groupBy(subject, "layer").agg(
-        F.count_if(yes).alias("supports"), F.count_if(no).alias("opposes"), F.sum(F.when(yes, w).otherwise(0.0)).alias("weight_for"), F.sum(F.when(no, w).otherwise(0.0)).alias("weight_against"), F.countDistinct("reviewer").alias("reviewers"),
-    )
-    per = per.withColumn("dissent", F.least("supports", "opposes"))
-    status = F.when(F.col("reviewers") < 2, "insufficient").when((F.col("supports") > 0) & (F.col("opposes") > 0), "conflict").when(F.col("supports") > F.col("opposes"), "supported").when(F.col("opposes") > F.col("supports"), "opposed").otherwise("uncertain")
-    per = per.withColumn("status", status)
-    release = per.where("layer = 'qualified'").select(subject, F.lit("release").alias("layer"), "supports", "opposes", "weight_for", "weight_against", "reviewers", "dissent", F.when((F.col("status") == "supported") & (F.col("dissent") == 0), "supported").otherwise("blocked").alias("status"))
-    return per.unionByName(release)
-
-
 def takedown_status(rejected: Column, dependencies: Column, open_dependencies: Column) -> Column:
     """Rejected, then completed once no dependency is open, resolving while some are, else in review."""
     return F.when(rejected, "rejected").when((dependencies > 0) & (open_dependencies == 0), "completed").when(dependencies > 0, "resolving").otherwise("review")

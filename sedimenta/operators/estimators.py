@@ -1,4 +1,4 @@
-"""Survey and agreement estimators."""
+"""Survey and agreement estimators."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ from pyspark.sql.window import Window
 #: The normal quantile of a 95 % interval, the prior of an accuracy, the least counts for an estimate.
 Z95 = 1.959963984540054
 PRIOR_RIGHT, PRIOR_WRONG = 15.0, 5.0
-LEAST = {"decisions": 20, "controls": 5, "adjudicated": 5, "pairs": 10, "reviewers": 5}
+LEAST = {"control_attempts": 20, "positive_controls": 5, "negative_controls": 5, "overlap_items": 10, "adjudicated_overlap": 5}
+#: Fixed value: controls of a class from which on sensitivity and specificity are given.
+CLASS = 10
+#: Probability designs of an audit, and the method of its inclusion probabilities.
+DESIGNS, INCLUSION = ("simple_random", "stratified_random", "clustered_random"), "hajek_inverse_inclusion_probability_v1"
 
 
 def krippendorff_alpha(ratings: DataFrame) -> DataFrame:
@@ -75,20 +79,84 @@ def accuracy(right: Column, total: Column) -> Column:
     return F.struct(mean.alias("mean"), F.greatest(F.lit(0.0), mean - Z95 * sd).alias("low"), F.least(F.lit(1.0), mean + Z95 * sd).alias("high"), weight.alias("weight"))
 
 
-def reliability(decisions: DataFrame) -> DataFrame:
-    """Reviewer metrics (A20, D6) from rows (reviewer, truth boolean or null, said boolean, kind control/adjudicated/open).
+def alpha_by(ratings: DataFrame, by: str) -> DataFrame:
+    """Nominal Krippendorff's alpha of each group: ratings (by, item, code) to by, alpha; null as in krippendorff_alpha()."""
+    n = ratings.where("item IS NOT NULL AND code IS NOT NULL").groupBy(by, "item", "code").agg(F.count("*").alias("n"))
+    items = n.groupBy(by, "item").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("m >= 2")
+    observed = items.groupBy(by).agg(F.count("*").alias("items"), F.sum("m").alias("total"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / (F.col("m") - 1)).alias("d"))
+    codes = n.join(items.select(by, "item"), [by, "item"], "left_semi").groupBy(by, "code").agg(F.sum("n").alias("t"))
+    squares = codes.groupBy(by).agg(F.sum(F.col("t") * F.col("t")).alias("csq"))
+    total = F.col("total").cast("double")
+    expected = (total * total - F.col("csq")) / (total * (total - 1))
+    alpha = F.when((F.col("items") >= 2) & (expected > 2.220446049250313e-16), 1 - (F.col("d") / total) / expected)
+    return observed.join(squares, by).select(by, alpha.alias("alpha"))
+
+
+def reliability(controls: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Reviewer metrics (A20, D6) from controls (reviewer, expected, actual) and overlaps (reviewer, item, label, peers array, adjudicated or null).
 
-    A metric is null where its denominator is 0; the estimate is null until every count of LEAST is reached.
+    A metric is null where its denominator is 0, sensitivity and specificity below CLASS controls of their class. The
+    estimate, its interval and the weight are null until every count of LEAST is reached; blockers names those below.
     """
-    known = F.col("truth").isNotNull()
-    right = F.count_if(known & (F.col("truth") == F.col("said")))
-    counts = decisions.groupBy("reviewer").agg(
-        F.count("*").alias("decisions"), F.count_if(F.col("kind") == "control").alias("controls"), F.count_if(F.col("kind") == "adjudicated").alias("adjudicated"),
-        F.count_if(known).alias("known"), right.alias("right_count"), F.count_if(F.col("truth") & F.col("said")).alias("tp"), F.count_if(F.col("truth")).alias("positives"),
-        F.count_if(~F.col("truth") & ~F.col("said")).alias("tn"), F.count_if(~F.col("truth")).alias("negatives"),
+    yes, no, right = F.col("expected") == "yes", F.col("expected") == "no", F.col("expected") == F.col("actual")
+    c = controls.groupBy("reviewer").agg(
+        F.count("*").alias("control_attempts"), F.count_if(yes).alias("positive_controls"), F.count_if(no).alias("negative_controls"), F.count_if(right).alias("c_right"),
+        F.count_if(yes & right).alias("tp"), F.count_if(no & right).alias("tn"),
+    )
+    settled = F.col("adjudicated").isNotNull()
+    agree = F.size(F.filter("peers", lambda p: p == F.col("label")))
+    o = overlaps.groupBy("reviewer").agg(
+        F.count("*").alias("overlap_items"), F.sum(F.size("peers")).alias("pairs"), F.sum(agree).alias("agreeing"), F.count_if(settled).alias("adjudicated_overlap"),
+        F.count_if(settled & (F.col("adjudicated") == F.col("label"))).alias("a_right"),
+    )
+    ratings = overlaps.select("reviewer", "item", F.explode(F.concat(F.array("label"), "peers")).alias("code"))
+    counts = ["control_attempts", "positive_controls", "negative_controls", "c_right", "tp", "tn", "overlap_items", "pairs", "agreeing", "adjudicated_overlap", "a_right"]
+    rows = c.join(o, "reviewer", "full").na.fill(0, counts).join(alpha_by(ratings, "reviewer"), "reviewer", "left")
+    blockers = F.array_sort(F.array_compact(F.array(*[F.when(F.col(n) < least, F.lit(f"{n}_below_minimum")) for n, least in LEAST.items()])))
+    posterior = accuracy(F.col("c_right") + F.col("a_right"), F.col("control_attempts") + F.col("adjudicated_overlap"))
+    rows = rows.withColumn("blockers", blockers).withColumn("posterior", F.when(F.size("blockers") == 0, posterior))
+    return rows.select(
+        "reviewer", *LEAST, F.try_divide("c_right", "control_attempts").alias("control_accuracy"), F.try_divide("agreeing", "pairs").alias("pairwise_agreement"),
+        F.try_divide("a_right", "adjudicated_overlap").alias("adjudicated_accuracy"), F.when(F.col("positive_controls") >= CLASS, F.col("tp") / F.col("positive_controls")).alias("sensitivity"),
+        F.when(F.col("negative_controls") >= CLASS, F.col("tn") / F.col("negative_controls")).alias("specificity"), "alpha", "blockers",
+        F.col("posterior.mean").alias("estimate"), F.col("posterior.low").alias("low"), F.col("posterior.high").alias("high"), F.col("posterior.weight").alias("weight"),
     )
-    enough = (F.col("decisions") >= LEAST["decisions"]) & (F.col("controls") >= LEAST["controls"]) & (F.col("adjudicated") >= LEAST["adjudicated"])
-    return counts.select(
-        "reviewer", "decisions", "controls", "adjudicated", F.try_divide("right_count", "known").alias("accuracy"), F.try_divide("tp", "positives").alias("sensitivity"),
-        F.try_divide("tn", "negatives").alias("specificity"), F.when(enough, accuracy(F.col("right_count"), F.col("known"))).alias("posterior"),
+
+
+def audit_blockers(plans: DataFrame, strata: DataFrame, records: DataFrame) -> DataFrame:
+    """plan, blockers: what keeps an audit from estimating a population (D7, G7); empty if nothing does.
+
+    Plans: plan, kind, design, representative, blind, method, grouping_keys. Strata: plan, stratum, weight, population.
+    Records: plan, record, stratum, p, owner, observation, outcome. A targeted plan has that one blocker. Records that
+    share an owner or an observation are one group, which must not cross strata: here neighbours by either key
+    are compared, which finds a crossing in every group that has one.
+    """
+    fault = lambda name, rule: F.when(rule, F.lit(name))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    of_plan = plans.select("plan", F.explode(F.array_compact(F.array(
+        fault("sampling_design_is_not_probability_based", no(F.col("design").isin(*DESIGNS))), fault("sampling_plan_not_representative", no(F.col("representative"))),
+        fault("audit_not_blind", no(F.col("blind"))), fault("inclusion_probability_method_missing_or_unsupported", no(F.col("method") == INCLUSION)),
+        fault("owner_grouping_key_missing", no(F.array_contains("grouping_keys", "owner_id"))), fault("observation_grouping_key_missing", no(F.array_contains("grouping_keys", "observation_id"))),
+    ))).alias("blocker"))
+    named = lambda name: F.concat(F.lit(f"{name}:"), "record")
+    of_record = records.select("plan", F.explode(F.array_compact(F.array(
+        F.when(no((F.col("p") > 0) & (F.col("p") <= 1)), named("invalid_inclusion_probability")), F.when(F.col("owner").isNull(), named("owner_group_missing")),
+        F.when(F.col("observation").isNull(), named("observation_group_missing")),
+    ))).alias("blocker"))
+    decisive = records.where(F.col("outcome").isin("supported", "not_supported")).select("plan", "stratum").distinct()
+    empty = strata.join(decisive, ["plan", "stratum"], "left_anti").select("plan", F.concat(F.lit("stratum_without_decisive_reviews:"), "stratum").alias("blocker"))
+    crossing = None
+    for key in ("owner", "observation"):
+        some = records.where(F.col(key).isNotNull()).groupBy("plan", key).agg(F.countDistinct("stratum").alias("n")).where("n > 1").select("plan", F.lit("owner_observation_group_crosses_strata").alias("blocker"))
+        crossing = some if crossing is None else crossing.union(some)
+    w = strata.groupBy("plan").agg(F.count("*").alias("n"), F.count("weight").alias("n_weights"), F.sum("weight").alias("total"), F.count("population").alias("n_sizes"))
+    weights = (
+        F.when((F.col("n_weights") == F.col("n")) & (F.abs(F.col("total") - 1) > 1e-9), "stratum_population_weights_do_not_sum_to_one")
+        .when((F.col("n_weights") > 0) & (F.col("n_weights") < F.col("n")), "stratum_population_weights_partially_declared")
+        .when((F.col("n_weights") == 0) & (F.col("n_sizes") < F.col("n")), "stratum_population_sizes_missing")
     )
+    weighed = w.select("plan", weights.alias("blocker")).where("blocker IS NOT NULL")
+    faults = of_plan.union(of_record).union(empty).union(crossing).union(weighed).groupBy("plan").agg(F.array_sort(F.collect_set("blocker")).alias("blockers"))
+    targeted = F.array(F.lit("targeted_failure_discovery_is_not_population_representative"))
+    found = plans.select("plan", "kind").join(faults, "plan", "left")
+    return found.select("plan", F.when(F.col("kind") == "targeted_failure_discovery", targeted).otherwise(F.coalesce("blockers", F.array().cast("array<string>"))).alias("blockers"))

@@ -10,6 +10,8 @@ from sedimenta.session import materialize
 
 #: Rows of a page, results that one query can page through.
 PAGE, CAP = 250, 4000
+#: Degrees of a box that is cut no further.
+SMALLEST = 0.000001
 
 
 def page_plan(totals: DataFrame, key: str, total: str, page: int = PAGE, cap: int = CAP) -> DataFrame:
@@ -20,21 +22,23 @@ def page_plan(totals: DataFrame, key: str, total: str, page: int = PAGE, cap: in
 
 
 def bisect(parts: DataFrame) -> DataFrame:
-    """Partitions (id, west, south, east, north, from_s, to_s) to two halves each.
+    """Partitions (id, west, south, east, north, from_s, to_s; seconds inclusive) to two halves each.
 
-    Time splits first, down to a second; then the longer side of the box. Halves share their border and tile the parent.
+    Time splits first: from..mid and mid+1..to, so that no second is counted twice. One second splits by the longer side
+    of its box, whose halves share their border. A box of SMALLEST degrees is an error.
     """
-    by_time = F.col("to_s") - F.col("from_s") > 1
-    wide = (F.col("east") - F.col("west")) >= (F.col("north") - F.col("south"))
-    t, x, y = F.floor((F.col("from_s") + F.col("to_s")) / 2), (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
-    half = lambda n: F.struct(
-        F.concat_ws("/", "id", F.lit(n)).alias("id"),
-        *[F.when(cond, value).otherwise(F.col(name)).alias(name) for name, cond, value in (
-            [("west", F.lit(False), x), ("south", F.lit(False), y), ("east", ~by_time & wide, x), ("north", ~by_time & ~wide, y), ("from_s", F.lit(False), t), ("to_s", by_time, t)]
-            if n == 0 else
-            [("west", ~by_time & wide, x), ("south", ~by_time & ~wide, y), ("east", F.lit(False), x), ("north", F.lit(False), y), ("from_s", by_time, t), ("to_s", F.lit(False), t)])],
-    )
-    return parts.select(F.inline(F.array(half(0), half(1))))
+    by_time = F.col("from_s") < F.col("to_s")
+    width, height = F.col("east") - F.col("west"), F.col("north") - F.col("south")
+    by_x = ~by_time & (width >= height)
+    by_y = ~by_time & (width < height)
+    small = ~by_time & (F.greatest(width, height) <= SMALLEST)
+    name = F.when(small, F.raise_error(F.concat(F.lit("no smaller partition: "), "id")).cast("string")).otherwise(F.col("id"))
+    t = F.col("from_s") + F.floor((F.col("to_s") - F.col("from_s")) / 2)
+    x, y = (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
+    cut = lambda column, where, value: F.when(where, value).otherwise(F.col(column)).alias(column)
+    first = F.struct(F.concat_ws("/", name, F.lit("0")).alias("id"), "west", "south", cut("east", by_x, x), cut("north", by_y, y), "from_s", cut("to_s", by_time, t))
+    second = F.struct(F.concat_ws("/", name, F.lit("1")).alias("id"), cut("west", by_x, x), cut("south", by_y, y), "east", "north", cut("from_s", by_time, t + 1), "to_s")
+    return parts.select(F.inline(F.array(first, second)))
 
 
 def adaptive_partitions(parts: DataFrame, count, cap: int = CAP, rounds: int = 32) -> DataFrame:
@@ -68,15 +72,49 @@ def lane_top_k(rows: DataFrame, lane: str, score: str, key: str, slots: Column)
     return rows.withColumn("schedule_rank", F.row_number().over(order)).where(F.col("schedule_rank") <= slots)
 
 
-def candidate_state(failures: Column, empty_runs: Column, last_s: Column, now_s: Column, cooldown_s: int = 3600, most_failures: int = 3) -> Column:
-    """eligible, cooldown or stopped (D11, T6): empty runs double the cooldown, up to eight times."""
-    wait = cooldown_s * F.pow(F.lit(2), F.least(empty_runs, F.lit(3)))
-    return F.when(failures >= most_failures, "stopped").when(last_s.isNotNull() & (now_s - last_s < wait), "cooldown").otherwise("eligible")
+def candidate_state(
+    calls: Column, unique_per_call: Column, positive_yield: Column, low_windows: Column, last_s: Column, now_s: Column,
+    least_calls: int, low_unique: float, low_positive: float, stop_windows: int, cooldown_h: float,
+) -> Column:
+    """struct(state, next_s) of a candidate (D11, T6): eligible, cooldown_low_yield or stopped_low_yield.
+
+    Low yield is proven by enough calls, few unique media a call (known) and few positives (or none known). Enough low
+    windows in a row stop it; else it cools down from its last query on.
+    """
+    low = (calls >= least_calls) & F.coalesce(unique_per_call <= low_unique, F.lit(False)) & F.coalesce(positive_yield <= low_positive, F.lit(True))
+    until = last_s + F.lit(int(cooldown_h * 3600))
+    state = F.when(low & (low_windows >= stop_windows), "stopped_low_yield").when(low & (now_s < until), "cooldown_low_yield").otherwise("eligible")
+    return F.struct(state.alias("state"), F.when(state == "cooldown_low_yield", until).alias("next_s"))
+
+
+def age_need(last_s: Column, now_s: Column, horizon_h: float) -> Column:
+    """How long ago a candidate was queried, as a share of a horizon from 0 to 1; 1 if it never was."""
+    return F.when(last_s.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (now_s - last_s) / 3600 / horizon_h)))
 
 
-def retry(status: Column, attempt: Column, retry_after_s: Column, jitter: Column, most: int = 5, base_s: float = 1.0, longest_s: float = 300.0) -> Column:
-    """struct(disposition, delay_s) of a response (D14): retried on 429 and 5xx, after Retry-After or 2^attempt with jitter in [0.5, 1]."""
-    again = (status == 429) | (status >= 500)
-    delay = F.coalesce(retry_after_s.cast("double"), F.least(F.lit(longest_s), base_s * F.pow(F.lit(2.0), attempt.cast("double"))) * (0.5 + jitter / 2))
-    what = F.when(status.between(200, 299), "done").when(again & (attempt < most), "retry").when(again, "quarantine").otherwise("fail")
-    return F.struct(what.alias("disposition"), F.when(what == "retry", delay).alias("delay_s"))
+def retry_jitter(execution: Column, attempt: Column) -> Column:
+    """From 0.5 to 1, by a hash of the execution and the attempt."""
+    digest = F.sha2(F.concat(execution, F.lit(":"), attempt.cast("string")), 256)
+    return 0.5 + F.conv(F.substring(digest, 1, 16), 16, 10).cast("double") / F.lit(float(2**64 - 1)) * 0.5
+
+
+def retry(
+    budget: Column, status: Column, attempt: Column, execution: Column, retry_after: Column, most: int = 3, base_s: int = 2, longest_s: int = 300,
+    again: tuple[int, ...] = (429, 500, 502, 503, 504),
+) -> Column:
+    """struct(status, reason, next_attempt, delay_s) of a failed attempt, counted from 0.
+
+    A send whose outcome is uncertain blocks until its accounting is reconciled; one that didn't use the budget isn't
+    retried; the last attempt is exhausted. The delay is the larger of a jittered 2^attempt and Retry-After.
+    """
+    exponential = F.least(base_s * F.pow(F.lit(2.0), attempt.cast("double")), F.lit(float(longest_s)))
+    delay = F.greatest(F.ceil(exponential * retry_jitter(execution, attempt + 1)), F.coalesce(retry_after.cast("long"), F.lit(0)))
+    what = (
+        F.when(budget == "uncertain", F.array(F.lit("blocked_accounting_reconciliation"), F.lit("uncertain_send_may_have_reached_provider")))
+        .when(~budget.eqNullSafe(F.lit("consumed")), F.array(F.lit("not_retryable"), F.lit("no_consumed_provider_attempt")))
+        .when(attempt >= most, F.array(F.lit("exhausted"), F.lit("maximum_retry_attempts_reached")))
+        .when(F.coalesce(status.isin(*again), F.lit(False)), F.array(F.lit("scheduled"), F.lit("retryable_http_status")))
+        .otherwise(F.array(F.lit("not_retryable"), F.lit("response_not_retryable")))
+    )
+    scheduled = what[0] == "scheduled"
+    return F.struct(what[0].alias("status"), what[1].alias("reason"), F.when(scheduled, attempt + 1).alias("next_attempt"), F.when(scheduled, delay).alias("delay_s"))

@@ -15,38 +15,46 @@ def quota_per_group(rows: DataFrame, group: str, order: list[Column], quota: int
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("turn") <= quota)
 
 
-def round_robin_quota(rows: DataFrame, group: str, observer: str, key: str, per_group: int = 20, per_observer: int = 50) -> DataFrame:
+def round_robin_quota(rows: DataFrame, group: str, observation: str, observer: str, key: str, rank: list[Column], per_group: int = 20, per_observer: int = 50) -> DataFrame:
     """Select rows turn by turn over groups, an observer's rows up to a global cap, new observers first.
 
-    In each turn every group picks its first row whose observer is below the cap, preferring observers that the group
-    hasn't picked; groups in order of their name. The cap makes picks depend on all picks before, so the choice is
-    sequential. Its input is cut first, exactly: a group can use no more than per_observer rows of an observer. What is
-    left is one row of three keys a candidate, ordered and chosen in one task.
+    First the best row of each observation by `rank`, ties to the smaller key. In each turn every group then picks the
+    best row whose observer is below the cap, preferring observers that the group hasn't picked; groups in order of
+    their name. Rows without an observer count against no cap and always as new ones. The cap makes picks depend on all
+    picks before, so the choice is sequential; its input is cut first, exactly: a group can use no more than its first
+    per_group rows of an observer. What is left is a row of a few keys a candidate, chosen in one task.
     """
-    first = rows.select(F.col(group).cast("string").alias("g"), F.col(observer).cast("string").alias("o"), F.col(key).cast("string").alias("k"))
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy("g", "o").orderBy("k"))).where(F.col("n") <= min(per_group, per_observer)).drop("n")
+    name = F.coalesce(F.trim(F.col(observer).cast("string")), F.lit(""))
+    rows = rows.where(F.col(group).isNotNull()).withColumns({"__g": F.col(group).cast("string"), "__o": name, "__k": F.col(key).cast("string")})
+    own = F.row_number().over(Window.partitionBy("__g", observation).orderBy(*rank, "__k"))
+    rows = rows.withColumn("__own", own).where("__own = 1")
+    of_observer = F.row_number().over(Window.partitionBy("__g", "__o").orderBy(*rank, "__k"))
+    rows = rows.withColumn("__n", of_observer).where(F.col("__n") <= F.when(F.col("__o") == "", per_group).otherwise(min(per_group, per_observer)))
+    order = F.row_number().over(Window.partitionBy("__g").orderBy(*rank, "__k"))
+    few = rows.select(F.col("__g").alias("g"), F.col("__o").alias("o"), F.col("__k").alias("k"), order.alias("place"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)
         if not frames:
             return
         all_rows = pd.concat(frames)
-        pools = {g: list(p.sort_values("k")[["o", "k"]].itertuples(index=False, name=None)) for g, p in sorted(all_rows.groupby("g"))}
+        pools = {g: list(p.sort_values("place")[["o", "k"]].itertuples(index=False, name=None)) for g, p in sorted(all_rows.groupby("g"))}
         used: dict[str, int] = {}
         seen: dict[str, set] = {g: set() for g in pools}
         picked = []
         for turn in range(1, per_group + 1):
             for g, pool in pools.items():
-                free = [i for i, (o, _) in enumerate(pool) if used.get(o, 0) < per_observer]
+                free = [i for i, (o, _) in enumerate(pool) if not o or used.get(o, 0) < per_observer]
                 at = next((i for i in free if pool[i][0] not in seen[g]), free[0] if free else None)
                 if at is not None:
                     o, k = pool.pop(at)
-                    used[o] = used.get(o, 0) + 1
-                    seen[g].add(o)
+                    if o:
+                        used[o] = used.get(o, 0) + 1
+                        seen[g].add(o)
                     picked.append((g, o, k, turn))
         yield pd.DataFrame(picked, columns=["g", "o", "k", "turn"])
 
-    return first.repartition(1).mapInPandas(choose, "g string, o string, k string, turn int").withColumnsRenamed({"g": group, "o": observer, "k": key})
+    return few.repartition(1).mapInPandas(choose, "g string, o string, k string, turn int").withColumnsRenamed({"g": group, "o": observer, "k": key})
 
 
 def next_batch(rows: DataFrame, order: list[Column], k: int) -> DataFrame:

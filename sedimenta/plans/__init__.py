@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rollups", "aggregates", "relational")
+MODULES = ("rollups", "aggregates", "relational", "rules", "rule_views")
 
 
 def load_all() -> None:

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import tarfile
 import zipfile
 
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import geo, text
 from sedimenta.operators import decisions, estimators, graph, ledger, planning, sampling
+from sedimenta.plans import load_all
+from sedimenta.plans.registry import QUERIES
+from sedimenta.plans.rules import PICKS
 from sedimenta.sources import files, sinks
 from sedimenta.streaming import budget
 
+load_all()
 
 def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
@@ -68,19 +73,19 @@ def test_estimators(spark):
 
 def test_planning(spark):
     parts = spark.createDataFrame([("p", 0.0, 0.0, 4.0, 2.0, 0, 1000)], "id string, west double, south double, east double, north double, from_s long, to_s long")
-    found = planning.adaptive_partitions(parts, lambda p: p.withColumn("total", (F.col("to_s") - F.col("from_s")) * 10)).collect()
+    found = planning.adaptive_partitions(parts, lambda p: p.withColumn("total", (F.col("to_s") - F.col("from_s") + 1) * 10)).collect()
     spans = sorted((r.from_s, r.to_s) for r in found)
-    assert spans[0][0] == 0 and spans[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))  # noqa: B905
-    r = one(spark, s=planning.weighted_score([(0.5, F.lit(1.0)), (0.5, F.lit(None).cast("double"))]), t=planning.retry(F.lit(503), F.lit(2), F.lit(None), F.lit(1.0)), u=planning.retry(F.lit(404), F.lit(1), F.lit(None), F.lit(1.0)))
-    assert (r.s, tuple(r.t), tuple(r.u)) == (1.0, ("retry", 4.0), ("fail", None))
+    assert spans[0][0] == 0 and spans[-1][1] == 1000 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))  # noqa: B905
+    dot = spark.createDataFrame([("p", 0.0, 0.0, 1e-7, 1e-7, 5, 5)], parts.schema)
+    with pytest.raises(Exception, match="no smaller partition"):
+        planning.bisect(dot).collect()
+    assert one(spark, s=planning.weighted_score([(0.5, F.lit(1.0)), (0.5, F.lit(None).cast("double"))])).s == 1.0
 
 
 def test_decisions(spark):
     g = spark.createDataFrame([("a", "x", "pass"), ("a", "y", "pass"), ("b", "x", "pass"), ("c", "x", "pass"), ("c", "y", "fail"), ("c", "z", "pass")], "s string, gate string, state string")
     got = {r.s: (r.decision, r.blockers) for r in decisions.complete_gates(g, "s", "gate", "state", ("x", "y")).collect()}
     assert got == {"a": ("release", []), "b": ("blocked", ["missing:y"]), "c": ("blocked", ["unknown:z", "y"])}
-    c = spark.createDataFrame([("a", 3, None), ("b", 3, None), ("b", 2, None), ("c", 3, "hold"), ("d", None, None)], "s string, ceiling int, blocker string")
-    assert {r.s: r.decision for r in decisions.location_decision(c, "s", "ceiling", "blocker").collect()} == {"a": "publish", "b": "generalise", "c": "withhold", "d": "withhold"}
     v = spark.createDataFrame([(1,), (None,)], "x long").select(decisions.available(F.col("x"), "not measured").alias("x"))
     assert decisions.shape_violations(v, "x").count() == 0
     m = spark.createDataFrame([("draft", "submit", 1, 1), ("draft", "submit", 2, 1), ("done", "submit", 1, 1)], "state string, action string, rev long, seen long")
@@ -97,10 +102,35 @@ def test_ledger(spark):
     assert {(r.g, r.seq) for r in ledger.sequence_gaps(s, "g", "seq").collect()} == {("a", 3), ("b", 2)}
 
 
+def brute_quota(rows, per_group, per_observer):
+    """The turns one by one: rows (group, media, observation, observer, score)."""
+    pools = {}
+    for g, m, o, who, score in rows:
+        old = pools.setdefault(g, {}).get(o)
+        if old is None or (-score, m) < (-old[2], old[0]):
+            pools[g][o] = (m, (who or "").strip(), score)
+    used, seen, taken, out = {}, {g: set() for g in pools}, set(), []
+    for turn in range(1, per_group + 1):
+        for g in sorted(pools):
+            free = [r for r in pools[g].values() if (g, r[0]) not in taken and not (r[1] and used.get(r[1], 0) >= per_observer)]
+            best = min([r for r in free if r[1] not in seen[g]] or free, key=lambda r: (-r[2], r[0]), default=None)
+            if best:
+                taken.add((g, best[0]))
+                if best[1]:
+                    seen[g].add(best[1])
+                    used[best[1]] = used.get(best[1], 0) + 1
+                out.append((g, best[0], turn))
+    return out
+
+
 def test_round_robin_quota(spark):
-    rows = [(g, o, f"{g}{o}{n}") for g in ("s1", "s2") for o in ("o1", "o2") for n in range(4)]
-    got = sampling.round_robin_quota(spark.createDataFrame(rows, "g string, o string, k string"), "g", "o", "k", per_group=3, per_observer=2).collect()
-    assert {(r.g, r.o, r.turn) for r in got} == {("s1", "o1", 1), ("s2", "o1", 1), ("s1", "o2", 2), ("s2", "o2", 2)}
+    r = random.Random(3)
+    for _ in range(3):
+        rows = [(f"g{r.randrange(4)}", f"m{i:03d}", f"o{r.randrange(60)}", r.choice(["a", "b", "c", " ", None]), float(r.randrange(5))) for i in range(120)]
+        df = spark.createDataFrame(rows, "g string, m string, o string, who string, score double")
+        got = sampling.round_robin_quota(df, "g", "o", "who", "m", [F.col("score").desc()], per_group=6, per_observer=4).collect()
+        assert sorted((x.g, x.m, x.turn) for x in got) == sorted(brute_quota(rows, 6, 4))
+    assert QUERIES["q_rule_quota"](spark, "").count() == len(brute_quota([(t, m, o, who, s) for t, m, o, who, s in PICKS.rows], 5, 4))
 
 
 def test_sources_and_sinks(spark, tmp_path):

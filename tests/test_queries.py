@@ -36,10 +36,11 @@ def rows(columns, values):
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLES)
+    # a sequential choice and a number format, tested against brute force and Python in other files
+    assert set(QUERIES) - set(ORACLES) == {"q_rule_quota", "q_rule_numbers"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_is_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     twin = duck.execute(ORACLES[name])
