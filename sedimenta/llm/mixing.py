@@ -65,32 +65,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return rows.select("source", "source_size", "weight", target.alias("target"), F.floor("total").cast("long").alias("budget"))
 
 
-def placed(rows: DataFrame, weights: tuple[int, ...], budget: float) -> DataFrame:
-    """rows (with __source, __digest, __tie, __size) with their source's columns of source_targets() and __at, the words before them."""
-    part = F.substring("__digest", 1, DIGITS)
-    ranges = rows.groupBy("__source", part.alias("__range")).agg(F.sum("__size").alias("range_size"))
-    running = F.sum("range_size").over(Window.partitionBy("__source").orderBy("__range"))
-    ranges = ranges.withColumn("offset", running - F.col("range_size"))
-    sizes = ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(sizes, weights, budget)
-    ranges = ranges.join(targets, F.col("__source").eqNullSafe(F.col("source"))).select(
-        F.col("__source").alias("__source_r"), F.col("__range").alias("__range_r"), F.col("offset").alias("__offset"),
-        *[F.col(c).alias(f"__{c}") for c in ("source_size", "weight", "target", "budget")],
-    )
-    within = Window.partitionBy("__source", "__range").orderBy("__digest", "__tie", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__range", part).withColumn("__before", F.sum("__size").over(within) - F.col("__size"))
-    rows = rows.join(ranges, F.col("__source").eqNullSafe(F.col("__source_r")) & (F.col("__range") == F.col("__range_r")))
+def placed(rows: DataFrame, weights: tuple[int, ...], budget: float, totals: DataFrame | None = None) -> DataFrame:
+    """rows (with __source, __digest, __tie, __size) with their source's columns of source_targets() and __at, the words before them.
+
+    totals: what is served of each source, to join as __served. The rows are shuffled once, by source and range, for both
+    the window and the join.
+    """
+    # a name for each source that is never null, so that the join's keys are those of the window
+    name = F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit(""))
+    rows = rows.withColumns({"__name": name, "__range": F.substring("__digest", 1, DIGITS)})
+    ranges = rows.groupBy("__name", "__range").agg(F.sum("__size").alias("range_size"), F.first("__source").alias("source"))
+    running = F.sum("range_size").over(Window.partitionBy("__name").orderBy("__range"))
+    ranges = ranges.withColumn("__offset", running - F.col("range_size"))
+    sizes = ranges.groupBy("__name").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
+    targets = source_targets(sizes.drop("__name"), weights, budget)
+    targets = targets.withColumn("__name", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    if totals is not None:
+        targets = targets.join(totals, "__name", "left")
+    own = ["source_size", "weight", "target", "budget"]
+    targets = targets.select("__name", *[F.col(c).alias(f"__{c}") for c in own], *(["__served"] if totals is not None else []))
+    ranges = ranges.select("__name", "__range", "__offset").join(targets, "__name")
+    within = Window.partitionBy("__name", "__range").orderBy("__digest", "__tie", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__before", F.sum("__size").over(within) - F.col("__size")).join(ranges, ["__name", "__range"])
     return rows.withColumn("__at", F.col("__offset") + F.col("__before"))
 
 
 def served(rows: DataFrame) -> DataFrame:
-    """Of placed() rows the words that the mix takes of each source: __served_source, __served."""
+    """Of placed() rows the words that the mix takes of each source: __name, __served."""
     turns = F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("turn")
-    packets = rows.where("__size > 0").select("__source", "__at", "__size", "__source_size", "__weight", "__budget", turns)
+    packets = rows.where("__size > 0").select("__name", "__source", "__at", "__size", "__source_size", "__weight", "__budget", turns)
     packets = packets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__size") - 1) / QUANTUM))).alias("k"))
     end = F.least("__size", (F.col("k") + 1) * QUANTUM)
     packets = packets.select(
-        "__source", "__budget", (end - F.col("k") * QUANTUM).alias("words"),
+        "__name", "__source", "__budget", (end - F.col("k") * QUANTUM).alias("words"),
         ((F.col("__at") + end + F.col("turn") * F.col("__source_size")) / F.col("__weight")).alias("finish"),
     )
     order = ["finish", F.col("__source").asc_nulls_last()]  # one source's packets differ in their finish
@@ -101,12 +108,12 @@ def served(rows: DataFrame) -> DataFrame:
     sums = packets.groupBy("part").agg(F.sum("words").alias("part_words"))
     sums = sums.withColumn("before", F.sum("part_words").over(Window.orderBy("part")) - F.col("part_words"))
     rows = packets.join(F.broadcast(sums), "part")  # as many rows as the order has parts
-    whole = rows.where(F.col("before") + F.col("part_words") <= F.col("__budget")).select("__source", "words")
+    whole = rows.where(F.col("before") + F.col("part_words") <= F.col("__budget")).select("__name", "words")
     cut = rows.where((F.col("before") < F.col("__budget")) & (F.col("before") + F.col("part_words") > F.col("__budget")))
     running = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     cut = cut.withColumn("until", F.col("before") + running)
-    cut = cut.select("__source", F.greatest(F.lit(0), F.least("words", F.col("__budget") - F.col("until") + F.col("words"))).alias("words"))
-    return whole.union(cut).groupBy(F.col("__source").alias("__served_source")).agg(F.sum("words").alias("__served"))
+    cut = cut.select("__name", F.greatest(F.lit(0), F.least("words", F.col("__budget") - F.col("until") + F.col("words"))).alias("words"))
+    return whole.union(cut).groupBy("__name").agg(F.sum("words").alias("__served"))
 
 
 OUT = ("size", "source_size", "weight", "target", "start", "finish", "taken")
@@ -139,7 +146,7 @@ def weighted_fair_mix(
     rows = df.withColumns(added)
     slim = materialize(rows.select(*added), "sizes")
     totals = served(placed(slim, weights, budget))
-    rows = placed(rows, weights, budget).join(totals, F.col("__source").eqNullSafe(F.col("__served_source")), "left")
+    rows = placed(rows, weights, budget, materialize(totals, "served"))
     of_turn = [F.greatest(F.lit(0), F.least(F.col("__size"), F.coalesce("__served", F.lit(0)) - F.col("__at") - turn * F.col("__source_size"))) for turn in range(REPEATS)]
     values = {
         "size": F.col("__size"), "source_size": F.col("__source_size"), "weight": F.col("__weight"), "target": F.col("__target"), "start": F.col("__at") / F.col("__weight"),

@@ -9,15 +9,15 @@ Texts that agree word by word are one class, whatever their ids, before anything
 1. In every bucket of classes, each is paired with the bucket's centre (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
-3. Buckets that still hold several components: each class outside the centre's component is compared with all classes
-   of other components in the bucket, block by block on registers, and every pair that the estimate leaves possible is
-   confirmed inside its block, likeliest first, unless links found there have joined its components. Pairs inside a
-   component need no comparison, so a large group of copies costs its star only.
-4. Crowded buckets, with more than BLOCK such classes (texts of one template, say), are first cut into smaller groups
-   in a way that loses no link: shingles are ordered, those that the centre has last, and two sets that are linked
-   share one within the first part of both (the prefix filter of set similarity joins: of n shingles the first
-   n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger). So classes that share a template but little
-   else don't meet, and step 3 runs on the groups of classes that share such a shingle.
+3. Buckets that still hold several components: the classes outside the component of a bucket's centre are compared with
+   the classes of other components in all buckets of that component, block by block on registers, and every pair that
+   the estimate leaves possible is confirmed inside its block, likeliest first, unless links found there have joined
+   its components. Pairs inside a component need no comparison, so a large group of copies costs its star only.
+4. Where more than BLOCK such classes meet a component (texts of one template, say), they are first cut into smaller groups
+   in a way that loses no link: shingles are ordered, those that the component's first class has last, and two sets
+   that are linked share one within the first part of both (the prefix filter of set similarity joins: of n shingles the
+   first n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger). So classes that share a template but
+   little else don't meet, and step 3 runs on the groups of classes that share such a shingle.
 No bucket is capped, and pairs that aren't links leave no task. Keys with more than a thousandth of the rows (a large
 group of copies has hot buckets and a hot centre) are dealt over salts in every join.
 """
@@ -183,8 +183,12 @@ def _by_cell(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]
 
 
 def _pairs_of_cells(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For parts of each cell: rows of side 0, rows of side 1 in possible pairs of different components, and estimates."""
+    """For parts of each cell: rows of side 0, rows of side 1 in possible pairs of different components, and estimates.
+
+    One row of a pair is a `smaller` one.
+    """
     cell, side, comp = (t.column(k).to_numpy() for k in ("cell", "side", "component"))
+    smaller = t.column("smaller").to_numpy(zero_copy_only=False)
     regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), dtype=np.uint16).reshape(len(t), REGISTERS)
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
     for a, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -192,13 +196,14 @@ def _pairs_of_cells(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         for k in range(0, len(left), 32):
             part = left[k : k + 32]
             estimate, able = estimates(regs[part][:, None, :], regs[right][None, :, :])
+            able &= smaller[part][:, None] | smaller[right][None, :]
             i, j = np.nonzero(able & (comp[part][:, None] != comp[right][None, :]))
             if len(i):
                 yield part[i], right[j], estimate[i, j]
 
 
 def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (cell, side, node, component, registers) that are part of a possible pair."""
+    """The rows (cell, side, node, component, smaller, registers) that are part of a possible pair."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(len(t), dtype=bool)
@@ -210,7 +215,7 @@ def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, node, component, registers, text) to links (x, y), likeliest pairs first.
+    """Rows (cell, side, node, component, smaller, registers, text) to links (x, y), likeliest pairs first.
 
     A pair whose components a link of its part of the cell has joined already needs no set comparison.
     """
@@ -246,27 +251,28 @@ def _confirm_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     return _by_cell(batches, run)
 
 
-def prefixes(s: np.ndarray, centre: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Group keys of a set in a crowded bucket, and for which of them it can be the smaller set of a link."""
+def prefixes(s: np.ndarray, centre: np.ndarray, main: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group keys of a set that meets the component `main`, and for which of them it can be the smaller set of a link."""
     n = len(s)
     known = np.isin(s, centre, assume_unique=True)
-    ordered = np.concatenate([s[~known], s[known]])  # both parts are sorted by hash: one order for all sets of the bucket
+    ordered = np.concatenate([s[~known], s[known]])  # both parts are sorted by hash: one order for all sets that meet it
     smaller, larger = n + 1 + -2 * SIMILARITY * n // (100 + SIMILARITY), n + 1 + -SIMILARITY * n // 100
-    keys = mix(ordered[:larger] * MULTIPLIER + np.uint64(band % (1 << 64)))
+    keys = mix(ordered[:larger] * MULTIPLIER + np.uint64(main % (1 << 64)))
     return keys.view(np.int64), np.arange(larger) < smaller
 
 
 def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, node, component, text, centre's text) to (group, node, component, first). Rows of one centre come together."""
+    """Rows (main, node, component, text, text of main) to (group, node, component, first, smaller). Rows of one main come together."""
     last, centre = None, None
     for b in batches:
-        for band, node, component, text, other in zip(*b.columns, strict=True):
+        for main, node, component, text, other in zip(*b.columns, strict=True):
             other = other.as_py()
             if last is None or other != last:
                 last, centre = other, shingles_of_text(other)
-            keys, first = prefixes(shingles_of_text(text.as_py()), centre, band.as_py())
-            same = lambda x: pa.array(np.full(len(keys), x.as_py(), dtype=np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(keys), same(node), same(component), pa.array(first)], names=["group", "node", "component", "first"])
+            keys, smaller = prefixes(shingles_of_text(text.as_py()), centre, main.as_py())
+            same = lambda x, kind: pa.array(np.full(len(keys), x, dtype=kind))  # noqa: B023, E731
+            columns = [pa.array(keys), same(node.as_py(), np.int64), same(component.as_py(), np.int64), same(component.as_py() != main.as_py(), bool), pa.array(smaller)]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "node", "component", "first", "smaller"])
 
 
 def _with(pairs: DataFrame, values: DataFrame, value: str, hot: DataFrame) -> DataFrame:
@@ -277,46 +283,53 @@ def _with(pairs: DataFrame, values: DataFrame, value: str, hot: DataFrame) -> Da
 
 
 def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (x, y) between different components among classes of one group, from rows (group, node, component, first).
+    """Links (x, y) between different components among classes of one group, from rows (group, node, component, first, smaller).
 
-    One class of a pair is a `first` one. Their blocks meet the group's blocks in cells, so a group of any size is
-    spread over tasks. Registers select the classes of possible pairs; their texts come to the cells, and only links
-    leave them.
+    One class of a pair is a `first` one, and one (or the same) a `smaller` one. Blocks of the first meet blocks of all
+    in cells, so a group of any size is spread over tasks. Registers select the classes of possible pairs; their texts
+    come to the cells, and only links leave them.
     """
-    sizes = groups.groupBy("group").agg(F.count_if("first").alias("n_first"), F.count("*").alias("n_all"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = materialize(sizes.where("n_first > 0 AND n_all > 1 AND low <> high").select("group", "n_first", "n_all"), "groups")
+    sizes = groups.groupBy("group").agg(
+        F.count_if("first").alias("n_first"), F.count("*").alias("n_all"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("smaller").alias("some")
+    )
+    sizes = materialize(sizes.where("n_first > 0 AND n_all > 1 AND low <> high AND some").select("group", "n_first", "n_all"), "groups")
     total = sizes.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     blocks = sizes.select("group", F.ceil(F.col("n_first") / BLOCK).alias("first_blocks"), F.ceil(F.col("n_all") / BLOCK).alias("all_blocks"))
     sized = salted_join(groups, blocks, ["group"], hot_keys(sizes, ["group"], "n_all", total), "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = sized.where("first").select("group", place("first_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "node", "component")
-    other = sized.select("group", upto("first_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "node", "component")
-    cells = one.union(other).select(F.xxhash64("group", "i", "j").alias("cell"), "side", "node", "component").join(sketch, "node").select("cell", "side", "node", "component", "registers")
+    one = sized.where("first").select("group", place("first_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "node", "component", "smaller")
+    other = sized.select("group", upto("first_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "node", "component", "smaller")
+    cells = one.union(other).select(F.xxhash64("group", "i", "j").alias("cell"), "side", "node", "component", "smaller").join(sketch, "node")
     sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
-    wanted = sorted_(cells).mapInArrow(_select_members, "cell long, side int, node long, component long, registers binary")
-    with_text = wanted.join(texts, "node").select("cell", "side", "node", "component", "registers", "text")
+    kept = ["cell", "side", "node", "component", "smaller", "registers"]
+    wanted = sorted_(cells.select(*kept)).mapInArrow(_select_members, "cell long, side int, node long, component long, smaller boolean, registers binary")
+    with_text = wanted.join(texts, "node").select(*kept, "text")
     return sorted_(with_text).mapInArrow(_confirm_cells, "x long, y long").distinct()
 
 
 def _groups(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (group, node, component, first) of the buckets that hold several components; crowded ones are cut by prefixes."""
-    labelled = shared.join(found, "node", "left").select("band", "node", "centre", "n", F.coalesce("component", "node").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    mains = labelled.where("node = centre").select("band", F.col("component").alias("main"))
-    sizes = labelled.select("band", "n").distinct()
-    hot = hot_keys(sizes, ["band"], "n", labelled.count())
-    marked = materialize(salted_join(labelled, mains, ["band"], hot, "node").withColumn("first", F.col("component") != F.col("main")), "marked")
-    outside = marked.where("first").groupBy("band", "n").agg(F.count("*").alias("n_first"))
-    opened = materialize(salted_join(marked.drop("n"), outside, ["band"], hot, "node"), "opened")
-    few = opened.where(F.col("n_first") <= BLOCK).select(F.col("band").alias("group"), "node", "component", "first")
-    crowded = opened.where(F.col("n_first") > BLOCK).select("band", "node", "component", "centre").join(texts, "node")
-    crowds = opened.where((F.col("n_first") > BLOCK) & (F.col("node") == F.col("centre"))).groupBy("centre").agg(F.sum("n").alias("n"))
-    total = crowds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    centres = texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
-    beside = salted_join(crowded, centres, ["centre"], hot_keys(crowds, ["centre"], "n", total), "node").sortWithinPartitions("centre")
-    cut = beside.select("band", "node", "component", "text", "centre_text").mapInArrow(_prefix_groups, "group long, node long, component long, first boolean")
-    return materialize(few.union(cut), "members")
+    """Rows (group, node, component, first, smaller) of the classes that share a bucket with a centre of another component.
+
+    A group is what meets one component (main) in any of its buckets; where more than BLOCK classes of others do, it is
+    cut by prefixes.
+    """
+    labelled = materialize(shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"), F.count("*").alias("n")).where("low <> high")
+    bands = materialize(bands.select("band", "main", "n"), "mains")
+    total = labelled.count()
+    met = salted_join(labelled, bands.drop("n"), ["band"], hot_keys(bands, ["band"], "n", total), "node")
+    met = materialize(met.select("main", "node", "component").distinct().withColumn("first", F.col("component") != F.col("main")), "met")
+    sizes = materialize(met.groupBy("main").agg(F.count("*").alias("n"), F.count_if("first").alias("n_first")), "sizes")
+    hot = hot_keys(sizes, ["main"], "n", met.count())
+    of_size = salted_join(met, sizes.select("main", (F.col("n_first") > BLOCK).alias("crowded")), ["main"], hot, "node")
+    few = of_size.where("NOT crowded").select(F.col("main").alias("group"), "node", "component", "first", F.lit(True).alias("smaller"))
+    crowded = of_size.where("crowded").select("main", "node", "component").join(texts, "node")
+    beside = salted_join(crowded, texts.select(F.col("node").alias("main"), F.col("text").alias("main_text")), ["main"], hot, "node").sortWithinPartitions("main")
+    cut = beside.select("main", "node", "component", "text", "main_text").mapInArrow(_prefix_groups, "group long, node long, component long, first boolean, smaller boolean")
+    out = materialize(few.union(cut), "members")
+    release(labelled, bands, met, sizes)
+    return out
 
 
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
