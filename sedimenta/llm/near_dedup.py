@@ -9,15 +9,16 @@ Texts that agree word by word are one class, whatever their ids, before anything
 1. In every bucket of classes, each is paired with the bucket's centre (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
-3. Buckets that still hold several components: the classes outside the component of a bucket's centre are compared with
-   the classes of other components in all buckets of that component, block by block on registers, and every pair that
-   the estimate leaves possible is confirmed inside its block, likeliest first, unless links found there have joined
-   its components. Pairs inside a component need no comparison, so a large group of copies costs its star only.
-4. Where more than BLOCK such classes meet a component (texts of one template, say), they are first cut into smaller groups
-   in a way that loses no link: shingles are ordered, those that the component's first class has last, and two sets
-   that are linked share one within the first part of both (the prefix filter of set similarity joins: of n shingles the
-   first n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger). So classes that share a template but
-   little else don't meet, and step 3 runs on the groups of classes that share such a shingle.
+3. Buckets that still hold several components: each class outside the centre's component is compared with all classes
+   of other components in the bucket, block by block on registers, and every pair that the estimate leaves possible is
+   confirmed inside its block, likeliest first, unless links found there have joined its components. Pairs inside a
+   component need no comparison, so a large group of copies costs its star only.
+4. Where more than CROWD such classes stand in a bucket (texts of one template, say), they and what meets the same component
+   are first cut into smaller groups in a way that loses no link: shingles are ordered, those that the component's first
+   class has last, and two sets that are linked share one within the first part of both (the prefix filter of set
+   similarity joins: of n shingles the first n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger). So
+   classes that share a template but little else don't meet, and step 3 runs on the groups of classes that share such a
+   shingle. A class is compared with CROWD others in a bucket at most, or with those of its groups.
 No bucket is capped, and pairs that aren't links leave no task. Keys with more than a thousandth of the rows (a large
 group of copies has hot buckets and a hot centre) are dealt over salts in every join.
 """
@@ -44,8 +45,8 @@ BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Standard errors below the threshold from which on an estimate rules a pair out, and how often two different
 #: registers agree by chance: about a third (equal zero counts) of one in 2^MANTISSA.
 ERRORS, COLLISION = 5.0, 1 / 3 / (1 << MANTISSA)
-#: Classes of a block in step 3; more of them outside the centre's component make a bucket crowded.
-BLOCK = 256
+#: Classes of a block in step 3, and those outside the centre's component beyond which a bucket is crowded.
+BLOCK, CROWD = 256, 1024
 #: Of each register the order in which it looks for an occupied one, itself first.
 PROBES = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=1)
 BANDED = PROBES[: BANDS * ROWS]
@@ -309,26 +310,26 @@ def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) ->
 
 
 def _groups(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (group, node, component, first, smaller) of the classes that share a bucket with a centre of another component.
+    """Rows (group, node, component, first, smaller) of the buckets that hold several components.
 
-    A group is what meets one component (main) in any of its buckets; where more than BLOCK classes of others do, it is
-    cut by prefixes.
+    The classes outside the component of a bucket's centre (main) are its first ones. Crowded buckets are put together by
+    their main component and cut by prefixes.
     """
     labelled = materialize(shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
     bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"), F.count("*").alias("n")).where("low <> high")
     bands = materialize(bands.select("band", "main", "n"), "mains")
-    total = labelled.count()
-    met = salted_join(labelled, bands.drop("n"), ["band"], hot_keys(bands, ["band"], "n", total), "node")
-    met = materialize(met.select("main", "node", "component").distinct().withColumn("first", F.col("component") != F.col("main")), "met")
-    sizes = materialize(met.groupBy("main").agg(F.count("*").alias("n"), F.count_if("first").alias("n_first")), "sizes")
-    hot = hot_keys(sizes, ["main"], "n", met.count())
-    of_size = salted_join(met, sizes.select("main", (F.col("n_first") > BLOCK).alias("crowded")), ["main"], hot, "node")
-    few = of_size.where("NOT crowded").select(F.col("main").alias("group"), "node", "component", "first", F.lit(True).alias("smaller"))
-    crowded = of_size.where("crowded").select("main", "node", "component").join(texts, "node")
-    beside = salted_join(crowded, texts.select(F.col("node").alias("main"), F.col("text").alias("main_text")), ["main"], hot, "node").sortWithinPartitions("main")
+    hot = hot_keys(bands, ["band"], "n", labelled.count())
+    met = salted_join(labelled, bands.drop("n"), ["band"], hot, "node").withColumn("first", F.col("component") != F.col("main"))
+    met = materialize(met, "met")
+    crowded = materialize(met.where("first").groupBy("band").agg(F.count("*").alias("n_first")).where(F.col("n_first") > CROWD), "crowded")
+    few = met.join(crowded, "band", "left_anti").select(F.col("band").alias("group"), "node", "component", "first", F.lit(True).alias("smaller"))
+    many = materialize(salted_join(met, crowded, ["band"], hot, "node").select("main", "node", "component").distinct(), "many")
+    hot = hot_keys(many.groupBy("main").agg(F.count("*").alias("n")), ["main"], "n", many.count())
+    mains = texts.select(F.col("node").alias("main"), F.col("text").alias("main_text")).join(many.select("main").distinct(), "main", "left_semi")
+    beside = salted_join(many.join(texts, "node"), mains, ["main"], hot, "node").sortWithinPartitions("main")
     cut = beside.select("main", "node", "component", "text", "main_text").mapInArrow(_prefix_groups, "group long, node long, component long, first boolean, smaller boolean")
     out = materialize(few.union(cut), "members")
-    release(labelled, bands, met, sizes)
+    release(labelled, bands, met, crowded, many)
     return out
 
 

@@ -110,6 +110,7 @@ def near_copies(n=160, words=60):
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CROWD", block)
     docs = near_copies()
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
