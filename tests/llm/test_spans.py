@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm import boosting, pii, secret_scan, spans
 from sedimenta.llm.spans import joined
 
+from labelled_pii import LABELLED
+
 PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 ANY = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
 SECRETS = [("assign", rf"""({ANY('password')}|{ANY('passwd')}|{ANY('secret')}|{ANY('token')}|{ANY('api')}_?{ANY('key')})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
@@ -66,6 +69,18 @@ def test_spelt_addresses_in_any_case(spark):
     assert got == {1: [(5, pii.EMAIL, 27)], 2: [(5, pii.EMAIL, 23)], 3: [(5, pii.EMAIL, 27)]}
 
 
+def test_recall_and_precision_on_rows_that_the_generator_did_not_write(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LABELLED)], "doc_id long, text string")
+    right, found, wanted = Counter(), Counter(), Counter(k for _, spans in LABELLED for _, k in spans)
+    for r in pii.find(df, pii.fit(spark), ["doc_id"]).collect():
+        text, spans = LABELLED[r.doc_id]
+        got = {(text[s.start : s.end], pii.KINDS[s.kind]) for s in r.added}
+        found.update(k for _, k in got)
+        right.update(k for _, k in got & set(spans))
+    assert right["phone"] >= 0.85 * wanted["phone"] and all(right[k] >= 0.95 * wanted[k] for k in ("email", "ip", "card"))
+    assert sum(right.values()) >= 0.9 * sum(found.values())
+
+
 def test_adjacent_numbers(spark):
     phones = ["(578) 555-6437", "(212) 555-1234", "578-555-6437", "212-555-1234"]
     texts = {
@@ -156,6 +171,8 @@ def test_op4_and_op6_over_the_table(spark, sf, docs_001):
             assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
             assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
             assert [getattr(r, f"n_{k}") for k, _ in patterns] == [base.count(f"{k}:") for k, _ in patterns]
+            if patterns is PII:
+                assert r.has_personal_data == bool(r.spans) and sum(r[f"n_added_{k}"] for k, _ in PII) == len(set(r.spans.split(",")) - set(base.split(","))) - (not r.spans)
 
 
 def test_many_spans_of_one_text_take_linear_time(spark):
