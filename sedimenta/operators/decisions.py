@@ -97,7 +97,7 @@ def next_state(rows: DataFrame, state: str, action: str, revision: str, expected
     """Commands on a state machine with optimistic revisions (D13, D28): adds next_state and refused (null, stale or illegal)."""
     spark = rows.sparkSession
     legal = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("__from"), F.lit(b).alias("__action"), F.lit(c).alias("next_state")) for a, b, c in transitions])))
-    joined = rows.join(F.broadcast(legal), (F.col(state) == F.col("__from")) & (F.col(action) == F.col("__action")), "left")  # a table of constants
+    joined = rows.join(legal, (F.col(state) == F.col("__from")) & (F.col(action) == F.col("__action")), "left")
     stale = ~F.col(revision).eqNullSafe(F.col(expected_revision))
     refused = F.when(stale, "stale").when(F.col("next_state").isNull(), "illegal")
     return joined.withColumn("refused", refused).withColumn("next_state", F.when(refused.isNull(), F.col("next_state")).otherwise(F.col(state))).drop("__from", "__action")

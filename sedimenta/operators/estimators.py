@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sedimenta.session import materialize
+
 #: The normal quantile of a 95 % interval, the prior of an accuracy, the least counts for an estimate.
 Z95 = 1.959963984540054
 PRIOR_RIGHT, PRIOR_WRONG = 15.0, 5.0
@@ -44,6 +46,30 @@ def hajek(rows: DataFrame) -> DataFrame:
     return w.agg(F.count("*").alias("n_records"), F.try_divide(hit, total).alias("estimate"), F.try_divide(total * total, F.sum(F.col("w") * F.col("w"))).alias("ess"))
 
 
+def exact_quantiles(rows: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row with linearly interpolated quantiles of a numeric column, by name (F36); null for no value.
+
+    The values are range-partitioned; counts of the parts tell which parts hold the ranks asked for, and only these are
+    numbered. Nulls don't count.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    v = materialize(v.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
+    counts = v.groupBy("part").agg(F.count("*").alias("n"))  # a row for each part
+    counts = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    place = {n: (F.col("total") - 1) * F.lit(float(p)) for n, p in at.items()}
+    within = lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))
+    wanted = F.lit(False)
+    for k in place.values():
+        wanted = wanted | within(F.floor(k)) | within(F.ceil(k))
+    few = v.join(counts.where(wanted), "part")
+    few = few.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1)
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    low, high = {n: pick(F.floor(k)) for n, k in place.items()}, {n: pick(F.ceil(k)) for n, k in place.items()}
+    share = {n: F.max(k - F.floor(k)) for n, k in place.items()}
+    return few.agg(*[(low[n] + (high[n] - low[n]) * share[n]).alias(n) for n in at])
+
+
 def hash_index(parts: list[Column], n: Column) -> Column:
     """The first 8 bytes of SHA-256 over NUL-joined parts, as an unsigned number modulo n."""
     digest = F.sha2(F.concat_ws("\0", *parts), 256)

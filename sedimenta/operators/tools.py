@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decisions import available, presence
-from .graph import descendants, lineages
+from .graph import descendants
 
 
 def scope(rollup: DataFrame, scope_type: str, scope_id: str | None = None) -> DataFrame:
@@ -33,8 +33,17 @@ def species(catalogue: DataFrame, counts: DataFrame, key: str, taxon: str) -> Da
 
 
 def trace(nodes: DataFrame, node: str) -> DataFrame:
-    """A node's lineage, root first (G1)."""
-    return lineages(nodes).where(F.col("node") == F.lit(node)).select("node", "depth", "state", F.posexplode("path").alias("place", "ancestor"))
+    """A node's lineage, root first: node, depth, state, place, ancestor (G1). Only its own ancestors are walked.
+
+    state: rooted, missing_parent (the topmost ancestor's parent isn't a node) or cycle (no ancestor without a parent).
+    An unknown node gives no rows.
+    """
+    root = nodes.where(F.col("node") == F.lit(node)).select("node")
+    up = descendants(nodes.where(F.col("parent").isNotNull()).select(F.col("node").alias("parent"), F.col("parent").alias("child")), root)
+    rows = up.join(nodes.select("node", "parent"), "node", "left").join(nodes.select(F.col("node").alias("known"), F.lit(True).alias("is_known")), F.col("node") == F.col("known"), "left")
+    ends = rows.agg(F.max(F.when(F.col("is_known"), F.col("depth"))).alias("top"), F.bool_or(F.col("is_known").isNull()).alias("lost"), F.bool_or(F.col("is_known") & F.col("parent").isNull()).alias("rooted"))
+    state = F.when(F.coalesce("lost", F.lit(False)), "missing_parent").when(F.col("rooted"), "rooted").otherwise("cycle")
+    return rows.where("is_known").join(ends).select(F.lit(node).alias("node"), F.col("top").alias("depth"), state.alias("state"), (F.col("top") - F.col("depth")).alias("place"), F.col("node").alias("ancestor")).orderBy("place")
 
 
 def dependents(edges: DataFrame, node: str) -> DataFrame:
@@ -64,3 +73,57 @@ def contribution(events: DataFrame, reviewer: str) -> DataFrame:
     own = events.where(F.col("reviewer") == F.lit(reviewer))
     cells = own.select(F.explode("cells").alias("cell")).agg(F.countDistinct("cell").alias("cells"))
     return own.agg(F.count("*").alias("events"), F.countDistinct("subject").alias("subjects"), F.countDistinct("species").alias("species")).join(cells)
+
+
+def candidate(candidates: DataFrame, candidate_id: str) -> DataFrame:
+    """One release candidate with its gates; what blocks it is listed, a gate that isn't known blocks."""
+    gates = [c for c, kind in candidates.dtypes if kind == "boolean"]
+    closed = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(g), F.lit(False)), F.lit(g)) for g in gates]))
+    return candidates.where(F.col("candidate") == F.lit(candidate_id)).withColumn("blockers", closed)
+
+
+def classification(results: DataFrame, media: str) -> DataFrame:
+    """The latest classification of a medium for each model; a label without a score is unavailable."""
+    last = results.where(F.col("media") == F.lit(media)).groupBy("media", "model").agg(F.max_by(F.struct("label", "score"), F.struct("recorded_s", "label")).alias("c"))
+    return last.select("media", "model", F.col("c.label").alias("label"), available(F.col("c.score"), "the model gave no score").alias("score"))
+
+
+def reviewer_quality(estimates: DataFrame, reviewer: str) -> DataFrame:
+    """A reviewer's own estimate, or why there is none."""
+    rows = estimates.where(F.col("reviewer") == F.lit(reviewer))
+    return rows.select("reviewer", available(F.col("estimate"), "too little evidence").alias("estimate"), "blockers")
+
+
+def pipeline_status(stages: DataFrame) -> DataFrame:
+    """Stages (stage, state) with counts by state; a stage without rows isn't there."""
+    return stages.groupBy("stage").agg(F.count("*").alias("items"), *[F.count_if(F.col("state") == s).alias(s) for s in ("committed", "running", "failed", "waiting")]).orderBy("stage")
+
+
+def next_species(rows: DataFrame, k: int = 1) -> DataFrame:
+    """The species to work on next: fewest records, most open conflicts, then the name."""
+    return rows.orderBy("records", F.desc("open_conflicts"), "name", "taxon_key").limit(k)
+
+
+def impact_report(events: DataFrame) -> DataFrame:
+    """Reviewers with distinct subjects, species and cells of their effective events."""
+    cells = events.select("reviewer", F.explode("cells").alias("cell")).groupBy("reviewer").agg(F.countDistinct("cell").alias("cells"))
+    per = events.groupBy("reviewer").agg(F.count("*").alias("events"), F.countDistinct("subject").alias("subjects"), F.countDistinct("species").alias("species"))
+    return per.join(cells, "reviewer", "left").na.fill(0, ["cells"]).orderBy("reviewer")
+
+
+#: Bytes that a tool's result may have.
+LIMIT = 65_536
+
+
+def envelope(rows: DataFrame, tool: str, limit: int = LIMIT) -> DataFrame:
+    """A tool's result as one row (X7): tool, row_count, result (a JSON array, rows sorted), bytes and fingerprint. Larger than `limit` is an error.
+
+    Sizes are added up before any list is made, so a result that is too large isn't collected into one.
+    """
+    lines = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("line"))
+    size = lines.agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("n")).first()[0]
+    if size + 1 > limit:
+        raise ValueError(f"{tool}: a result of {size} bytes; the limit is {limit}")
+    text = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("line")), ","), F.lit("]"))
+    one = lines.agg(F.count("*").alias("row_count"), text.alias("result"))
+    return one.select(F.lit(tool).alias("tool"), "row_count", "result", F.octet_length("result").alias("bytes"), F.sha2("result", 256).alias("fingerprint"))

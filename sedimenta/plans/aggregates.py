@@ -29,22 +29,30 @@ def q_category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-WITH o AS (SELECT n_name, o_orderkey, sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)) AS fp
-           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-b AS (SELECT n_name, o_orderkey // 1000 AS bucket, count(*) AS n, sha256(string_agg(fp || chr(10), '' ORDER BY o_orderkey)) AS d FROM o GROUP BY 1, 2)
-SELECT n_name, sum(n)::BIGINT AS record_count, sha256(string_agg(d || chr(10), '' ORDER BY bucket)) AS digest FROM b GROUP BY 1
-""")
+#: A digest's fan-in, and its levels before the last: keys up to FAN ** (LEVELS + 1) leave at most FAN parts to it.
+FAN, LEVELS = 1000, 4
+DIGEST_SQL = """
+WITH d0 AS (SELECT n_name, o_orderkey AS k, 1 AS n, sha256(concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)) AS d
+            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""" + "".join(f""",
+d{i + 1} AS (SELECT n_name, k // {FAN} AS k, sum(n) AS n, sha256(string_agg(d || chr(10), '' ORDER BY k)) AS d FROM d{i} GROUP BY 1, 2)""" for i in range(LEVELS)) + f"""
+SELECT n_name, sum(n)::BIGINT AS record_count, sha256(string_agg(d || chr(10), '' ORDER BY k)) AS digest FROM d{LEVELS} GROUP BY 1
+"""
+
+
+@query(DIGEST_SQL)
 def q_scope_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, A10: a digest of a scope's row hashes in key order, in two levels so that no group grows with the table."""
+    """A3, A10: a digest of a scope's row hashes in key order, level by level, so that no list has more than FAN parts."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     fp = F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_orderpriority"), 256)
-    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "o_orderkey", fp.alias("fp"))
-    ordered = lambda k, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda s: F.concat(s[v], F.lit("\n"))), ""), 256)
-    buckets = rows.groupBy("n_name", F.floor(F.col("o_orderkey") / 1000).alias("bucket")).agg(F.count("*").alias("n"), ordered("o_orderkey", "fp").alias("d"))
-    return buckets.groupBy("n_name").agg(F.sum("n").alias("record_count"), ordered("bucket", "d").alias("digest"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("n_name", F.col("o_orderkey").alias("k"), F.lit(1).alias("n"), fp.alias("d"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: F.concat(s["d"], F.lit("\n")))
+    digest = F.sha2(F.array_join(parts, ""), 256)
+    for _ in range(LEVELS):
+        rows = rows.groupBy("n_name", F.floor(F.col("k") / FAN).alias("up")).agg(F.sum("n").alias("n"), digest.alias("d")).withColumnRenamed("up", "k")
+    return rows.groupBy("n_name").agg(F.sum("n").alias("record_count"), digest.alias("digest"))
 
 
 @query("""
@@ -66,17 +74,16 @@ def q_rights_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT lower(trim(regexp_replace(substr(text, 1, 200), '[ \\t\\n\\r]+', ' ', 'g'))) AS comparable, count(*) AS doc_count, count(DISTINCT source) AS source_count,
-       count(DISTINCT lang) AS lang_count, min(doc_id) AS canonical_id, max(doc_id) AS last_id, count(DISTINCT lang) > 1 AS conflict,
-       'mirror:v1:' || substr(sha256(lower(trim(regexp_replace(substr(text, 1, 200), '[ \\t\\n\\r]+', ' ', 'g')))), 1, 24) AS group_id
-FROM documents GROUP BY 1 HAVING count(DISTINCT source) >= 2
+SELECT identity, count(*) AS doc_count, count(DISTINCT source) AS source_count, count(DISTINCT lang) AS lang_count, min(doc_id) AS canonical_id, max(doc_id) AS last_id,
+       count(DISTINCT lang) > 1 AS conflict, 'mirror:v1:' || substr(identity, 1, 24) AS group_id
+FROM (SELECT *, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS identity FROM documents) GROUP BY 1 HAVING count(DISTINCT source) >= 2
 """.replace("\\\\", "\\"))
 def q_mirror_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by comparable opening, held by two sources or more, with a conflict flag."""
-    comparable = F.lower(F.trim(F.regexp_replace(F.substring("text", 1, 200), "[ \\t\\n\\r]+", " ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", comparable.alias("comparable"))
-    groups = docs.groupBy("comparable").agg(F.count("*").alias("doc_count"), F.countDistinct("source").alias("source_count"), F.countDistinct("lang").alias("lang_count"), F.min("doc_id").alias("canonical_id"), F.max("doc_id").alias("last_id"))
-    return groups.where("source_count >= 2").withColumns({"conflict": F.col("lang_count") > 1, "group_id": F.concat(F.lit("mirror:v1:"), F.substring(F.sha2("comparable", 256), 1, 24))})
+    """Groups of texts that are comparable as a whole, held by two sources or more, with a conflict flag."""
+    identity = F.sha2(F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))), 256)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", identity.alias("identity"))
+    groups = docs.groupBy("identity").agg(F.count("*").alias("doc_count"), F.countDistinct("source").alias("source_count"), F.countDistinct("lang").alias("lang_count"), F.min("doc_id").alias("canonical_id"), F.max("doc_id").alias("last_id"))
+    return groups.where("source_count >= 2").withColumns({"conflict": F.col("lang_count") > 1, "group_id": F.concat(F.lit("mirror:v1:"), F.substring("identity", 1, 24))})
 
 
 @query("""
@@ -188,7 +195,7 @@ def q_quality_hajek(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id")
     taken = sampled.groupBy("stratum").agg(F.count("*").alias("taken"))
     whole = frame.agg(F.sum("n").alias("whole"))
-    strata = frame.join(taken, "stratum").join(F.broadcast(whole)).select("stratum", (F.col("taken") / F.col("n")).alias("p"), (F.col("n") / F.col("whole")).alias("share"))
+    strata = frame.join(taken, "stratum").join(whole).select("stratum", (F.col("taken") / F.col("n")).alias("p"), (F.col("n") / F.col("whole")).alias("share"))
     rows = sampled.join(strata, "stratum").select("stratum", "share", "p", (F.col("quality") == 1).alias("supported"))
     return hajek(rows).select("n_records", F.round("estimate", 6).alias("estimate"), F.round("ess", 4).alias("ess"))
 
@@ -230,11 +237,13 @@ SELECT count(*) AS row_count, min(v) AS low, max(v) AS high, round(quantile_cont
 """)
 def q_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact linear quantiles and visual scales."""
-    v = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").agg(
-        F.count("*").alias("row_count"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.percentile(v, 0.25), 6).alias("q25"), F.round(F.percentile(v, 0.5), 6).alias("q50"), F.round(F.percentile(v, 0.9), 6).alias("q90"),
-        F.round(F.log10(F.max(v) + 1), 6).alias("log_scale"), F.round(F.sqrt(F.max(v)), 6).alias("root_scale"),
-    )
+    from sedimenta.operators.estimators import exact_quantiles
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("v"))
+    found = exact_quantiles(orders, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    ends = orders.agg(F.count("*").alias("row_count"), F.min("v").alias("low"), F.max("v").alias("high"))
+    rounded = [F.round(q, 6).alias(q) for q in ("q25", "q50", "q90")]
+    return ends.join(found).select("row_count", "low", "high", *rounded, F.round(F.log10(F.col("high") + 1), 6).alias("log_scale"), F.round(F.sqrt("high"), 6).alias("root_scale"))
 
 
 @query("""

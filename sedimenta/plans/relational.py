@@ -131,7 +131,7 @@ SELECT n_name, o_orderkey, r::INT AS place FROM (
 def q_first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two records of each cell; the rank limit runs before the shuffle."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     w = Window.partitionBy("n_name").orderBy("o_orderkey")
     return rows.select("n_name", "o_orderkey", F.row_number().over(w).alias("place")).where("place <= 2")
 
@@ -205,7 +205,7 @@ SELECT n_name, count(*) AS supplier_count, bool_or(s_suppkey % 2 = 0) AS any_eve
 def q_array_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership in an array, as an exploded equi-join."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array_distinct(F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25))).alias("n_nationkey"))
-    return s.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), "n_nationkey").groupBy("n_name").agg(F.count("*").alias("supplier_count"), F.bool_or(F.col("s_suppkey") % 2 == 0).alias("any_even"))
+    return s.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").groupBy("n_name").agg(F.count("*").alias("supplier_count"), F.bool_or(F.col("s_suppkey") % 2 == 0).alias("any_even"))
 
 
 @query("""
@@ -251,17 +251,17 @@ def q_takedown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH RECURSIVE e AS (
   SELECT d.doc_id AS a, m AS b FROM documents d JOIN (SELECT n_chars, min(doc_id) AS m FROM documents GROUP BY 1) USING (n_chars)
-  UNION SELECT d.doc_id, m FROM documents d JOIN (SELECT substr(text, 1, 40) AS k, min(doc_id) AS m FROM documents GROUP BY 1) ON substr(text, 1, 40) = k
+  UNION SELECT d.doc_id, m FROM documents d JOIN (SELECT sha256(text) AS k, min(doc_id) AS m FROM documents GROUP BY 1) ON sha256(text) = k
 ), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS x, a AS y FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a)
 SELECT x AS doc_id, min(y) AS component FROM r GROUP BY 1
 """)
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents that share a length or an opening; keys link to their smallest document."""
+    """Components of documents that share a length or a text; keys link to their smallest document."""
     from sedimenta.operators.graph import components
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 40).alias("opening"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
     star = lambda key: docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("b")), key).select(F.col("doc_id").alias("a"), "b")
-    found = components(star("n_chars").union(star("opening")))
+    found = components(star("n_chars").union(star("digest")))
     return docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
@@ -326,7 +326,7 @@ def q_secure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows for members only, a column for one role only."""
     role = F.when(F.col("n_regionkey") == 1, "viewer").when(F.col("n_regionkey") == 2, "curator")
     members = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), role.alias("role")).where("role IS NOT NULL")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(F.broadcast(members), "c_nationkey")  # at most 25 rows
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(members, "c_nationkey")
     return rows.select("c_custkey", F.when(F.col("role") == "curator", F.col("c_acctbal")).alias("c_acctbal"), "role")
 
 

@@ -8,20 +8,6 @@ from pyspark.sql import functions as F
 from .registry import query, table
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its order, customer, nation and region, pruned to what the rollups read."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    # nation and region are dimensions of fixed size (25 and 5 rows)
-    places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    )
-
-
 SCOPE_SQL = """
 WITH s AS (
   SELECT l_orderkey, l_suppkey, l_quantity, l_returnflag, CAST(l_shipdate AS DATE) AS d, c_mktsegment, n_name, r_name
@@ -42,16 +28,32 @@ FROM f GROUP BY 1, 2, 3
 
 @query(SCOPE_SQL)
 def q_scope_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2: every row counts in the scopes that it is eligible for; one aggregate over all scopes."""
-    s = sales(spark, sf_dir)
-    scope = lambda order, kind, of: F.struct(F.lit(order).alias("scope_order"), F.lit(kind).alias("scope_type"), of.alias("scope_id"))
-    scopes = F.array_compact(F.array(
-        scope(0, "world", F.lit("world")), scope(1, "region", F.col("r_name")),
-        F.when(F.col("l_returnflag") != "R", scope(2, "nation", F.col("n_name"))),
-        F.when(F.col("l_returnflag") == "N", scope(3, "segment", F.col("c_mktsegment"))),
-    ))
-    rows = s.select(F.explode(scopes).alias("s"), "l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", F.col("l_shipdate").cast("date").alias("d"))
-    return rows.groupBy("s.scope_order", "s.scope_type", "s.scope_id").agg(
-        F.count("*").alias("record_count"), F.countDistinct("l_orderkey").alias("order_count"), F.countDistinct("l_suppkey").alias("supplier_count"),
-        F.count_if(F.col("l_returnflag") == "R").alias("returned_count"), F.sum("l_quantity").alias("sum_qty"), F.min("d").alias("first_ship"), F.max("d").alias("last_ship"),
+    """A1, A2: every row counts in the scopes that it is eligible for.
+
+    Lines become one row an order first, with its sums for each scope's lines, so an order counts once in a scope
+    without a distinct count; suppliers are counted from distinct (place, segment, flag, supplier) rows.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", F.col("l_shipdate").cast("date").alias("d"))
+    flag = F.col("l_returnflag")
+    kinds = {"world": F.lit(True), "nation": flag != "R", "segment": flag == "N"}
+    measures = lambda c: F.struct(
+        F.count_if(c).alias("n"), F.count_if(c & (flag == "R")).alias("returned"), F.sum(F.when(c, F.col("l_quantity"))).alias("qty"), F.min(F.when(c, F.col("d"))).alias("first"), F.max(F.when(c, F.col("d"))).alias("last"),
     )
+    per = lines.groupBy("l_orderkey").agg(*[measures(c).alias(k) for k, c in kinds.items()], F.collect_set(F.struct("l_returnflag", "l_suppkey")).alias("suppliers"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    per = per.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    scopes = {("world", 0): (F.lit("world"), "world"), ("region", 1): (F.col("r_name"), "world"), ("nation", 2): (F.col("n_name"), "nation"), ("segment", 3): (F.col("c_mktsegment"), "segment")}
+    named = lambda kind, order, of: [F.lit(order).alias("scope_order"), F.lit(kind).alias("scope_type"), of.alias("scope_id")]
+    each = F.explode(F.array(*[F.struct(*named(*k, of), F.col(m).alias("m")) for k, (of, m) in scopes.items()]))
+    keys = ["scope_order", "scope_type", "scope_id"]
+    m = per.select(each.alias("s")).select("s.scope_order", "s.scope_type", "s.scope_id", "s.m.*").where("n > 0")
+    m = m.groupBy(*keys).agg(
+        F.sum("n").alias("record_count"), F.count("*").alias("order_count"), F.sum("returned").alias("returned_count"), F.sum("qty").alias("sum_qty"), F.min("first").alias("first_ship"), F.max("last").alias("last_ship")
+    )
+    s = per.select("r_name", "n_name", "c_mktsegment", F.inline("suppliers")).distinct()
+    eligible = {"world": F.lit(True), "nation": flag != "R", "segment": flag == "N"}
+    each = F.explode(F.array_compact(F.array(*[F.when(eligible[m_], F.struct(*named(*k, of))) for k, (of, m_) in scopes.items()])))
+    s = s.select(each.alias("s"), "l_suppkey").select("s.*", "l_suppkey").distinct().groupBy(*keys).agg(F.count("*").alias("supplier_count"))
+    return m.join(s, keys).select(*keys, "record_count", "order_count", "supplier_count", "returned_count", "sum_qty", "first_ship", "last_ship")

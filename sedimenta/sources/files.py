@@ -110,8 +110,8 @@ def read_pairs(spark: SparkSession, path: str, key: str = "Dataset:", value: str
     from pyspark.sql.window import Window
 
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), line)
-    named = lines.withColumn("name", F.last(F.when(F.col("line").startswith(key), F.trim(F.substring("line", len(key) + 1, 10_000))), ignorenulls=True).over(Window.partitionBy("file").orderBy("n")))
-    pairs = named.where(F.col("line").startswith(value)).select("name", F.trim(F.substring("line", len(value) + 1, 10_000)).alias("value"))
+    named = lines.withColumn("name", F.last(F.when(F.col("line").startswith(key), F.trim(F.substring("line", F.lit(len(key) + 1), F.length("line")))), ignorenulls=True).over(Window.partitionBy("file").orderBy("n")))
+    pairs = named.where(F.col("line").startswith(value)).select("name", F.trim(F.substring("line", F.lit(len(value) + 1), F.length("line"))).alias("value"))
     checked = pairs.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("value"))
     return checked.select("name", F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("repeated name "), "name"))).alias("value"))
 
