@@ -24,8 +24,13 @@ def utf8(text: Column) -> Column:
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Of rows (keys, n) those with more than 1 / SHARE of `total` rows, with the salts that split them: below SHARE rows."""
-    return counts.where(F.col(n) * SHARE > total).select(*keys, F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).alias("__salts"))
+    """Of rows (keys, n) those with more than 1 / SHARE of `total` rows, with the salts that split them: below SHARE rows.
+
+    One more row has no key, so that the plan is the same whether or not a key is hot.
+    """
+    hot = counts.where(F.col(n) * SHARE > total).select(*keys, F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).alias("__salts"))
+    none = counts.sparkSession.range(1).select(*[F.lit(None).cast(counts.schema[k].dataType).alias(k) for k in keys], F.lit(1).cast("long").alias("__salts"))
+    return hot.union(none)
 
 
 def salted_join(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
