@@ -186,3 +186,38 @@ def test_tools(spark):
     e = spark.createDataFrame([("me", "s1", "sp", ["c1", "c2"]), ("me", "s1", "sp", ["c2"]), ("you", "s2", "sp", ["c3"])], "reviewer string, subject string, species string, cells array<string>")
     assert tuple(tools.contribution(e, "me").first()) == (2, 1, 1, 2)
     assert one(spark, x=text.normalised(F.lit("Ａß")), y=text.normalised(F.lit("AB"))) == ("ass", "ab")
+
+
+def test_read_tools_by_identity(spark):
+    from sedimenta.operators import tools
+
+    n = spark.createDataFrame([("r", None), ("a", "r"), ("x", "y"), ("y", "x"), ("z", "gone")], "node string, parent string")
+    assert {k: (r.state, r.depth) for k in "axz" for r in [tools.trace(n, k).first()]} == {"a": ("rooted", 1), "x": ("cycle", 1), "z": ("missing_parent", 0)}
+    c = spark.createDataFrame([("k", True, None), ("j", True, True)], "candidate string, rights boolean, date boolean")
+    assert tools.candidate(c, "k").first().blockers == ["date"] and tools.candidate(c, "j").first().blockers == []
+    m = spark.createDataFrame([("m", "a", "old", 0.1, 1), ("m", "a", "new", None, 2)], "media string, model string, label string, score double, recorded_s long")
+    got = tools.classification(m, "m").first()
+    assert (got.label, got.score.status) == ("new", "unavailable")
+    s = spark.createDataFrame([("p", "committed"), ("p", "failed"), ("q", "waiting")], "stage string, state string")
+    assert [(r.stage, r["items"], r.failed) for r in tools.pipeline_status(s).collect()] == [("p", 2, 1), ("q", 1, 0)]
+    e = tools.envelope(s, "pipeline_status")
+    assert json.loads(e.first().result)[0] == {"stage": "p", "state": "committed"} and e.first().fingerprint == tools.envelope(s.repartition(3), "pipeline_status").first().fingerprint
+    with pytest.raises(ValueError, match="limit"):
+        tools.envelope(s, "pipeline_status", limit=50)
+
+
+def test_quantiles_and_tables_that_go(spark):
+    import numpy as np
+
+    from sedimenta import session
+
+    values = [float(x) for x in np.random.default_rng(1).integers(0, 50, 333)]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    got = estimators.exact_quantiles(df, "x", {"a": 0.0, "b": 0.123, "c": 0.5, "d": 1.0}).first()
+    assert list(got) == pytest.approx([np.quantile(values, q) for q in (0.0, 0.123, 0.5, 1.0)])
+    assert list(estimators.exact_quantiles(df.where("false"), "x", {"a": 0.5}).first()) == [None]
+    t = session.materialize(df, "t")
+    assert t.count() == 334
+    session.release(t, df)
+    with pytest.raises(Exception, match="(?i)not exist|no such file|PATH_NOT_FOUND|FILE"):
+        spark.read.schema("x double").parquet(t._table_path).count()
