@@ -1,9 +1,10 @@
 """WARC records in ZIP packages: a writer, and a reader that ranges over stored members without extracting them.
 
-A package is a ZIP file in the folder that driver and executors share. It holds archive/data.warc (records one after
-another, stored) and indexes/index.cdx (a line a record: offset, length, page id; stored). The reader opens packages
-through the file system and asks for ranges only: the end of the file, the central directory (and the ZIP64 end record
-where sizes or counts need it), local headers, the index piece by piece, and each record; nothing is extracted.
+A package is a ZIP file in the folder that driver and executors share. It holds archive/data.warc.gz (records one after
+another, each a gzip member of its own; stored) and indexes/index.cdx (a line a record: offset, length, page id;
+stored). The reader opens packages through the file system and asks for ranges only: the end of the file, the central
+directory (and the ZIP64 end record where sizes or counts need it), local headers, the index piece by piece, and each
+record; nothing is extracted.
 
 Writers stream records into their packages, each bounded by PACKAGE_BYTES and PACKAGE_RECORDS, plus one record. A
 package's path is new for each attempt of a task, and a table of paths that Spark commits names those that count, so
@@ -13,6 +14,7 @@ what a lost executor had begun is never read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -32,7 +34,9 @@ from .common import materialize, table, utf8
 PACKAGE_BYTES, PACKAGE_RECORDS = 16 << 20, 4096
 #: Bytes of an index that are read at once.
 INDEX_BYTES = 1 << 16
-WARC, INDEX = "archive/data.warc", "indexes/index.cdx"
+WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Compression of a record.
+LEVEL = 4
 #: Fixed values of the ZIP format: signatures, sizes of fixed parts, the tag of the ZIP64 extra field, the "see ZIP64" marks.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, LOCATOR64_SIZE, END64_SIZE, CENTRAL_SIZE, LOCAL_SIZE = 22, 20, 56, 46, 30
@@ -133,10 +137,11 @@ class PackageWriter:
         self.warc = self.zip.open(zipfile.ZipInfo(WARC), "w", force_zip64=wide)
 
     def add(self, record: bytes, page_id: int | None) -> None:
-        self.index.append(f"{self.at} {len(record)} {'-' if page_id is None else page_id}\n")
-        self.warc.write(record)
+        packed = gzip.compress(record, LEVEL, mtime=0)
+        self.index.append(f"{self.at} {len(packed)} {'-' if page_id is None else page_id}\n")
+        self.warc.write(packed)
         self.n += 1
-        self.at += len(record)
+        self.at += len(packed)
 
     @property
     def full(self) -> bool:
@@ -168,7 +173,7 @@ def records(read: ReadAt, length: int) -> Iterator[bytes]:
         offset, n, _ = line.split(" ", 2)
         if int(offset) + int(n) > warc.size:
             raise ValueError("the index points outside the archive")
-        yield read(base + int(offset), int(n))
+        yield gzip.decompress(read(base + int(offset), int(n)))
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
