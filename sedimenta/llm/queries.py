@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, language_id, mixing, near_dedup, pii, secret_scan, token_counts, topk, warc
+from . import audio, bpe, filter_audit, language_id, mixing, near_dedup, pii, secret_scan, spelling, token_counts, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_url_filter": url_filter.op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": topk.SQL, "op7_near_dedup": near_dedup.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_exact_top_k": topk.SQL, "op7_near_dedup": near_dedup.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL, "op11_spelling_variants": spelling.SQL, "op12_filter_audit": filter_audit.SQL, "op13_url_filter": url_filter.SQL}
