@@ -1,7 +1,8 @@
 """Filter interaction audit: what filters remove together, alone and in every order, from one pass over the documents.
 
-Copies are found by sorting: documents are range-sorted by a fingerprint of the text, the text and the id, so copies are
-neighbours, a group of any size is cut over partitions by its ids, and each document is compared with the one before it.
+Copies are found by sorting: documents are range-sorted by a fingerprint of the text (SHA-256), the text and the id, so
+copies are neighbours, a group of any size is cut over partitions by its ids, and each document is compared with the one
+before it. The bounds of the ranges are fingerprints and ids, so the driver samples no text.
 The same pass takes the text's other failures. A run of copies that goes on in later partitions is settled by one small
 row a partition, which names its first and last text. What is left of a document is a mask of the filters it fails, so
 the counters of a part are sums over at most 2^5 masks: they add up over partitions, and all orders are read from them.
@@ -9,7 +10,6 @@ the counters of a part are sums over at most 2^5 masks: they add up over partiti
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import permutations
@@ -44,31 +44,29 @@ MASKS = "id long, part string, mask int, place int, head boolean, first binary,
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, part, text) of a sorted partition to MASKS, and one more row (mask null) that says how the partition begins and ends.
+    """Rows (id, part, text, print) of a sorted partition to MASKS, and one more row (mask null) that says how the partition begins and ends.
 
     head: the row is in the partition's first run of copies, so an earlier partition may hold a smaller id of it.
     """
     place, head, before, first_id = TaskContext.get().partitionId(), True, None, None
-    digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
-    first = None
+    first = last = None
     schema = pa.schema([("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("place", pa.int32()), ("head", pa.bool_()), ("first", pa.binary()), ("last", pa.binary()), ("last_id", pa.int64())])
     for b in batches:
-        rows = []
+        if not len(b):
+            continue
+        rows, last = [], b.column(3)[-1].as_py()
+        first = first or b.column(3)[0].as_py()
         for i, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             text = text.as_py()
-            if before is None:
-                first = digest(text)
-            elif text != before:
-                head, first_id = False, None
             if text != before:
+                head, first_id = before is None, None
                 before, mask = text, text_mask(text)
             if first_id is None:
                 first_id = i
             rows.append((i, part, mask | (COPY if i is not None and first_id < i else 0), place, head, None, None, None))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     if before is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, place, True, first, digest(before), first_id), schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, place, True, first, last, first_id), schema, strict=True)], schema=schema)
 
 
 def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -80,9 +78,8 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    keys = ["print", "text", "id"]
-    ordered = rows.withColumn("print", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    done = materialize(ordered.select("id", "part", "text").mapInArrow(_masks, MASKS), "masks")
+    ordered = rows.withColumn("print", F.unhex(F.sha2("text", 256))).repartitionByRange("print", "id").sortWithinPartitions("print", "text", "id")
+    done = materialize(ordered.select("id", "part", "text", "print").mapInArrow(_masks, MASKS), "masks")
     # a run that begins before a partition: its first id is that of the earliest partition that ends in it
     ends = done.where("mask IS NULL")
     begun = ends.where("last_id IS NOT NULL").groupBy(F.col("last").alias("first")).agg(F.min("place").alias("since"), F.min_by("last_id", "place").alias("since_id"))
