@@ -123,13 +123,13 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.union(redirects.select("url", "target"))
-    known = materialize(edges.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")), "alias_edges")
-    if known.limit(1).count():
+    edges = materialize(edges, "alias_edges")
+    if edges.limit(1).count():
         # an address that only a link names has no row in pages, but a rule can block it
         named = edges.select(F.explode(F.array("url", "target")).alias("url")).where("url IS NOT NULL").distinct()
         linked = named.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
         blocked = linked.join(fitting_rules(linked, rules), ["host", "path"]).where("own = 'block'").select(node(F.col("url")).alias("node")).distinct()
-        found = components(known)
+        found = components(edges.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")))
         spread = materialize(found.join(found.join(blocked, "node").select("component").distinct(), "component").select("node"), "blocked_nodes")
         release(found)
         open_ = ruled.where("own IS NULL").select("url", node(F.col("url")).alias("node")).join(spread, "node").select("url", F.lit("block").alias("spread"))
