@@ -73,9 +73,10 @@ def features(kind: Column, m: Column) -> list[Column]:
 
 
 def pieces(runs: Column) -> Column:
-    """Matches of NUMBER to all their pieces of whole groups with DIGITS digits, which overlap; a run of n groups has at most 13 n.
+    """Matches of NUMBER to all their pieces of whole groups with DIGITS digits, at least two a group on average, which overlap.
 
-    A piece begins with the opening bracket or plus directly before its first digit.
+    So a run of n groups has at most 13 n, and one of single digits (a table, a count) none. A piece begins with the opening
+    bracket or plus directly before its first digit.
     """
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     # every part is a group with what stands before it; a transform for each step, as a lambda's terms are computed anew at each use
@@ -88,7 +89,7 @@ def pieces(runs: Column) -> Column:
         at = F.element_at(c["ats"], i + 1)
         before = F.concat(c["m"]["left"], F.array_join(F.slice(c["parts"], F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""))
         ends = F.sequence(F.lit(1), F.least(F.lit(DIGITS[1]), F.size(c["parts"]) - i))
-        ends = F.filter(ends, lambda k: total(F.slice(c["sizes"], i + 1, k)).between(*DIGITS))
+        ends = F.filter(ends, lambda k: total(F.slice(c["sizes"], i + 1, k)).between(F.greatest(F.lit(DIGITS[0]), 2 * k), F.lit(DIGITS[1])))
         some = F.transform(ends, lambda k: F.struct(k.alias("k"), F.array_join(F.slice(c["parts"], i + 1, k), "").alias("whole")))
         some = F.transform(some, lambda x: F.struct(x["k"].alias("k"), x["whole"].alias("whole"), F.regexp_replace(x["whole"], r"^[^0-9+]*?(?=\(?[0-9])", "").alias("text")))
         skipped = lambda x: F.length(x["whole"]) - F.length(x["text"])
@@ -166,7 +167,8 @@ def examples(seed: int = 4) -> list[dict]:
         ])
 
     def row() -> str:
-        return r.choice("   -./").join(digit(r.choice([1, 1, 2, 3])) for _ in range(r.randint(5, 25)))
+        sizes = r.choice([(1, 1, 2, 3), (1, 1, 2, 3), (2,), (3,), (1, 2, 3, 4)])
+        return r.choice("   -./").join(digit(r.choice(sizes)) for _ in range(r.randint(5, 40)))
 
     out = []
     for n in range(EXAMPLES):
