@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,24 +122,53 @@ def letter_tokens(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"\p{L}+"))
 
 
+#: Below it doubles have fewer than 15 digits of their own.
+LEAST_NORMAL = 2.0**-1022
+
+
+def shortest_digits(x: Column) -> Column:
+    """A positive finite double in scientific notation with the fewest digits that read back as the same; of those the closest.
+
+    Of a normal double at most one number of 15 digits reads back as it, so that one is right, without its last zeros.
+    Others (16 or 17 digits, subnormals) are written in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def longer(s: pd.Series) -> pd.Series:
+        def text(v: float) -> str | None:
+            if v != v:
+                return None
+            t = Decimal(repr(v)).as_tuple()
+            digits = "".join(map(str, t.digits))
+            return f"{digits[0]}.{digits[1:]}e{len(digits) - 1 + t.exponent}"
+
+        return s.map(text)
+
+    short = F.format_string("%.14e", x)
+    fits = (x >= LEAST_NORMAL) & (short.try_cast("double") == x)
+    return F.when(fits, short).otherwise(longer(F.when(~fits, x)))
+
+
 def json_number(x: Column) -> Column:
     """a double as RFC 8785 writes it, with the fewest digits that read back as the same; an error for NaN and infinity."""
     value = x.cast("double")
-    # the platform may print a digit more than is needed: rounded ones that read back as the same come first
-    rounded = [F.format_string(f"%.{n}e", F.abs(value)) for n in (14, 15)]
-    text = F.coalesce(*[F.when(r.try_cast("double") == F.abs(value), r) for r in rounded], F.abs(value).cast("string"))
-    text = F.when(F.abs(value) == 5e-324, "5.0E-324").when(F.abs(value) == 1e-323, "1.0E-323").otherwise(text)
-    part = lambda i: F.regexp_extract(text, r"^(\d+)\.(\d+)(?:[Ee]([+-]?\d+))?$", i)
-    raw = F.concat(part(1), part(2))
-    digits = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "")
-    point = F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0)) - (F.length(raw) - F.length(F.regexp_replace(raw, "^0+", "")))
-    n, zeros = F.length(digits), lambda k: F.repeat(F.lit("0"), k.cast("int"))
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-    plain = (
-        F.when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n))).when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
-        .otherwise(F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string")))
-    )
+    finite = (value != 0) & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    zeros = lambda k: F.repeat(F.lit("0"), k.cast("int"))
+
+    def written(p: Column) -> Column:
+        """From the digits and the place of the point behind the first of them."""
+        digits, point, n = p["digits"], p["point"], F.length(p["digits"])
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        return (
+            F.when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n))).when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+            .otherwise(F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string")))
+        )
+
+    # arrays of one, so that each step's terms are computed once
+    split = F.transform(F.array(shortest_digits(F.when(finite, F.abs(value)))), lambda t: F.struct(
+        F.rtrim(F.regexp_replace(F.substring_index(t, "e", 1), r"\.", ""), F.lit("0")).alias("digits"), (F.substring_index(t, "e", -1).cast("int") + 1).alias("point")
+    ))
+    plain = F.element_at(F.transform(split, written), 1)
     bad = F.raise_error(F.lit("no JSON number: NaN or infinity")).cast("string")
     return F.when(value.isNull(), "null").when(F.isnan(value) | (F.abs(value) == float("inf")), bad).when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), plain))
 

@@ -1,15 +1,19 @@
-"""Recursive and graph operators (G1-G10, J22): components, lineages, cycles, descendants.
+"""Recursive and graph operators (G1-G10, J11, J22): components, chains, tree orders and intervals, cycles, descendants.
 
 Loops keep their state in tables and stop when nothing changes; the driver sees counts only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.session import materialize, release
 
+from .ordering import placed, running_totals
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a long, b long) to rows (node, component): the smallest node that each node of an edge reaches.
@@ -37,50 +41,147 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def lineages(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Adjacency (node, parent; null at roots) to node, depth, path (root first) and state.
+def chains(nodes: DataFrame, with_path: bool = False) -> DataFrame:
+    """Rows (node, parent; null at roots), each node once, to node, root, depth and state.
+
+    state: rooted, missing_parent (root is the topmost ancestor, whose parent isn't a node) or cycle (no ancestor without a
+    parent: root and depth are null). with_path adds the nodes from the root down, null in cycles. Each round doubles how
+    far a node has climbed, so a chain of any length takes as many rounds as its logarithm; without paths a node's state
+    is a few values. A parent of many nodes is one row of the join, whose other side can be split.
+    """
+    link = nodes.select("node", "parent")
+    known = link.select(F.col("node").alias("known"))
+    first = link.join(known, F.col("parent") == F.col("known"), "left")
+    there = F.col("known").isNotNull()
+    rows = first.select(
+        "node", F.when(there, F.col("parent")).alias("up"), F.when(there, 1).otherwise(0).cast("long").alias("depth"), F.when(~there, F.col("node")).alias("root"),
+        F.when(F.col("parent").isNull(), "rooted").when(~there, "missing_parent").alias("state"), *([F.array("node").alias("path")] if with_path else []),
+    )
+    rows, reach = materialize(rows, "chains"), 1
+    total = rows.count()
+    while rows.where("up IS NOT NULL").limit(1).count():
+        if reach > total:  # whoever climbs on has met a node twice
+            open_ = F.col("up").isNotNull()
+            own = lambda c: F.when(~open_, F.col(c)).alias(c)
+            kept = [own("root"), own("depth"), F.when(open_, "cycle").otherwise(F.col("state")).alias("state"), *([own("path")] if with_path else [])]
+            return rows.select("node", *kept)
+        above = rows.select(F.col("node").alias("of"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"), F.col("state").alias("end"), *([F.col("path").alias("head")] if with_path else []))
+        path = [F.when(F.col("of").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")] if with_path else []
+        moved = rows.join(above, F.col("up") == F.col("of"), "left").select(
+            "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "top").alias("root"), F.coalesce("state", "end").alias("state"), *path
+        )
+        last, rows, reach = rows, materialize(moved, "chains"), 2 * reach
+        release(last)
+    return rows.select("node", "root", "depth", "state", *(["path"] if with_path else []))
+
+
+def lineages(nodes: DataFrame) -> DataFrame:
+    """Adjacency (node, parent; null at roots) to node, depth, path (root first) and state, by chains()."""
+    return chains(nodes, with_path=True).select("node", "depth", "path", "state")
+
+
+def tree_faults(nodes: DataFrame) -> DataFrame:
+    """fault, n: what keeps (node, parent) from being one tree (G2): missing_parent and cycle count nodes, other roots than one count them."""
+    found = chains(nodes)
+    wrong = found.where("state <> 'rooted'").groupBy(F.col("state").alias("fault")).agg(F.count("*").alias("n"))
+    roots = found.where("state = 'rooted' AND depth = 0").agg(F.count("*").alias("n")).where("n <> 1").select(F.when(F.col("n") == 0, "no_root").otherwise("several_roots").alias("fault"), "n")
+    return wrong.union(roots)
 
-    state: rooted, missing_parent (the topmost ancestor's parent isn't a node) or cycle (no ancestor without a parent).
+
+def preorder(nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Rows (node, parent) of trees to node, parent, pre (from 0, parents first, siblings by `order` and node), size (of the subtree) and depth.
+
+    The descendants of a node are those with pre in [pre + 1, pre + size). Every node is entered and left once on a tour;
+    a step knows the next, and the steps' sums to the end of the tour are found by doubling (list ranking), in as many
+    rounds as the logarithm of the tour. Siblings are neighbours in a range-sorted order, so a node may have any number of
+    them. Several roots follow each other. Nodes that no root reaches (cycles, missing parents) have no row.
     """
-    link = nodes.select(F.col("node").alias("n"), F.col("parent").alias("p"))
-    known = nodes.select(F.col("node").alias("k"))
-    rows = nodes.select("node", F.col("parent").alias("up"), F.array("node").alias("path"))
-    done = None
-    for _ in range(max_depth):
-        ended = rows.where(F.col("up").isNull()).select("node", "path", F.lit("rooted").alias("state"))
-        looped = rows.where(F.col("up").isNotNull() & F.expr("array_contains(path, up)")).select("node", "path", F.lit("cycle").alias("state"))
-        open_ = rows.where(F.col("up").isNotNull() & ~F.expr("array_contains(path, up)"))
-        lost = open_.join(known, F.col("up") == F.col("k"), "left_anti").select("node", "path", F.lit("missing_parent").alias("state"))
-        out = ended.union(looped).union(lost)
-        done = out if done is None else done.union(out)
-        rows = materialize(open_.join(link, F.col("up") == F.col("n")).select("node", F.col("p").alias("up"), F.concat(F.array("n"), "path").alias("path")), "lineage")
-        if not rows.limit(1).count():
-            return done.select("node", (F.size("path") - 1).alias("depth"), "path", "state")
-    raise ValueError(f"lineages deeper than {max_depth}")
+    order = order or []
+    good = chains(nodes).where("state = 'rooted'").select("node")
+    rows = nodes.select("node", "parent", *[F.col(c).alias(f"__{c}") for c in order]).join(good, "node", "left_semi")
+    keys = ["parent", *[f"__{c}" for c in order], "node"]
+    rows = materialize(placed(rows, keys).select("node", "parent", "place"), "siblings")
+    after = rows.select(F.col("node").alias("sibling"), F.col("parent").alias("of"), (F.col("place") - 1).alias("place"))
+    first = rows.where("parent IS NOT NULL").groupBy(F.col("parent").alias("of_parent")).agg(F.min_by("node", "place").alias("child"))
+    known = rows.join(after, (rows.place == after.place) & rows.parent.eqNullSafe(after.of), "left").select("node", "parent", "sibling")
+    known = known.join(first, F.col("node") == F.col("of_parent"), "left").select("node", "parent", "sibling", "child")
+    total = rows.count()
+    step = lambda leaves, to, to_leaves, enters: F.struct(F.lit(leaves).alias("leaves"), to.alias("to"), to_leaves.alias("to_leaves"), F.lit(enters).cast("long").alias("enters"), F.lit(1 if enters else -1).cast("long").alias("climbs"))
+    into = step(False, F.coalesce("child", "node"), F.col("child").isNull(), 1)
+    out = step(True, F.coalesce("sibling", "parent"), F.col("sibling").isNull(), 0)
+    tour, reach = materialize(known.select("node", F.inline(F.array(into, out))), "tour"), 1
+    while reach < 2 * total:
+        ahead = tour.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("next"), F.col("to_leaves").alias("next_leaves"), F.col("enters").alias("more"), F.col("climbs").alias("rise"))
+        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        moved = tour.join(ahead, ["to", "to_leaves"], "left").select("node", "leaves", F.col("next").alias("to"), F.col("next_leaves").alias("to_leaves"), add("enters", "more"), add("climbs", "rise"))
+        last, tour, reach = tour, materialize(moved, "tour"), 2 * reach
+        release(last)
+    sums = tour.groupBy("node").agg(F.max(F.when(~F.col("leaves"), F.col("enters"))).alias("from_in"), F.max(F.when(F.col("leaves"), F.col("enters"))).alias("from_out"), (-F.max(F.when(~F.col("leaves"), F.col("climbs")))).alias("depth"))
+    return rows.select("node", "parent").join(sums, "node").select("node", "parent", (total - F.col("from_in")).alias("pre"), (F.col("from_in") - F.col("from_out")).alias("size"), "depth")
+
+
+def totals_below(tree: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
+    """Rows of preorder() and facts (node, values) to node and values: their sums over the node and all below it.
+
+    Facts add up along pre once, and a subtree is the difference of two places of that sum: no path is unfolded.
+    """
+    own = facts.groupBy("node").agg(*[F.sum(v).alias(v) for v in values])
+    rows = tree.join(own, "node", "left").select("node", "pre", "size", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
+    sums = materialize(running_totals(rows, ["pre"], values), "running")
+    ends = sums.select(F.col("pre").alias("last"), *[F.col(f"total_{v}").alias(f"end_{v}") for v in values])
+    return sums.join(ends, F.col("pre") + F.col("size") - 1 == F.col("last")).select("node", *[(F.col(f"end_{v}") - F.col(f"total_{v}") + F.col(v)).alias(v) for v in values])
+
+
+def contained(intervals: DataFrame, points: DataFrame, low: str = "low", high: str = "high", at: str = "at") -> DataFrame:
+    """Pairs of intervals [low, high) and points within them (J11, G4): the columns of both, whose names differ.
+
+    A range join on equal keys: an interval is cut into at most two blocks of each power of two, and a point lies in one
+    block of each. Bounds and points are whole numbers from 0; nulls and empty intervals meet nothing. A point comes once for
+    each power of two up to the largest bound.
+    """
+    top = intervals.agg(F.max(high)).first()[0] or 0
+    levels = max(1, int(top).bit_length() + 1)
+    block = "array<struct<level:int,block:bigint>>"
+
+    def cut(s, level):  # noqa: ANN001, ANN202
+        a, b = s["a"], s["b"]
+        odd_a, odd_b = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        some = F.array_compact(F.array(F.when(odd_a, F.struct(level.alias("level"), a.alias("block"))), F.when(odd_b, F.struct(level.alias("level"), (b - 1).alias("block")))))
+        return F.struct(F.shiftright(a + odd_a.cast("long"), 1).alias("a"), F.shiftright(b - odd_b.cast("long"), 1).alias("b"), F.concat(s["out"], some).alias("out"))
+
+    start = F.struct(F.col(low).cast("long").alias("a"), F.col(high).cast("long").alias("b"), F.array().cast(block).alias("out"))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, cut, lambda s: F.array_distinct(s["out"]))
+    left = intervals.where(F.col(low) < F.col(high)).select("*", F.explode(blocks).alias("__b")).select("*", "__b.level", "__b.block").drop("__b")
+    places = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("block")) for k in range(levels + 1)])
+    right = points.where(F.col(at).isNotNull()).select("*", F.explode(places).alias("__b")).select("*", "__b.level", "__b.block").drop("__b")
+    return left.join(right, ["level", "block"]).drop("level", "block")
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges (parent, child) and roots (node) to node, depth: all that the roots reach, nearest depth.
 
-    A frontier loop: each round joins the frontier with the edges and drops what was seen, so cycles end.
+    A frontier loop: each round joins the frontier with the edges and drops what was seen, so cycles end. A round writes
+    its own nodes only.
     """
-    seen = materialize(roots.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
-    frontier, depth = seen, 0
-    while True:
-        depth += 1
-        fresh = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        frontier = materialize(fresh.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if not frontier.limit(1).count():
-            return seen
-        seen = materialize(seen.union(frontier), "seen")
+    fronts = [materialize(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")]
+    while fronts[-1].limit(1).count():
+        seen = reduce(DataFrame.union, fronts).select("node")
+        fresh = fronts[-1].join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        fronts.append(materialize(fresh.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(fronts))), "frontier"))
+    found = materialize(reduce(DataFrame.union, fronts), "descendants")
+    release(*fronts)
+    return found
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on or behind a cycle: leaves (no child left) are removed until none is."""
     rows = materialize(edges.select("parent", "child").distinct(), "edges")
+    n = rows.count()
     while True:
         kept = materialize(rows.join(rows.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"), "edges")
-        if kept.count() == rows.count():
+        release(rows)
+        last, n = n, kept.count()
+        if n == last:
             return kept.select(F.col("parent").alias("node")).distinct()
         rows = kept
 
@@ -96,11 +197,12 @@ def topological_order(edges: DataFrame) -> DataFrame:
     if cyclic_nodes(edges).limit(1).count():
         raise ValueError("the graph has a cycle")
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-    level = materialize(nodes.withColumn("level", F.lit(0)), "levels")
+    table = materialize(nodes.select("node", F.lit(0).alias("level"), F.lit(0).alias("next")), "levels")
     while True:
+        level = table.select("node", F.col("next").alias("level"))
         up = edges.join(level, F.col("parent") == F.col("node")).groupBy(F.col("child").alias("c")).agg((F.max("level") + 1).alias("least"))
         moved = materialize(level.join(up, F.col("node") == F.col("c"), "left").select("node", "level", F.greatest("level", "least").alias("next")), "levels")
-        changed = moved.where("next <> level").limit(1).count()
-        level = moved.select("node", F.col("next").alias("level"))
-        if not changed:
-            return level
+        release(table)
+        table = moved
+        if not table.where("next <> level").limit(1).count():
+            return table.select("node", F.col("next").alias("level"))

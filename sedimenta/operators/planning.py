@@ -41,17 +41,66 @@ def bisect(parts: DataFrame) -> DataFrame:
     return parts.select(F.inline(F.array(first, second)))
 
 
-def adaptive_partitions(parts: DataFrame, count, cap: int = CAP, rounds: int = 32) -> DataFrame:
-    """Split partitions until each counts below the cap (T9). count(parts) gives parts with a column total."""
+def adaptive_partitions(parts: DataFrame, count, cap: int = CAP) -> DataFrame:
+    """Split partitions until each counts below the cap (T9). count(parts) gives parts with a column total.
+
+    For counts that only a provider can tell; halving ends at the smallest box, with bisect()'s error. Where the points are
+    at hand, pyramid_partitions() counts them once.
+    """
     done, open_ = None, parts
-    for _ in range(rounds):
+    while True:
         counted = materialize(count(open_), "partitions")
         fit = counted.where(F.col("total") < cap)
         done = fit if done is None else done.union(fit)
         open_ = bisect(counted.where(F.col("total") >= cap).drop("total"))
         if not open_.limit(1).count():
             return done
-    raise ValueError("partitions don't fall below the cap")
+
+
+def pyramid_partitions(points: DataFrame, second: str, value: str, seconds: tuple[int, int], values: tuple[float, float], halvings: int = 12, cap: int = CAP) -> DataFrame:
+    """Points to partitions below the cap: path, n, from_s, to_s, low, high and state.
+
+    A path is the halves that lead to a partition: time first, from..mid and mid+1..to, down to a second, then the value's
+    range, where a point at the middle lies in the lower half, `halvings` times. Points are counted once, in the smallest
+    boxes; their counts add up to those of all boxes above, and a box below the cap whose parent isn't is a
+    partition. So nothing is counted again, however deep it goes. state: fits, or saturated for a smallest box that still
+    isn't below the cap. Boxes without points don't come out. Points without a time or value, or outside the ranges, are in no
+    partition.
+    """
+    (first, last), (low, high) = seconds, values
+    depth = max(0, last - first).bit_length()
+    start = F.struct(F.lit("").alias("path"), F.lit(first).cast("long").alias("a"), F.lit(last).cast("long").alias("b"), F.lit(low).cast("double").alias("c"), F.lit(high).cast("double").alias("d"))
+
+    def descend(by_time: bool):  # noqa: ANN202
+        def step(s, right):  # noqa: ANN001, ANN202
+            t, v = s["a"] + F.floor((s["b"] - s["a"]) / 2), (s["c"] + s["d"]) / 2
+            put = lambda here, x, old: F.when(here, x).otherwise(old)
+            if by_time:
+                out = F.struct(F.concat(s["path"], F.when(right, "1").otherwise("0")).alias("path"), put(right, t + 1, s["a"]).alias("a"), put(right, s["b"], t).alias("b"), s["c"].alias("c"), s["d"].alias("d"))
+                return F.when(s["a"] < s["b"], out).otherwise(s)
+            return F.struct(F.concat(s["path"], F.when(right, "1").otherwise("0")).alias("path"), s["a"].alias("a"), s["b"].alias("b"), put(right, v, s["c"]).alias("c"), put(right, s["d"], v).alias("d"))
+
+        return step
+
+    time_step, value_step = descend(True), descend(False)
+    at, x = F.col(second).cast("long"), F.col(value).cast("double")
+    of_time = F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), start, lambda s, _: time_step(s, at > s["a"] + F.floor((s["b"] - s["a"]) / 2)))
+    of_value = F.aggregate(F.sequence(F.lit(1), F.lit(max(halvings, 1))), F.col("__t"), lambda s, _: value_step(s, x > (s["c"] + s["d"]) / 2)) if halvings else F.col("__t")
+    inside = points.where(at.between(first, last) & x.between(low, high))
+    finest = inside.select(of_time.alias("__t")).select(F.col("__t.path").alias("of_time"), of_value["path"].alias("path")).groupBy("path", "of_time").agg(F.count("*").alias("n"))
+    # a time path is shorter than others where its second comes sooner, so a smallest box is known by its time's length
+    up = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.struct(F.substring("path", F.lit(1), k).alias("path"), (k == F.length("path")).alias("smallest"), F.least(k, F.length("of_time")).alias("of_time")))
+    boxes = finest.select(F.explode(up).alias("b"), "n").groupBy("b.path", "b.smallest", "b.of_time").agg(F.sum("n").alias("n"))
+    boxes = materialize(boxes, "pyramid")
+    full = boxes.where(F.col("n") >= cap).select(F.col("path").alias("parent"))
+    beneath = F.when(F.length("path") > 0, F.substring("path", F.lit(1), F.length("path") - 1))
+    fits = boxes.where(F.col("n") < cap).withColumn("parent", beneath)
+    fits = fits.where("parent IS NULL").drop("parent").union(fits.join(full, "parent", "left_semi").drop("parent")).withColumn("state", F.lit("fits"))
+    out = fits.union(boxes.where(F.col("smallest") & (F.col("n") >= cap)).withColumn("state", F.lit("saturated")))
+    halves = F.split(F.substring("path", F.lit(1), F.col("of_time")), ""), F.split(F.substring("path", F.col("of_time") + 1, F.length("path")), "")
+    box = F.aggregate(F.filter(halves[0], lambda c: c != ""), start, lambda s, c: time_step(s, c == "1"))
+    out = out.withColumn("__box", box).withColumn("__box", F.aggregate(F.filter(halves[1], lambda c: c != ""), F.col("__box"), lambda s, c: value_step(s, c == "1")))
+    return out.select("path", "n", F.col("__box.a").alias("from_s"), F.col("__box.b").alias("to_s"), F.col("__box.c").alias("low"), F.col("__box.d").alias("high"), "state")
 
 
 def weighted_score(parts: list[tuple[float, Column]]) -> Column:

@@ -225,7 +225,7 @@ def q_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from sedimenta.operators.graph import lineages
 
-    return lineages(adjacency).where("state = 'rooted'").select("node", "depth", F.array_join("path", "/").alias("path"))
+    return lineages(adjacency).where("state = 'rooted'").select("node", F.col("depth").cast("int"), F.array_join("path", "/").alias("path"))
 
 
 @query("""

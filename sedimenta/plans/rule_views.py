@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.operators import coverage, disclosure, discovery, taxonomy
 
 from .given import Given, over
-from .registry import query
+from .registry import rule
 from .rules import some
 
 # --- taxa, names and providers
@@ -41,7 +41,7 @@ listing AS (SELECT taxon_key, CASE WHEN candidate_count = 0 THEN 'unmatched' WHE
 """
 
 
-@query(over(TAXA, LISTED, then=f", {LISTING_SQL} SELECT * FROM listing"))
+@rule(over(TAXA, LISTED, then=f", {LISTING_SQL} SELECT * FROM listing"))
 def q_rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a listing by comparable name and rank."""
     return _listing(spark)
@@ -68,7 +68,7 @@ named AS (SELECT taxon_key, CASE WHEN NOT found THEN 'unmatched' WHEN len(rs) >
 """
 
 
-@query(over(TAXA, SERVICE, then=f", {SERVICE_SQL} SELECT * FROM named"))
+@rule(over(TAXA, SERVICE, then=f", {SERVICE_SQL} SELECT * FROM named"))
 def q_rule_name_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name service's answers against expected lineages."""
     return _service(spark)
@@ -79,7 +79,7 @@ BACKBONE = Given("backbone", "taxon_key string, found boolean, name string, rank
 ])
 
 
-@query(over(TAXA, BACKBONE, then=rf"""
+@rule(over(TAXA, BACKBONE, then=rf"""
 , q AS (SELECT t.taxon_key, t.rank AS r, t.family AS ef, lower(regexp_replace(t.name, '^(\S+)\s+\([^)]+\)\s+', '\1 ')) AS n, s.* EXCLUDE (taxon_key) FROM taxa t JOIN backbone s USING (taxon_key)),
 w AS (SELECT *, {some(("name_mismatch", "n IS DISTINCT FROM lower(name)"), ("rank_mismatch", "lower(rank) <> r"), ("non_exact_match", "match_type IS DISTINCT FROM 'EXACT'"), ("non_accepted_usage", "status IS DISTINCT FROM 'ACCEPTED' OR coalesce(synonym, FALSE)"),
     ("family_mismatch", "ef <> family"), ("missing_or_non_numeric_identifier", "NOT coalesce(regexp_full_match(id, '[0-9]+'), FALSE)"))} AS rs FROM q)
@@ -108,13 +108,13 @@ def _crosswalk(spark: SparkSession) -> DataFrame:
     return taxonomy.crosswalk(TAXA.df(spark), {"listing": _listing(spark), "service": _service(spark)})
 
 
-@query(over(TAXA, LISTED, SERVICE, then=f", {CROSSWALK_SQL} SELECT * FROM conf"))
+@rule(over(TAXA, LISTED, SERVICE, then=f", {CROSSWALK_SQL} SELECT * FROM conf"))
 def q_rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What didn't match, by provider and type."""
     return taxonomy.conflicts(_crosswalk(spark))
 
 
-@query(over(TAXA, LISTED, SERVICE, then=f", {CROSSWALK_SQL} SELECT 'provider' AS dimension, provider AS value, count(*) AS n FROM conf GROUP BY provider UNION ALL SELECT 'type', conflict_type, count(*) FROM conf GROUP BY conflict_type"))
+@rule(over(TAXA, LISTED, SERVICE, then=f", {CROSSWALK_SQL} SELECT 'provider' AS dimension, provider AS value, count(*) AS n FROM conf GROUP BY provider UNION ALL SELECT 'type', conflict_type, count(*) FROM conf GROUP BY conflict_type"))
 def q_rule_conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     return taxonomy.conflict_counts(taxonomy.conflicts(_crosswalk(spark)))
@@ -130,7 +130,7 @@ WRONG = Given("names", NAMES.schema, [
 ])
 
 
-@query(over(NAMES, then="""SELECT assertion, taxon_key, normalized, CASE rank WHEN 'species' THEN 1 WHEN 'genus' THEN 2 WHEN 'family' THEN 3 ELSE 4 END AS tier, language,
+@rule(over(NAMES, then="""SELECT assertion, taxon_key, normalized, CASE rank WHEN 'species' THEN 1 WHEN 'genus' THEN 2 WHEN 'family' THEN 3 ELSE 4 END AS tier, language,
   row_number() OVER (ORDER BY CASE rank WHEN 'species' THEN 1 WHEN 'genus' THEN 2 ELSE 3 END, normalized, taxon_key, assertion) AS place, 'query:v1:' || substr(compiler_fingerprint, 1, 24) AS definition, compiler_fingerprint
   FROM (SELECT *, sha256('{"assertion":"' || assertion || '","language":"' || language || '","name":"' || name || '","name_type":"' || name_type || '","normalized":"' || normalized || '","provider":"' || provider || '","rank":"' || rank || '","taxon_key":"' || taxon_key || '","tier":'
     || CASE rank WHEN 'species' THEN 1 WHEN 'genus' THEN 2 ELSE 3 END || ',"trust":"' || trust || '"}') AS compiler_fingerprint FROM names)"""))
@@ -143,7 +143,7 @@ def q_rule_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("assertion", "taxon_key", "normalized", "tier", "language", place.alias("place"), "definition", "compiler_fingerprint")
 
 
-@query(over(WRONG, then=f"""SELECT assertion, {some(("invalid_assertion_id", "NOT coalesce(regexp_full_match(assertion, '[a-z0-9][a-z0-9._:-]*'), FALSE)"), ("invalid_taxon_key", "NOT coalesce(regexp_full_match(taxon_key, '[a-z0-9][a-z0-9._:-]*'), FALSE)"), ("invalid_name", "trim(name) = ''"),
+@rule(over(WRONG, then=f"""SELECT assertion, {some(("invalid_assertion_id", "NOT coalesce(regexp_full_match(assertion, '[a-z0-9][a-z0-9._:-]*'), FALSE)"), ("invalid_taxon_key", "NOT coalesce(regexp_full_match(taxon_key, '[a-z0-9][a-z0-9._:-]*'), FALSE)"), ("invalid_name", "trim(name) = ''"),
     ("invalid_normalized_name", "trim(normalized) = ''"), ("normalized_name_differs", "normalized <> trim(lower(name))"), ("name_type_not_supported", "name_type NOT IN ('accepted_scientific', 'scientific_synonym', 'english_vernacular', 'trusted_vernacular')"),
     ("rank_has_no_tier", "rank NOT IN ('species', 'genus', 'family', 'order', 'superfamily')"), ("not_eligible", "NOT coalesce(eligible, FALSE)"), ("eligibility_reason_contradicts", "coalesce(reason, '') = '' OR reason LIKE 'excluded\\_%' ESCAPE '\\' OR reason LIKE '%pending%'"),
     ("homonym_risk", "NOT coalesce(homonym_risk LIKE 'none\\_detected%' ESCAPE '\\', FALSE)"), ("no_language", "coalesce(language, '') = ''"), ("language_differs", "(name_type = 'english_vernacular' AND language <> 'en') OR (name_type IN ('accepted_scientific', 'scientific_synonym') AND language <> 'zxx')"),
@@ -156,7 +156,7 @@ def q_rule_definition_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASSOCIATED = Given("associated", "association string, assertion string", [("a1", "n1"), ("a2", "n1"), ("a3", "n2")])
 
 
-@query(over(NAMES, ASSOCIATED, then="""SELECT a.association, n.normalized, '{"method":"search","text":"' || n.normalized || '"}' AS parameters, 'request:v1:' || substr(sha256('{"method":"search","text":"' || n.normalized || '"}'), 1, 24) AS request,
+@rule(over(NAMES, ASSOCIATED, then="""SELECT a.association, n.normalized, '{"method":"search","text":"' || n.normalized || '"}' AS parameters, 'request:v1:' || substr(sha256('{"method":"search","text":"' || n.normalized || '"}'), 1, 24) AS request,
   count(*) OVER (PARTITION BY n.normalized) AS shared FROM associated a JOIN names n USING (assertion)"""))
 def q_rule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Associations share the request of their term."""
@@ -172,7 +172,7 @@ LINKS = Given("links", "link string, association string, fingerprint string, req
 EXECUTED = Given("executed", "request string, receipt string, page_fingerprint string", [("r1", "x1", "p1")])
 
 
-@query(over(ASSOCIATIONS, LINKS, EXECUTED, then=f"""
+@rule(over(ASSOCIATIONS, LINKS, EXECUTED, then=f"""
 , a AS (SELECT association, count(*) AS na, min(fingerprint) AS own FROM assoc GROUP BY 1), l AS (SELECT association, count(*) AS nl, min(fingerprint) AS cited, count(*) FILTER (WHERE request NOT IN (SELECT request FROM executed)) AS elsewhere FROM links GROUP BY 1)
 SELECT association, unnest({some(("association_repeats", "na > 1"), ("link_without_association", "na IS NULL"), ("association_without_link", "nl IS NULL"), ("association_has_several_links", "nl > 1"), ("fingerprint_differs", "own <> cited"), ("request_not_executed", "elsewhere > 0"))}) AS fault FROM a FULL JOIN l USING (association)
 """))
@@ -181,7 +181,7 @@ def q_rule_ledger_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.ledger_faults(ASSOCIATIONS.df(spark), LINKS.df(spark), EXECUTED.df(spark))
 
 
-@query(over(LINKS, EXECUTED, then="""SELECT receipt, association, 'ledger:v1:' || substr(h, 1, 24) AS record, h AS fingerprint FROM (SELECT receipt, association, sha256('{"link":"' || link || '","page":"' || page_fingerprint || '","receipt":"' || receipt || '"}') AS h FROM links JOIN executed USING (request))"""))
+@rule(over(LINKS, EXECUTED, then="""SELECT receipt, association, 'ledger:v1:' || substr(h, 1, 24) AS record, h AS fingerprint FROM (SELECT receipt, association, sha256('{"link":"' || link || '","page":"' || page_fingerprint || '","receipt":"' || receipt || '"}') AS h FROM links JOIN executed USING (request))"""))
 def q_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each link of an executed request."""
     return discovery.ledger_rows(LINKS.df(spark), EXECUTED.df(spark))
@@ -190,7 +190,7 @@ def q_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIES = Given("tries", "execution string, attempt int, status int, body string, error string", [("x1", 0, 200, "{}", None), ("x1", 1, 200, None, None), ("x2", 0, 503, None, "busy"), ("x3", 0, None, None, None), ("x4", 0, 200, "é", "parse"), ("x5", 0, 404, "gone", None)])
 
 
-@query(over(TRIES, then="""
+@rule(over(TRIES, then="""
 , t AS (SELECT *, CASE WHEN (coalesce(status BETWEEN 200 AND 299, FALSE) AND (body IS NULL OR error IS NOT NULL)) OR (body IS NOT NULL AND error IS NOT NULL) THEN 'quarantined' WHEN coalesce(status BETWEEN 200 AND 299, FALSE) THEN 'success' ELSE 'failed' END AS state FROM tries)
 SELECT execution, attempt, status, state, sha256(body) AS body_sha256, strlen(body)::BIGINT AS body_bytes, CASE WHEN state <> 'success' THEN sha256(coalesce(error, '')) END AS error_sha256 FROM t
 """))
@@ -203,7 +203,7 @@ ITEMS = Given("items", "kind string, input_fingerprint string", [("decode", "f1"
 JOURNAL = Given("journal", "kind string, input string, output string", [("decode", "f1", "o1")])
 
 
-@query(over(ITEMS, JOURNAL, then="SELECT i.kind, input_fingerprint, CASE WHEN output IS NULL THEN 'execute' ELSE 'reuse_committed' END AS action, output AS committed_output FROM items i LEFT JOIN journal j ON i.kind = j.kind AND i.input_fingerprint = j.input"))
+@rule(over(ITEMS, JOURNAL, then="SELECT i.kind, input_fingerprint, CASE WHEN output IS NULL THEN 'execute' ELSE 'reuse_committed' END AS action, output AS committed_output FROM items i LEFT JOIN journal j ON i.kind = j.kind AND i.input_fingerprint = j.input"))
 def q_rule_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is committed is used again."""
     done = discovery.resume_plan(JOURNAL.df(spark).select("kind", F.col("input").alias("input_fingerprint")), spark.createDataFrame([], "work string, output string"))
@@ -214,7 +214,7 @@ def q_rule_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = Given("known", "taxon_key string, normalized string", [("k1", "aus albus"), ("k9", "aus niger"), ("k8", "aus niger"), ("k2", "aus niger")])
 
 
-@query(over(NAMES, KNOWN, then="SELECT n.normalized, n.taxon_key, list_sort(list(DISTINCT o.taxon_key)) AS other_taxa FROM names n JOIN (SELECT taxon_key, normalized FROM known UNION SELECT taxon_key, normalized FROM names) o ON n.normalized = o.normalized AND n.taxon_key <> o.taxon_key GROUP BY ALL"))
+@rule(over(NAMES, KNOWN, then="SELECT n.normalized, n.taxon_key, list_sort(list(DISTINCT o.taxon_key)) AS other_taxa FROM names n JOIN (SELECT taxon_key, normalized FROM known UNION SELECT taxon_key, normalized FROM names) o ON n.normalized = o.normalized AND n.taxon_key <> o.taxon_key GROUP BY ALL"))
 def q_rule_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that another taxon has."""
     return taxonomy.colliding_names(NAMES.df(spark).select("taxon_key", "normalized"), KNOWN.df(spark))
@@ -223,7 +223,7 @@ def q_rule_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS = Given("counts", "taxon_key string, n long", [("k1", 5), ("k2", 0), ("k4", 2), ("k5", 1), ("k6", 7), ("k7", 0)])
 
 
-@query(over(TAXA, LISTED, SERVICE, NAMES, COUNTS, then=f""", {CROSSWALK_SQL}
+@rule(over(TAXA, LISTED, SERVICE, NAMES, COUNTS, then=f""", {CROSSWALK_SQL}
 SELECT t.taxon_key, t.name, family, genus, coalesce((SELECT list(n.name ORDER BY lower(n.name), n.assertion) FROM names n WHERE n.taxon_key = t.taxon_key AND name_type = 'english_vernacular'), []) AS english_names,
   coalesce((SELECT list(n.name ORDER BY lower(n.name), n.assertion) FROM names n WHERE n.taxon_key = t.taxon_key AND name_type = 'scientific_synonym'), []) AS synonyms,
   (SELECT list(concat_ws(':', provider, state, identifier) ORDER BY concat_ws(':', provider, state, identifier)) FROM cross_ x WHERE x.taxon_key = t.taxon_key) AS providers, (SELECT count(*) FROM conf x WHERE x.taxon_key = t.taxon_key) AS open_conflicts, c.n AS records
@@ -235,13 +235,13 @@ def q_rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.catalogue(rows, _crosswalk(spark), NAMES.df(spark).select("taxon_key", "name_type", "name", "assertion"), COUNTS.df(spark))
 
 
-@query(over(TAXA, then="SELECT taxon_key, name, source, source_taxon_id, page_size, maximum_records FROM (SELECT taxon_key, name, 'P1' AS source, p1::VARCHAR AS source_taxon_id, 300 AS page_size, 900 AS maximum_records FROM taxa WHERE rank = 'species' AND status = 'accepted' UNION ALL SELECT taxon_key, name, 'P2', p2::VARCHAR, 200, 600 FROM taxa WHERE rank = 'species' AND status = 'accepted')"))
+@rule(over(TAXA, then="SELECT taxon_key, name, source, source_taxon_id, page_size, maximum_records FROM (SELECT taxon_key, name, 'P1' AS source, p1::VARCHAR AS source_taxon_id, 300 AS page_size, 900 AS maximum_records FROM taxa WHERE rank = 'species' AND status = 'accepted' UNION ALL SELECT taxon_key, name, 'P2', p2::VARCHAR, 200, 600 FROM taxa WHERE rank = 'species' AND status = 'accepted')"))
 def q_rule_provider_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted species, each to two queries."""
     return taxonomy.provider_queries(taxonomy.species(TAXA.df(spark)), {"P1": ("p1", 300, 900), "P2": ("p2", 200, 600)})
 
 
-@query(over(TAXA, NAMES, then="SELECT assertion, row_number() OVER (ORDER BY ordinal, name_type <> 'accepted_scientific', name_type, n.name, assertion) AS place FROM names n JOIN taxa t USING (taxon_key)"))
+@rule(over(TAXA, NAMES, then="SELECT assertion, row_number() OVER (ORDER BY ordinal, name_type <> 'accepted_scientific', name_type, n.name, assertion) AS place FROM names n JOIN taxa t USING (taxon_key)"))
 def q_rule_pack_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in pack order."""
     from pyspark.sql.window import Window
@@ -254,7 +254,7 @@ def q_rule_pack_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES = Given("batches", "batch long, keys array<string>, responses array<string>", [(1, ["k1", "k2"], ["a", None]), (2, ["k3"], ["c"]), (3, [], [])])
 
 
-@query(over(BATCHES, then="SELECT batch, unnest(keys) AS taxon_key, unnest(responses) AS response FROM batches"))
+@rule(over(BATCHES, then="SELECT batch, unnest(keys) AS taxon_key, unnest(responses) AS response FROM batches"))
 def q_rule_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses by position."""
     return taxonomy.zip_responses(BATCHES.df(spark))
@@ -274,7 +274,7 @@ MEDIA = Given("media", "media string, parent string, photo string, media_state s
 FIT = "media_state = 'committed' AND decode_status = 'valid' AND rights_status = 'allowed' AND display_allowed"
 
 
-@query(over(CAMPAIGNS, WORK, MEDIA, then=f"SELECT assignment, campaign, media, question, assignment_status, image_sha256, FALSE AS scientific_claim_allowed FROM work JOIN campaigns USING (campaign) JOIN media USING (media) WHERE assignment_status IN ('assigned', 'opened', 'responded') AND campaign_status = 'open' AND {FIT} AND {' AND '.join(disclosure.BLIND)}"))
+@rule(over(CAMPAIGNS, WORK, MEDIA, then=f"SELECT assignment, campaign, media, question, assignment_status, image_sha256, FALSE AS scientific_claim_allowed FROM work JOIN campaigns USING (campaign) JOIN media USING (media) WHERE assignment_status IN ('assigned', 'opened', 'responded') AND campaign_status = 'open' AND {FIT} AND {' AND '.join(disclosure.BLIND)}"))
 def q_rule_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11."""
     return disclosure.blind_assignments(WORK.df(spark), CAMPAIGNS.df(spark), MEDIA.df(spark))
@@ -283,7 +283,7 @@ def q_rule_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
 TELL = Given("tell", "disclosure string, assignment string, disclosure_state string, model_label string, peer_yes_count long, peer_no_count long, secret string", [("d1", "w1", "released", "x", 2, 1, "s"), ("d2", "w99", "released", "y", 0, 0, "s")])
 
 
-@query(over(TELL, WORK, then="SELECT disclosure, assignment, disclosure_state, model_label, peer_yes_count, peer_no_count FROM tell SEMI JOIN work USING (assignment)"))
+@rule(over(TELL, WORK, then="SELECT disclosure, assignment, disclosure_state, model_label, peer_yes_count, peer_no_count FROM tell SEMI JOIN work USING (assignment)"))
 def q_rule_post_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P18."""
     return disclosure.post_decision(TELL.df(spark), WORK.df(spark))
@@ -293,7 +293,7 @@ JUDGES = Given("judges", "assignment string, conflict string, assignment_status
 CONFLICTS = Given("conflicts", "conflict string, campaign string, media string, conflict_field string, source_event_count long", [("f1", "c1", "m1", "species", 2), ("f2", "c3", "m1", "stage", 3)])
 
 
-@query(over(JUDGES, CONFLICTS, CAMPAIGNS, MEDIA, then=f"SELECT assignment, conflict, campaign, media, assignment_status, conflict_field, source_event_count, image_sha256 FROM judges JOIN conflicts USING (conflict) JOIN campaigns USING (campaign) JOIN media USING (media) WHERE assignment_status IN ('assigned', 'opened', 'responded') AND campaign_status = 'open' AND {FIT}"))
+@rule(over(JUDGES, CONFLICTS, CAMPAIGNS, MEDIA, then=f"SELECT assignment, conflict, campaign, media, assignment_status, conflict_field, source_event_count, image_sha256 FROM judges JOIN conflicts USING (conflict) JOIN campaigns USING (campaign) JOIN media USING (media) WHERE assignment_status IN ('assigned', 'opened', 'responded') AND campaign_status = 'open' AND {FIT}"))
 def q_rule_adjudication_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P19."""
     return disclosure.adjudication_queue(JUDGES.df(spark), CONFLICTS.df(spark), CAMPAIGNS.df(spark), MEDIA.df(spark))
@@ -304,7 +304,7 @@ PROFILES = Given("profiles", "caller string, profile string, reviewer string, qu
 MEMBERS = Given("members", "project string, profile string, reviewer string, role string, status string", [("j1", "r1", "r1", "reviewer", "active"), ("j1", "r3", "r3", "expert", "active"), ("j1", "r4", "r4", "curator", "suspended"), ("j2", "r4", "r4", "curator", "active")])
 
 
-@query(over(CAMPAIGNS, WORK, TARGETS, PROFILES, MEMBERS, then="""SELECT t.campaign, t.media, c.target_count, count(*) FILTER (WHERE w.assignment_status NOT IN ('expired', 'withdrawn')) AS assigned, count(*) FILTER (WHERE w.assignment_status = 'responded') AS responded,
+@rule(over(CAMPAIGNS, WORK, TARGETS, PROFILES, MEMBERS, then="""SELECT t.campaign, t.media, c.target_count, count(*) FILTER (WHERE w.assignment_status NOT IN ('expired', 'withdrawn')) AS assigned, count(*) FILTER (WHERE w.assignment_status = 'responded') AS responded,
   greatest(c.target_count - count(*) FILTER (WHERE w.assignment_status NOT IN ('expired', 'withdrawn')), 0) AS remaining, c.minimum_qualified, count(*) FILTER (WHERE w.assignment_status = 'responded' AND p.qualification = 'verified') AS responded_qualified,
   NOT c.expert_gate OR coalesce(bool_or(w.assignment_status = 'responded' AND p.qualification = 'verified' AND m.role IN ('expert', 'curator', 'administrator')), FALSE) AS expert_gate_satisfied
 FROM targets t JOIN campaigns c USING (campaign) LEFT JOIN work w ON w.campaign = t.campaign AND w.media = t.media LEFT JOIN profiles p ON p.reviewer = w.reviewer LEFT JOIN members m ON m.project = c.project AND m.reviewer = w.reviewer AND m.status = 'active' GROUP BY t.campaign, t.media, c.target_count, c.minimum_qualified, c.expert_gate"""))
@@ -319,7 +319,7 @@ NEXT = Given("next_", "id long, campaign_kind string, active long, active_expert
 ])
 
 
-@query(over(NEXT, then="""SELECT id, CASE campaign_kind WHEN 'disagreement' THEN CASE WHEN active >= 2 THEN 'conflict' ELSE 'ordinary' END WHEN 'potential_gap' THEN 'potential_gap' WHEN 'reference_image' THEN 'reference' ELSE 'ordinary' END AS reason,
+@rule(over(NEXT, then="""SELECT id, CASE campaign_kind WHEN 'disagreement' THEN CASE WHEN active >= 2 THEN 'conflict' ELSE 'ordinary' END WHEN 'potential_gap' THEN 'potential_gap' WHEN 'reference_image' THEN 'reference' ELSE 'ordinary' END AS reason,
   CASE WHEN campaign_kind = 'high_impact_release' THEN CASE WHEN expert_gate AND active_experts = 0 AND active = target_count - 1 THEN 'expert' WHEN active_qualified < minimum_qualified THEN 'qualified' END END AS required_role FROM next_"""))
 def q_rule_next_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D12."""
@@ -331,7 +331,7 @@ CASES = Given("cases", "case string, review string, project string, target strin
 EFFECTS = Given("effects", "event string, case string, effect string, recorded_s long, sequence int", [("e1", "q1", "hidden", 5, 1), ("e2", "q1", "unchanged", 9, 2), ("e3", "q2", "hidden", 5, 1), ("e4", "q3", "restored", 5, 1), ("e5", "q2", "unchanged", 8, 2)])
 
 
-@query(over(COMMENTS, Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("effects", EFFECTS.schema.replace(" case ", " case_ "), EFFECTS.rows), then="""
+@rule(over(COMMENTS, Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("effects", EFFECTS.schema.replace(" case ", " case_ "), EFFECTS.rows), then="""
 , l AS (SELECT review, effect, row_number() OVER (PARTITION BY review ORDER BY recorded_s DESC, event DESC) AS k FROM effects JOIN cases USING (case_) WHERE effect <> 'unchanged')
 SELECT c.review, CASE WHEN l.effect = 'hidden' THEN NULL ELSE comment END AS display_comment, CASE WHEN l.effect = 'hidden' THEN 'hidden' ELSE 'visible' END AS visibility_state FROM comments c LEFT JOIN l ON l.review = c.review AND k = 1 WHERE length(comment) > 0"""))
 def q_rule_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +342,7 @@ def q_rule_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORTERS = Given("reporters", "case string, reporter string", [("q1", "r2"), ("q3", "r4")])
 
 
-@query(over(Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("reporters", "case_ string, reporter string", REPORTERS.rows), PROFILES, then='SELECT DISTINCT caller, c.case_ AS "case" FROM cases c LEFT JOIN reporters r USING (case_) JOIN profiles p ON p.profile = c.target OR p.profile = r.reporter'))
+@rule(over(Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("reporters", "case_ string, reporter string", REPORTERS.rows), PROFILES, then='SELECT DISTINCT caller, c.case_ AS "case" FROM cases c LEFT JOIN reporters r USING (case_) JOIN profiles p ON p.profile = c.target OR p.profile = r.reporter'))
 def q_rule_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J30."""
     return disclosure.case_parties(CASES.df(spark), REPORTERS.df(spark), PROFILES.df(spark).select("caller", "profile"))
@@ -351,7 +351,7 @@ def q_rule_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTES = Given("notes", "case string, curator string, note string", [("q1", "r4", "no"), ("q3", "r4", " first "), ("q3", "r4", "second"), ("q3", "r4", "  "), ("q3", "r1", "no")])
 
 
-@query(over(Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("notes", NOTES.schema.replace("case ", "case_ "), NOTES.rows), Given("effects", EFFECTS.schema.replace(" case ", " case_ "), EFFECTS.rows), MEMBERS, then="""SELECT n.case_ AS "case", curator, trim(note) AS note,
+@rule(over(Given("cases", CASES.schema.replace("case ", "case_ "), CASES.rows), Given("notes", NOTES.schema.replace("case ", "case_ "), NOTES.rows), Given("effects", EFFECTS.schema.replace(" case ", " case_ "), EFFECTS.rows), MEMBERS, then="""SELECT n.case_ AS "case", curator, trim(note) AS note,
   ((SELECT coalesce(max(sequence), 0) FROM effects e WHERE e.case_ = n.case_) + row_number() OVER (PARTITION BY n.case_ ORDER BY curator, note))::INT AS sequence FROM notes n JOIN cases c USING (case_) JOIN members m ON m.project = c.project AND m.reviewer = curator AND m.status = 'active' AND m.role IN ('curator', 'administrator') WHERE length(trim(note)) BETWEEN 1 AND 4000"""))
 def q_rule_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D34."""
@@ -362,7 +362,7 @@ SIGNUPS = Given("signups", "caller string, anonymous boolean, project string, na
 PROJECTS = Given("projects", "project string, status string", [("j1", "active"), ("jx", "closed")])
 
 
-@query(over(SIGNUPS, PROJECTS, PROFILES, MEMBERS, then=r"""
+@rule(over(SIGNUPS, PROJECTS, PROFILES, MEMBERS, then=r"""
 , j AS (SELECT s.*, trim(name) AS n, x.project IS NOT NULL AS known, p.status AS ps, p.public_name, m.status AS ms FROM signups s LEFT JOIN (SELECT project FROM projects WHERE status = 'active') x USING (project) LEFT JOIN profiles p ON p.caller = s.caller LEFT JOIN members m ON m.profile = p.profile AND m.project = s.project),
 r AS (SELECT *, CASE WHEN caller IS NULL THEN 'not_authenticated' WHEN coalesce(anonymous, FALSE) THEN 'anonymous_account' WHEN length(n) NOT BETWEEN 2 AND 80 OR contains(n, '@') OR regexp_matches(lower(n), '(^|\s)https?://') THEN 'invalid_public_name' WHEN NOT known THEN 'no_active_project'
   WHEN ps <> 'active' THEN 'profile_requires_curator' WHEN ms <> 'active' THEN 'membership_requires_curator' END AS reason FROM j)
@@ -376,7 +376,7 @@ RELEASES = Given("releases", "candidate string, media string", [("x1", "m1"), ("
 ASKED = Given("asked", "kind string, target string", [("media_object", "m2"), ("photo", "ph4")])
 
 
-@query(over(RELEASES, ASKED, MEDIA, then="""
+@rule(over(RELEASES, ASKED, MEDIA, then="""
 , h AS (SELECT media FROM media WHERE media IN (SELECT target FROM asked WHERE kind = 'media_object') OR photo IN (SELECT target FROM asked WHERE kind = 'photo')),
 c AS (SELECT media FROM h UNION SELECT m.media FROM media m WHERE m.parent IN (SELECT media FROM h) UNION SELECT m.media FROM media m JOIN media p ON m.parent = p.media WHERE p.parent IN (SELECT media FROM h))
 SELECT candidate FROM releases SEMI JOIN c USING (media)"""))
@@ -389,7 +389,7 @@ TAKEDOWNS = Given("takedowns", "request string, opened_s long, decision string,
 DEPENDS = Given("depends", "request string, dependency string, action string", [("t2", "d1", None), ("t2", "d2", "removed"), ("t3", "d3", "removed")])
 
 
-@query(over(TAKEDOWNS, DEPENDS, then="""
+@rule(over(TAKEDOWNS, DEPENDS, then="""
 , d AS (SELECT t.*, count(dependency) AS dependencies, count(dependency) FILTER (WHERE action IS NULL) AS open FROM takedowns t LEFT JOIN depends USING (request) GROUP BY ALL),
 s AS (SELECT *, CASE WHEN decision = 'reject' THEN 'rejected' WHEN decision IS NULL OR NOT sealed THEN 'review' WHEN open > 0 THEN 'resolving' ELSE 'completed' END AS state FROM d)
 SELECT request, opened_s + 86400 AS deadline_s, dependencies, open, state, state IN ('review', 'resolving') AND 100000 > opened_s + 86400 AS overdue FROM s"""))
@@ -413,7 +413,7 @@ REMOVALS = Given("removals", "photo string", [("3",)])
 POLICY = {"host": "photos.example", "path": "/photos/", "thumbnails": "/media/", "longest_s": 100_000}
 
 
-@query(over(ITEMS_SHOWN, APPROVALS, REMOVALS, then=f"""
+@rule(over(ITEMS_SHOWN, APPROVALS, REMOVALS, then=f"""
 , r AS (SELECT *, list_sort({some(*[(f"no_{c}", f"trim({c}) = ''") for c in ("photographer", "owner", "licence_id", "attribution")], ("source_link_not_exact", "source_url NOT LIKE 'https://photos.example/photos/%'"), ("licence_link_invalid", "licence_url NOT LIKE 'https://%'"),
     ("thumbnail_not_internal", "image_url NOT LIKE '/media/%' OR contains(image_url, '?')"), *[(f"{c}_not_eligible", f"{c} IS DISTINCT FROM {str(v).upper() if isinstance(v, bool) else chr(39) + v + chr(39)}") for c, v in disclosure.PUBLIC.items()], ("removed", "removal_case IS NOT NULL"),
     *[(f"invalid_{c}", f"NOT regexp_full_match({c}, '[0-9a-f]{{64}}')") for c in ("source_record_fingerprint", "rights_fingerprint", "display_fingerprint")], ("timeline_invalid", "NOT (cached_s <= revalidated_s AND revalidated_s <= 50000)"), ("cache_too_long", "expires_s - cached_s > 100000"),
@@ -427,7 +427,7 @@ def q_rule_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGED = Given("paged", "page string, asset string, photo string, state string", [("g1", "a1", "1", "eligible"), ("g1", "a2", "2", "eligible"), ("g2", "a3", "3", "eligible"), ("g2", "a4", "3", "blocked"), *[("g3", f"b{i}", f"{i}", "eligible") for i in range(31)]])
 
 
-@query(over(PAGED, then=f", f AS (SELECT page, {some(('too_many', 'count(*) > 30'), ('duplicate', 'count(DISTINCT photo) < count(*) OR count(DISTINCT asset) < count(*)'), ('not_eligible', "bool_or(state <> 'eligible')"))} AS faults FROM paged GROUP BY page) SELECT page, len(faults) = 0 AS admitted, faults FROM f"))
+@rule(over(PAGED, then=f", f AS (SELECT page, {some(('too_many', 'count(*) > 30'), ('duplicate', 'count(DISTINCT photo) < count(*) OR count(DISTINCT asset) < count(*)'), ('not_eligible', "bool_or(state <> 'eligible')"))} AS faults FROM paged GROUP BY page) SELECT page, len(faults) = 0 AS admitted, faults FROM f"))
 def q_rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages."""
     return disclosure.admitted_page(PAGED.df(spark))
@@ -447,7 +447,7 @@ PLACES = Given("places", "target_kind string, target string, state string", [("r
 L3 = ("release", "release_ready"), ("community", "supported"), ("qualified", "supported")
 
 
-@query(over(RECEIPTS, PROPOSED, LAYERS, MEDIA, PLACES, then=f"""
+@rule(over(RECEIPTS, PROPOSED, LAYERS, MEDIA, PLACES, then=f"""
 , k AS (SELECT *, max(revision) OVER (PARTITION BY campaign, media, layer) AS last FROM layers),
 j AS (SELECT r.receipt, r.candidate_fingerprint, c.*, m.media_state, m.rights_status AS m_rights, {', '.join(f"{a}.status AS {a}_status, {a}.decision AS {a}_decision, {a}.outcome AS {a}_outcome, {a}.revision AS {a}_revision, {a}.last AS {a}_last, {a}.campaign AS {a}_campaign, {a}.media AS {a}_media, {a}.species AS {a}_species" for a, _ in L3)}
   FROM receipts r LEFT JOIN proposed c USING (candidate) LEFT JOIN media m ON m.media = c.media LEFT JOIN k release ON release.consensus = c.consensus AND release.layer = 'release' LEFT JOIN k community ON community.consensus = r.community AND community.layer = 'community' LEFT JOIN k qualified ON qualified.consensus = r.qualified AND qualified.layer = 'qualified')
@@ -472,7 +472,7 @@ OBJECTS = Given("objects", "media string, decode_status string, sha256 string, b
 DECIDED = Given("decided", "taxon_key string, media string, accepted_key string, gate string", [("k1", "m1", "p:1", "eligible"), ("k1", "m2", "p:1", "eligible"), ("k1", "m3", "p:1", "eligible"), ("k2", "m4", "p:2", "eligible"), ("k2", "m5", "p:3", "denied"), ("k3", "m6", "p:4", "denied"), ("k4", "m7", "p:5", "eligible"), (None, "m8", "p:6", "eligible")])
 
 
-@query(over(SPECIES, CHOSEN, SEEN, OBJECTS, DECIDED, then=f"""
+@rule(over(SPECIES, CHOSEN, SEEN, OBJECTS, DECIDED, then=f"""
 , d AS (SELECT taxon_key, count(*) AS candidates, count(*) FILTER (WHERE gate = 'eligible') AS eligible, CASE WHEN count(DISTINCT accepted_key) = 1 THEN min(accepted_key) END AS provider_key FROM decided WHERE taxon_key IS NOT NULL GROUP BY 1),
 s AS (SELECT taxon_key, count(*) AS selected, count(*) FILTER (WHERE decode_status = 'valid') AS valid, count(DISTINCT sha256) FILTER (WHERE decode_status = 'valid') AS contents, count(DISTINCT observer) FILTER (WHERE decode_status = 'valid') AS observers
   FROM chosen JOIN seen USING (observation) JOIN objects USING (media) JOIN decided USING (media) GROUP BY 1),
@@ -490,13 +490,13 @@ def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROVIDED = Given("provided", "provider_key long, taxon_key string", [(1, "k1"), (3, "k3")])
 
 
-@query(over(CHOSEN, SEEN, PROVIDED, then="SELECT media, observation, accepted_key, taxon_key FROM chosen JOIN seen USING (observation) LEFT JOIN provided ON accepted_key = 'p:' || provider_key"))
+@rule(over(CHOSEN, SEEN, PROVIDED, then="SELECT media, observation, accepted_key, taxon_key FROM chosen JOIN seen USING (observation) LEFT JOIN provided ON accepted_key = 'p:' || provider_key"))
 def q_rule_media_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7."""
     return coverage.media_with_taxon(CHOSEN.df(spark), SEEN.df(spark), PROVIDED.df(spark), "p")
 
 
-@query(over(OBJECTS, then="SELECT sum(n)::BIGINT AS objects, count(*) AS contents, sum(bytes)::BIGINT AS unique_bytes FROM (SELECT sha256, count(*) AS n, max(bytes) AS bytes FROM objects WHERE decode_status = 'valid' GROUP BY 1)"))
+@rule(over(OBJECTS, then="SELECT sum(n)::BIGINT AS objects, count(*) AS contents, sum(bytes)::BIGINT AS unique_bytes FROM (SELECT sha256, count(*) AS n, max(bytes) AS bytes FROM objects WHERE decode_status = 'valid' GROUP BY 1)"))
 def q_rule_unique_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A34."""
     return coverage.unique_content(OBJECTS.df(spark))

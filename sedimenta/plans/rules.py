@@ -9,7 +9,7 @@ from sedimenta.functions.text import json_number, json_text, jcs, restricted
 from sedimenta.operators import consensus, coverage, decisions, disclosure, discovery, estimators, occurrence, planning, sampling, taxonomy
 
 from .given import Given, over
-from .registry import query
+from .registry import rule
 
 
 def some(*pairs: tuple[str, str]) -> str:
@@ -35,7 +35,7 @@ GATES = Given("gates", "subject string, " + ", ".join(f"{g} boolean" for g in co
 ])
 
 
-@query(over(REVIEWS, ADJUDICATIONS, GATES, then=f"""
+@rule(over(REVIEWS, ADJUDICATIONS, GATES, then=f"""
 , p AS (SELECT subject, count(*) FILTER (WHERE outcome = 'yes') AS y, count(*) FILTER (WHERE outcome = 'no') AS n, count(*) FILTER (WHERE outcome = 'cant_tell') AS u,
   count(*) FILTER (WHERE outcome = 'cant_view') AS f, list(reviewer) AS rs, list_sort(list(event) FILTER (WHERE outcome IN ('yes', 'no'))) AS ds,
   count(*) FILTER (WHERE qualified) AS qa, count(*) FILTER (WHERE qualified AND outcome = 'yes') AS qy, count(*) FILTER (WHERE qualified AND outcome = 'no') AS qn,
@@ -85,7 +85,7 @@ OVERLAPS = Given("overlap_rows", "reviewer string, item string, label string, pe
 ])
 
 
-@query(over(CONTROLS, OVERLAPS, then=f"""
+@rule(over(CONTROLS, OVERLAPS, then=f"""
 , c AS (SELECT reviewer, count(*) AS control_attempts, count(*) FILTER (WHERE expected = 'yes') AS positive_controls, count(*) FILTER (WHERE expected = 'no') AS negative_controls,
   count(*) FILTER (WHERE expected = actual) AS cr, count(*) FILTER (WHERE expected = actual AND expected = 'yes') AS tp, count(*) FILTER (WHERE expected = actual AND expected = 'no') AS tn FROM controls GROUP BY 1),
 o AS (SELECT reviewer, count(*) AS overlap_items, sum(len(peers)) AS pairs, sum(len(list_filter(peers, lambda x: x = label))) AS agreeing,
@@ -126,7 +126,7 @@ RECORDS = Given("records", "plan string, record string, stratum string, p double
 ])
 
 
-@query(over(PLANS, STRATA, RECORDS, then=f"""
+@rule(over(PLANS, STRATA, RECORDS, then=f"""
 , f AS (
   SELECT plan, unnest({some(("sampling_design_is_not_probability_based", "design NOT IN ('simple_random', 'stratified_random', 'clustered_random')"), ("sampling_plan_not_representative", "NOT coalesce(representative, FALSE)"),
     ("audit_not_blind", "NOT coalesce(blind, FALSE)"), ("inclusion_probability_method_missing_or_unsupported", f"method IS DISTINCT FROM '{estimators.INCLUSION}'"),
@@ -161,7 +161,7 @@ CONSTRAINTS = Given("constraints", "subject string, provider string, used boolea
 PUBLIC_STATES = {"p1": ("public_processed", "public_generalised"), "p2": ("public_geo",)}
 
 
-@query(over(RULES, REQUESTS, CONSTRAINTS, then=f"""
+@rule(over(RULES, REQUESTS, CONSTRAINTS, then=f"""
 , c AS (SELECT subject, list(provider) AS ps, count(*) FILTER (WHERE used) AS n_used, min(ceiling) FILTER (WHERE used) AS c_ceiling,
   list(DISTINCT provider || '_location_not_public') FILTER (WHERE used AND NOT coalesce((provider = 'p1' AND disclosure IN ('public_processed', 'public_generalised')) OR (provider = 'p2' AND disclosure = 'public_geo'), FALSE)) AS hidden,
   list(DISTINCT provider || '_resolution_mapping_missing') FILTER (WHERE used AND ceiling IS NULL) AS unmapped FROM constraints GROUP BY 1),
@@ -186,7 +186,7 @@ CANDIDATES = Given("candidates", "id string, calls long, unique_per_call double,
 ])
 
 
-@query(over(CANDIDATES, then="""
+@rule(over(CANDIDATES, then="""
 , c AS (SELECT *, calls >= 10 AND coalesce(unique_per_call <= 2, FALSE) AND coalesce(positive <= 0.05, TRUE) AS low FROM candidates)
 SELECT id, CASE WHEN low AND windows >= 3 THEN 'stopped_low_yield' WHEN low AND 100000 < last_s + 86400 THEN 'cooldown_low_yield' ELSE 'eligible' END AS state,
   CASE WHEN low AND windows < 3 AND 100000 < last_s + 86400 THEN last_s + 86400 END AS next_s, CASE WHEN last_s IS NULL THEN 1.0::DOUBLE ELSE least(1, greatest(0, (100000 - last_s) / 3600 / 48))::DOUBLE END AS age FROM c
@@ -204,7 +204,7 @@ ATTEMPTS = Given("attempts", "execution string, budget string, status int, attem
 ])
 
 
-@query(over(ATTEMPTS, then="""
+@rule(over(ATTEMPTS, then="""
 , a AS (SELECT *, CASE WHEN budget = 'uncertain' THEN 'blocked_accounting_reconciliation' WHEN budget IS DISTINCT FROM 'consumed' THEN 'not_retryable' WHEN attempt >= 3 THEN 'exhausted'
     WHEN status IN (429, 500, 502, 503, 504) THEN 'scheduled' ELSE 'not_retryable' END AS state,
   ('0x' || substr(sha256(execution || ':' || (attempt + 1)), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE AS u FROM attempts)
@@ -223,7 +223,7 @@ PARTS = Given("parts", "id string, west double, south double, east double, north
 ])
 
 
-@query(over(PARTS, then="""
+@rule(over(PARTS, then="""
 , s AS (SELECT *, from_s < to_s AS t, from_s + (to_s - from_s) // 2 AS mid, east - west >= north - south AS w FROM parts)
 SELECT id || '/0' AS id, west, south, CASE WHEN NOT t AND w THEN (west + east) / 2 ELSE east END AS east, CASE WHEN NOT t AND NOT w THEN (south + north) / 2 ELSE north END AS north, from_s, CASE WHEN t THEN mid ELSE to_s END AS to_s FROM s
 UNION ALL
@@ -239,7 +239,7 @@ PICKS = Given("picks", "taxon string, media string, observation string, observer
 ])
 
 
-@query()
+@rule()
 def q_rule_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns over species under a cap an observer, best row of each observation first."""
     return sampling.round_robin_quota(PICKS.df(spark), "taxon", "observation", "observer", "media", [F.col("score").desc()], per_group=5, per_observer=4)
@@ -269,7 +269,7 @@ RECEIPT = {"snapshot_id": "s1", "snapshot_fingerprint": "f1", "archive_sha256":
 LICENCES = ("CC0", "CC-BY")
 
 
-@query(over(RAW, CONCEPTS, then=r"""
+@rule(over(RAW, CONCEPTS, then=r"""
 , t AS (SELECT source_row_number, trim(id) AS record_id, taxon_key, nullif(trim(decimalLatitude), '') AS la, nullif(trim(decimalLongitude), '') AS lo, lower(nullif(trim(spatiallyValid), '')) AS sv,
   coalesce(sensitive, 'not_supplied') AS sensitive_status, eventDate, basisOfRecord, coordinateUncertaintyInMeters AS cu, license AS licence, dataResourceUid AS data_resource_uid,
   list_filter(list_transform(string_split(coalesce(assertions, ''), '|'), lambda x: trim(x)), lambda x: x <> '') AS quality_assertions FROM raw LEFT JOIN concepts ON taxonConceptID = taxon_concept_id),
@@ -294,7 +294,7 @@ def q_rule_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(over(BROKEN, then=f"""SELECT source_row_number, {some(("no_record_id", "coalesce(trim(id), '') = ''"), ("no_data_resource", "coalesce(trim(dataResourceUid), '') = ''"), ("licence_not_allowed", "coalesce(license NOT IN ('CC0', 'CC-BY'), TRUE)"),
+@rule(over(BROKEN, then=f"""SELECT source_row_number, {some(("no_record_id", "coalesce(trim(id), '') = ''"), ("no_data_resource", "coalesce(trim(dataResourceUid), '') = ''"), ("licence_not_allowed", "coalesce(license NOT IN ('CC0', 'CC-BY'), TRUE)"),
     ("spatial_validity_unknown", "lower(spatiallyValid) NOT IN ('true', 'false')"), ("sensitive_state_unknown", "sensitive NOT IN ('generalised', 'alreadyGeneralised')"),
     ("assertions_repeat", "len(string_split(assertions, '|')) > len(list_distinct(string_split(assertions, '|')))"))} AS faults FROM raw"""))
 def q_rule_occurrence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +305,7 @@ def q_rule_occurrence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKED = Given("blocked", "data_resource_uid string", [("dr2",)])
 
 
-@query(over(RAW, BLOCKED, then="""SELECT trim(id) AS record_id, data_resource_uid FROM (SELECT *, dataResourceUid AS data_resource_uid FROM raw) r
+@rule(over(RAW, BLOCKED, then="""SELECT trim(id) AS record_id, data_resource_uid FROM (SELECT *, dataResourceUid AS data_resource_uid FROM raw) r
 WHERE lower(spatiallyValid) = 'true' AND try_cast(decimalLatitude AS DOUBLE) BETWEEN -90 AND 90 AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.data_resource_uid = r.data_resource_uid)"""))
 def q_rule_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that may be counted in space and whose resource isn't blocked."""
@@ -316,7 +316,7 @@ def q_rule_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 RIGHTS = Given("rights", "id long, text string", [(1, "CC BY-NC 4.0"), (2, "No derivatives, please"), (3, "cc-by-sa"), (4, "share alike"), (5, "CC BY 4.0"), (6, None), (7, "All rights reserved"), (8, "for NonCommercial use"), (9, "cc by nd")])
 
 
-@query(over(RIGHTS, then="SELECT id, coalesce(regexp_matches(lower(text), 'non[ -]?commercial|cc[ -]?by[ -]?(nc|nd|sa)|no[ -]?derivatives|share[ -]?alike'), FALSE) AS restricted FROM rights"))
+@rule(over(RIGHTS, then="SELECT id, coalesce(regexp_matches(lower(text), 'non[ -]?commercial|cc[ -]?by[ -]?(nc|nd|sa)|no[ -]?derivatives|share[ -]?alike'), FALSE) AS restricted FROM rights"))
 def q_rule_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the screen of restrictive rights terms."""
     return RIGHTS.df(spark).select("id", restricted(F.col("text")).alias("restricted"))
@@ -325,7 +325,7 @@ def q_rule_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERS = Given("numbers", "id long, x double", list(enumerate([0.0, -0.0, 1.0, -1.5, 0.1, 1e21, 1e20, 123456789012345680000.0, 1e-6, 1e-7, 1.2345e-7, 4.5, 333333333.33333329, 5e-324, 1.7976931348623157e308, None])))
 
 
-@query()
+@rule()
 def q_rule_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RFC 8785 numbers and objects."""
     return NUMBERS.df(spark).select("id", jcs(x=json_number(F.col("x")), id=F.col("id").cast("string"), note=json_text(F.lit('a"\n€'))).alias("json"))

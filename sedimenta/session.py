@@ -29,13 +29,18 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/sedimenta-{spark.sparkContext.applicationId}"
 
 
+def fresh_dir(spark: SparkSession, tag: str) -> str:
+    """A new path among this application's intermediate tables."""
+    return f"{tables_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     This cuts the lineage: lost executors cost a reread, not a recomputation. The table stays until release() or
     clean_up() removes it.
     """
-    path = f"{tables_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._table_path = path

@@ -50,7 +50,7 @@ def test_graph(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert {r.component for r in graph.components(path).collect()} == {0}
     n = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x"), ("m", "gone")], "node string, parent string")
-    assert {r.node: (r.depth, r.state) for r in graph.lineages(n).where("node <> 'y'").collect()} == {"r": (0, "rooted"), "a": (1, "rooted"), "b": (2, "rooted"), "x": (1, "cycle"), "m": (0, "missing_parent")}
+    assert {r.node: (r.depth, r.state) for r in graph.lineages(n).where("node <> 'y'").collect()} == {"r": (0, "rooted"), "a": (1, "rooted"), "b": (2, "rooted"), "x": (None, "cycle"), "m": (0, "missing_parent")}
     d = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "parent string, child string")
     assert {(r.node, r.depth) for r in graph.descendants(d, spark.createDataFrame([("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("d", 1), ("c", 2)}
     assert {r.node for r in graph.cyclic_nodes(d).collect()} == {"a", "b", "c"}
