@@ -87,7 +87,7 @@ def pyramid_partitions(points: DataFrame, second: str, value: str, seconds: tupl
     of_time = F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), start, lambda s, _: time_step(s, at > s["a"] + F.floor((s["b"] - s["a"]) / 2)))
     of_value = F.aggregate(F.sequence(F.lit(1), F.lit(max(halvings, 1))), F.col("__t"), lambda s, _: value_step(s, x > (s["c"] + s["d"]) / 2)) if halvings else F.col("__t")
     inside = points.where(at.between(first, last) & x.between(low, high))
-    finest = inside.select(of_time.alias("__t")).select(F.col("__t.path").alias("of_time"), of_value["path"].alias("path")).groupBy("path", "of_time").agg(F.count("*").alias("n"))
+    finest = inside.select(of_time.alias("__t"), F.col(value)).select(F.col("__t.path").alias("of_time"), of_value["path"].alias("path")).groupBy("path", "of_time").agg(F.count("*").alias("n"))
     # a time path is shorter than others where its second comes sooner, so a smallest box is known by its time's length
     up = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.struct(F.substring("path", F.lit(1), k).alias("path"), (k == F.length("path")).alias("smallest"), F.least(k, F.length("of_time")).alias("of_time")))
     boxes = finest.select(F.explode(up).alias("b"), "n").groupBy("b.path", "b.smallest", "b.of_time").agg(F.sum("n").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rollups", "aggregates", "relational", "rules", "rule_views", "chains", "ledgers")
+MODULES = ("rollups", "aggregates", "relational", "rules", "rule_views", "chains", "commands", "selection", "ledgers")
 
 
 def load_all() -> None:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from sedimenta.plans import load_all
-from sedimenta.plans.registry import ORACLES, QUERIES
+from sedimenta.plans.registry import ORACLES, QUERIES, RULE_ORACLES, RULES
 
 load_all()
 SF = "/root/testdata/sf0.001"
@@ -36,14 +36,15 @@ def rows(columns, values):
 
 
 def test_every_query_has_a_twin():
-    # a sequential choice and a number format, tested against brute force and Python in other files
-    assert set(QUERIES) - set(ORACLES) == {"q_rule_quota", "q_rule_numbers"}
+    # sequential choices and a number format, tested against brute force and Python in other files
+    assert set(QUERIES) - set(ORACLES) == {"q_reference_selection"}
+    assert set(RULES) - set(RULE_ORACLES) == {"q_rule_quota", "q_rule_numbers"} and not set(RULES) & set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES | RULE_ORACLES))
 def test_query_is_its_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    twin = duck.execute(ORACLES[name])
+    df = (QUERIES | RULES)[name](spark, SF)
+    twin = duck.execute((ORACLES | RULE_ORACLES)[name])
     columns = [c[0] for c in twin.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == rows(columns, twin.fetchall())
