@@ -24,7 +24,7 @@ def review_catalogue(spark: SparkSession, customer: DataFrame, nation: DataFrame
     customer.createOrReplaceTempView("sedimenta_customer")
     nation.createOrReplaceTempView("sedimenta_nation")
     orders.createOrReplaceTempView("sedimenta_orders")
-    define_scalar(spark, "may_see", "role STRING, region INT", "BOOLEAN", "coalesce(role = 'administrator' OR (role = 'curator' AND region <= 2), false)")
+    define_scalar(spark, "may_see", "role STRING, region INT", "BOOLEAN", "role IS NOT NULL AND (role = 'administrator' OR (role = 'curator' AND region IS NOT NULL AND region <= 2))")
     define_scalar(spark, "balance_for", "role STRING, balance DOUBLE", "DOUBLE", "CASE WHEN role = 'administrator' OR balance >= 0 THEN balance END")
     define_table(
         spark, "visible_customers", "role STRING", "c_custkey BIGINT, c_mktsegment STRING, n_name STRING, balance DOUBLE",

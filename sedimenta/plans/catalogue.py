@@ -1,4 +1,4 @@
-"""Functions of the catalogue, hexagonal cells and canonical numbers over the star tables."""
+"""Functions of the catalogue, hexagonal cells, canonical numbers and archives over the star tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sedimenta.functions import hexgrid
 from sedimenta.functions.text import jcs, json_number, json_text
 from sedimenta.operators.catalogue import review_catalogue
+from sedimenta.session import fresh_dir
+from sedimenta.sources.archives import read_zip_ranges, write_zip_csv
 
 from .registry import query, table
 
@@ -74,3 +76,13 @@ def q_canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = jcs(key=F.col("o_orderkey").cast("string"), price=json_number(price), share=json_number(price / 7), priority=json_text(F.col("o_orderpriority")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("json"))
     return rows.withColumn("fingerprint", F.sha2(F.concat("json", F.lit("\n")), 256))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def q_archive_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written to ZIP archives by tasks and read back by byte ranges, with the columns asked for only."""
+    at = fresh_dir(spark, "archives")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("string"), "o_orderpriority")
+    write_zip_csv(orders.repartition(4, "o_orderkey"), at)
+    back = read_zip_ranges(spark, at, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"], range_bytes=1 << 18)
+    return back.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), F.col("o_totalprice").cast("double"), "o_orderpriority")

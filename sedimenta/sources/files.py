@@ -1,4 +1,4 @@
-"""File sources (S3-S9, S11, S13, S14, S17): explicit schemas, no inference, archives through Spark's binaryFile."""
+"""File sources (S3-S9, S11, S13, S14, S17): explicit schemas, no inference, archives read by ranges or as streams."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .archives import safe_member, store_of
+
 
 def strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -35,12 +36,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def safe_member(name: str) -> bool:
-    """A relative path that stays inside the archive."""
-    p = PurePosixPath(name)
-    return not p.is_absolute() and ".." not in p.parts and "\\" not in name
-
-
 def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The largest CSV member of each ZIP archive: file, row_number (from 1) and the wanted columns as strings.
 
@@ -50,8 +45,9 @@ def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for file in batch["path"]:
+                store, at = store_of(file)
+                with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:  # the archive is read by ranges
                     bad = [n for n in z.namelist() if not safe_member(n)]
                     if bad:
                         raise ValueError(f"unsafe member {bad[0]}")
@@ -62,10 +58,10 @@ def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
                     largest = max(tables, key=lambda i: (i.file_size, i.filename))
                     reader = csv.reader(io.TextIOWrapper(z.open(largest), "utf-8-sig", newline=""))
                     header = [names.get(c, c) for c in next(reader)]
-                    at = [header.index(c) for c in columns]
+                    place = [header.index(c) for c in columns]
                     held = []
                     for n, row in enumerate(reader, 1):
-                        held.append((file, n, *(row[i] or None for i in at)))
+                        held.append((file, n, *(row[i] or None for i in place)))
                         if len(held) == 8192:
                             yield pd.DataFrame(held, columns=["file", "row_number", *columns])
                             held = []
@@ -73,7 +69,7 @@ def read_zip_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
                         yield pd.DataFrame(held, columns=["file", "row_number", *columns])
 
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("row_number", T.LongType()), *strings(columns)])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(rows, schema)
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
@@ -82,15 +78,16 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as t:
+            for file in batch["path"]:
+                store, at = store_of(file)
+                with store.open_input_stream(at, compression=None) as f, tarfile.open(fileobj=f, mode="r|gz") as t:  # a stream, a member at a time
                     for m in t:
                         if m.isfile() and m.name.endswith("/state.json") and safe_member(m.name):
                             pages = json.load(t.extractfile(m)).get("pages", [])
                             found.append((file, m.name, len(pages), sum(int(p.get("returned", 0)) for p in pages)))
             yield pd.DataFrame(found, columns=["file", "member", "pages", "returned"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, member string, pages long, returned long")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(rows, "file string, member string, pages long, returned long")
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
