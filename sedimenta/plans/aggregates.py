@@ -1,4 +1,4 @@
-"""Aggregation queries (A2-A34) over the star tables, events and documents."""
+"""Aggregation queries over the star tables, events and documents; each names the rows of the inventory that it covers."""
 
 from __future__ import annotations
 

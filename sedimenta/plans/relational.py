@@ -288,7 +288,7 @@ WITH m AS (SELECT c_custkey, min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHE
 SELECT CASE WHEN n = 0 THEN 'blocked' WHEN ceiling <= 1 THEN 'withhold' WHEN ceiling <= 2 THEN 'generalise' ELSE 'publish' END AS decision, count(*) AS n, min(ceiling)::INT AS strictest FROM m GROUP BY 1
 """)
 def q_location_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strictest ceiling decides; nothing known blocks."""
+    """The strictest ceiling decides; nothing known blocks. The rules of D8 are decisions.location_decisions()."""
     level = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).when(F.col("o_orderpriority") == "3-MEDIUM", 3).otherwise(4)
     per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(level).alias("ceiling"))
     rows = table(spark, sf_dir, "customer").select("c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -348,7 +348,7 @@ SELECT user_id, supports::BIGINT AS supports, opposes::BIGINT AS opposes, least(
        CASE WHEN total < 2 THEN 'insufficient' WHEN supports > 0 AND opposes > 0 AND least(supports, opposes) * 3 >= total THEN 'conflict' WHEN supports > opposes THEN 'supported' WHEN opposes > supports THEN 'opposed' ELSE 'uncertain' END AS status FROM s
 """)
 def q_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support, opposition, dissent and the ordered rules of a status."""
+    """Support, opposition, dissent and a status by ordered rules. The rules of D1 are consensus.layers()."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count_if(F.col("event_type").isin("purchase", "signup")).alias("supports"), F.count_if(F.col("event_type") == "error").alias("opposes"), F.count("*").alias("total"),
     )

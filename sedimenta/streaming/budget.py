@@ -42,16 +42,30 @@ def unique_work(work: DataFrame, id_col: str = "work_id", time_col: str = "ts",
 def journal_sink(path: str, id_col: str):
     """A foreachBatch function that appends rows whose id the Parquet journal at `path` doesn't hold.
 
-    A replayed batch appends nothing, so at-least-once delivery gives each id once.
+    A replayed batch appends nothing, so at-least-once delivery gives each id once. An id that comes again with other
+    values, in its batch or against the journal, is a ValueError, and nothing of its batch is appended. Of the journal
+    only ids and hashes are read. Rows without an id are a ValueError.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(id_col), id_col, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        known = lambda df, name: df.select(F.col(id_col), F.xxhash64(*df.columns).alias(name))
+        batch = batch.distinct().persist()
+        try:
+            odd = batch.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
+            fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fresh = batch
+            if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+                old = known(spark.read.schema(batch.schema).parquet(path), "__old")
+                changed = known(batch, "__new").join(old, id_col).where("__old <> __new")
+                odd = odd.select(id_col).union(changed.select(id_col))
+                fresh = batch.join(old.select(id_col), id_col, "left_anti").select(*batch.columns)
+            wrong = odd.select(id_col).first()
+            if wrong:
+                raise ValueError(f"{id_col} {wrong[0]} comes with different values")
+            fresh.write.mode("append").parquet(path)
+        finally:
+            batch.unpersist()
 
     return append
 

@@ -170,7 +170,15 @@ def test_streams(spark, tmp_path):
     for run in range(2):  # a replay appends nothing
         q = stream().writeStream.foreachBatch(budget.journal_sink(f"file://{tmp_path}/journal", "work_id")).option("checkpointLocation", f"file://{tmp_path}/c{run}").trigger(availableNow=True).start()
         q.awaitTermination(60)
-    assert spark.read.parquet(f"file://{tmp_path}/journal").count() == 4
+    journal = lambda: spark.read.parquet(f"file://{tmp_path}/journal")
+    assert journal().count() == 4
+    sink = budget.journal_sink(f"file://{tmp_path}/journal", "work_id")
+    first = journal().first()
+    other = journal().where(F.col("work_id") == first.work_id).limit(1).withColumn("lane_name", F.lit("changed"))
+    for bad in (other, journal().limit(1).withColumn("work_id", F.lit(77).cast("long")).union(other.withColumn("work_id", F.lit(77).cast("long"))), journal().limit(1).withColumn("work_id", F.lit(None).cast("long"))):
+        with pytest.raises(ValueError):
+            sink(bad, 9)
+    assert journal().count() == 4
 
 
 def test_tools(spark):
