@@ -23,25 +23,29 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Of rows (keys, n) those with more than 1 / SHARE of `total` rows, with the salts that split them: below SHARE rows.
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> list[tuple[int, list[int]]]:
+    """Of rows (keys, n) those with more than 1 / SHARE of `total` rows: (salts, hashes of the keys that so many split), by salts.
 
-    One more row has no key, so that the plan is the same whether or not a key is hot.
+    Salts are powers of two below 2 * n * SHARE / total. There are fewer than SHARE such keys, of which the driver gets a
+    hash each; n adds up to `total` at most.
     """
-    hot = counts.where(F.col(n) * SHARE > total).select(*keys, F.ceil(F.col(n) * SHARE / F.lit(float(max(total, 1)))).alias("__salts"))
-    none = counts.sparkSession.range(1).select(*[F.lit(None).cast(counts.schema[k].dataType).alias(k) for k in keys], F.lit(1).cast("long").alias("__salts"))
-    return hot.union(none)
+    few = counts.where(F.col(n) * SHARE > total)
+    power = F.ceil(F.log2(F.col(n) * SHARE / F.lit(float(max(total, 1))))).cast("int")
+    found: dict[int, list[int]] = {}
+    for row in few.select(F.xxhash64(*keys).alias("key"), power.alias("power")).collect():
+        found.setdefault(1 << row["power"], []).append(row["key"])
+    return sorted((salts, sorted(hashes)) for salts, hashes in found.items())
 
 
-def salted_join(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+def salted_join(rows: DataFrame, values: DataFrame, keys: list[str], hot: list[tuple[int, list[int]]], by: str) -> DataFrame:
     """Inner join of rows with values (one row a key) in which the rows of a hot key are dealt over its salts by a hash of `by`.
 
-    A hot key's value is copied once a salt, so copies come to 2 * SHARE rows at most. hot: of hot_keys(), which has
-    fewer than SHARE rows and is broadcast for that reason.
+    hot: of hot_keys(). Either side tells a key's salts from its hash (keys have one type on both sides), so a key that
+    shares a hot one's hash is dealt as well and still meets. A hot key's value is copied once a salt: 2 * SHARE copies
+    at most, for keys of different hashes.
     """
-    few = F.broadcast(hot)
-    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("__salts")), F.lit(0).cast("long"))
-    dealt = rows.join(few, keys, "left").withColumn("__salt", salt).drop("__salts")
-    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1).cast("long")) - 1)
-    spread = values.join(few, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
+    key = F.xxhash64(*keys)
+    salts = F.coalesce(*[F.when(key.isin(hashes), F.lit(n)) for n, hashes in hot], F.lit(1)).cast("long")
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), salts))
+    spread = values.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return dealt.join(spread, [*keys, "__salt"]).drop("__salt")

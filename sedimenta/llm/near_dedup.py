@@ -276,7 +276,7 @@ def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(columns, names=["group", "node", "component", "first", "smaller"])
 
 
-def _with(pairs: DataFrame, values: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+def _with(pairs: DataFrame, values: DataFrame, value: str, hot: list) -> DataFrame:
     """Pairs (x, y) with a class's value on either side: x, y, x_value, y_value. Rows of one y are neighbours; hot y's are salted."""
     left = pairs.join(values.select(F.col("node").alias("x"), F.col(value).alias("x_value")), "x")
     both = salted_join(left, values.select(F.col("node").alias("y"), F.col(value).alias("y_value")), ["y"], hot, "x")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import mixing, near_dedup, topk, warc
+from sedimenta.llm import common, mixing, near_dedup, topk, warc
 
 
 # --- exact top-k
@@ -108,6 +108,23 @@ def near_copies(n=160, words=60):
     return docs
 
 
+def test_salted_join_deals_hot_keys(spark):
+    # a third of all rows is one key's, some keys are over a thousandth, others rare, and some are on one side only
+    rows = spark.range(9000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.floor(F.sqrt(F.col("id")))).cast("long").alias("a"), (F.col("id") % 2).alias("b"))
+    rows = rows.union(spark.createDataFrame([(-1, None, 0)], rows.schema))
+    values = spark.createDataFrame([(a, b, 100 * a + b) for a in range(200) for b in (0, 1)], "a long, b long, value long")
+    for keys in (["a"], ["a", "b"]):
+        side = values.groupBy(*keys).agg(F.min("value").alias("value"))
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        hot = common.hot_keys(counts, keys, "n", 9001)
+        assert 3 <= sum(len(hashes) for _, hashes in hot) < common.SHARE
+        assert sum(n * len(hashes) for n, hashes in hot) < 2 * common.SHARE
+        got = common.salted_join(rows, side, keys, hot, "row").select("row", "value").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(side, keys).select("row", "value").collect()))
+    assert common.hot_keys(counts.where("false"), keys, "n", 0) == []
+    assert sorted(map(tuple, common.salted_join(rows, side, keys, [], "row").select("row", "value").collect())) == sorted(map(tuple, got))
+
+
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates_are_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
