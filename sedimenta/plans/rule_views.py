@@ -32,8 +32,8 @@ def _listing(spark: SparkSession) -> DataFrame:
 
 
 LISTING_SQL = r"""
-n AS (SELECT taxon_key, rank, family, genus, lower(regexp_replace(CASE WHEN rank = 'species' THEN regexp_replace(name, '^(\S+)\s+\([^)]+\)\s+', '\1 ') ELSE name END, '\s+', ' ', 'g')) AS n FROM taxa),
-m AS (SELECT t.taxon_key, l.id, coalesce(t.family = l.family, TRUE) AND coalesce(t.genus = l.genus, TRUE) AS fits FROM n t LEFT JOIN listed l ON t.n = lower(regexp_replace(l.name, '\s+', ' ', 'g')) AND t.rank = lower(l.rank)),
+n AS (SELECT taxon_key, rank, family, genus, lower(regexp_replace(regexp_replace(name, '^(\S+)\s+\([^)]+\)\s+', '\1 '), '\s+', ' ', 'g')) AS n FROM taxa),
+m AS (SELECT t.taxon_key, l.id, coalesce(t.family = l.family, TRUE) AND coalesce(t.genus = l.genus, TRUE) AS fits FROM n t LEFT JOIN listed l ON t.n = lower(regexp_replace(regexp_replace(l.name, '^(\S+)\s+\([^)]+\)\s+', '\1 '), '\s+', ' ', 'g')) AND t.rank = lower(l.rank)),
 p AS (SELECT taxon_key, count(id) AS candidate_count, count(*) FILTER (WHERE id IS NOT NULL AND fits) AS n, min(id) FILTER (WHERE fits) AS id FROM m GROUP BY 1),
 listing AS (SELECT taxon_key, CASE WHEN candidate_count = 0 THEN 'unmatched' WHEN n <> 1 OR NOT regexp_full_match(id, '[0-9]+') THEN 'conflict' ELSE 'matched' END AS state,
   CASE WHEN candidate_count = 0 THEN ['provider_no_match'] WHEN n = 0 THEN ['classification_mismatch'] WHEN n > 1 THEN ['ambiguous_multiple_matches'] WHEN NOT regexp_full_match(id, '[0-9]+') THEN ['missing_or_non_numeric_identifier'] ELSE [] END::VARCHAR[] AS reasons,
@@ -61,8 +61,8 @@ def _service(spark: SparkSession) -> DataFrame:
 
 
 SERVICE_SQL = rf"""
-q AS (SELECT t.taxon_key, t.rank AS r, t.family AS ef, t.genus AS eg, lower(CASE WHEN t.rank = 'species' THEN regexp_replace(t.name, '^(\S+)\s+\([^)]+\)\s+', '\1 ') ELSE t.name END) AS n, s.* EXCLUDE (taxon_key) FROM taxa t JOIN service s USING (taxon_key)),
-w AS (SELECT *, {some(("name_mismatch", "n IS DISTINCT FROM lower(name)"), ("rank_mismatch", "lower(coalesce(rank, '')) <> r"), ("non_exact_match", "coalesce(match_type NOT IN ('exactMatch', 'canonicalMatch'), TRUE)"),
+q AS (SELECT t.taxon_key, t.rank AS r, t.family AS ef, t.genus AS eg, lower(regexp_replace(regexp_replace(t.name, '^(\S+)\s+\([^)]+\)\s+', '\1 '), '\s+', ' ', 'g')) AS n, s.* EXCLUDE (taxon_key) FROM taxa t JOIN service s USING (taxon_key)),
+w AS (SELECT *, {some(("name_mismatch", r"n IS DISTINCT FROM lower(regexp_replace(regexp_replace(name, '^(\S+)\s+\([^)]+\)\s+', '\1 '), '\s+', ' ', 'g'))"), ("rank_mismatch", "lower(coalesce(rank, '')) <> r"), ("non_exact_match", "coalesce(match_type NOT IN ('exactMatch', 'canonicalMatch'), TRUE)"),
     ("provider_issue", "len(list_filter(issues, lambda x: x <> 'noIssue')) > 0"), ("family_mismatch", "ef <> family"), ("genus_mismatch", "eg <> genus"), ("missing_identifier", "coalesce(id, '') = ''"))} AS rs FROM q),
 named AS (SELECT taxon_key, CASE WHEN NOT found THEN 'unmatched' WHEN len(rs) > 0 THEN 'conflict' ELSE 'matched' END AS state, CASE WHEN NOT found THEN ['provider_no_match'] ELSE rs END::VARCHAR[] AS reasons, CASE WHEN found AND len(rs) = 0 THEN id END AS identifier FROM w)
 """
