@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rollups", "aggregates", "relational", "rules", "rule_views", "chains", "commands", "selection", "catalogue", "ledgers", "reviews", "intake")
+MODULES = ("rollups", "aggregates", "relational", "rules", "rule_views", "chains", "commands", "selection", "catalogue", "ledgers", "reviews", "intake", "views")
 
 
 def load_all() -> None:
