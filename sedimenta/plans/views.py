@@ -122,3 +122,14 @@ def q_taken_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_admitted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as pages of their events' assets, whole or not at all."""
     return disclosure.admitted_page(fed(spark, sf_dir, PAGED))
+
+
+SIGNUPS = """SELECT CASE WHEN c_custkey % 11 <> 0 THEN 'u' || CAST(c_custkey * 2 AS STRING) END AS caller, CASE c_custkey % 9 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS anonymous, 'j' || CAST(c_nationkey AS STRING) AS project,
+  CASE c_custkey % 8 WHEN 0 THEN 'x' WHEN 1 THEN 'me@' || c_mktsegment WHEN 2 THEN 'see http://' || c_mktsegment ELSE ' ' || c_name || ' ' END AS name FROM {customer}"""
+PROJECTS = "SELECT 'j' || CAST(n_nationkey AS STRING) AS project, CASE WHEN n_nationkey % 6 = 0 THEN 'closed' ELSE 'active' END AS status FROM {nation}"
+
+
+@query(twin("q_rule_registrations", (rule_views.SIGNUPS, SIGNUPS), (rule_views.PROJECTS, PROJECTS), (rule_views.PROFILES, PROFILES), (rule_views.MEMBERS, MEMBERS)))
+def q_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ask to join nations' projects."""
+    return disclosure.registrations(*(fed(spark, sf_dir, x) for x in (SIGNUPS, PROJECTS, PROFILES, MEMBERS)))
