@@ -1,6 +1,7 @@
 """Recursive and graph operators (G1-G10, J11, J22): components, chains, tree orders and intervals, cycles, descendants.
 
-Loops keep their state in tables and stop when nothing changes; the driver sees counts only.
+Loops keep their state in tables and stop when nothing changes; the driver sees counts only. Tables of a few bytes a row look
+small enough to broadcast when they aren't, so joins of two large ones are told to sort ("merge").
 """
 
 from __future__ import annotations
@@ -47,11 +48,13 @@ def chains(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     state: rooted, missing_parent (root is the topmost ancestor, whose parent isn't a node) or cycle (no ancestor without a
     parent: root and depth are null). with_path adds the nodes from the root down, null in cycles. Each round doubles how
     far a node has climbed, so a chain of any length takes as many rounds as its logarithm; without paths a node's state
-    is a few values. A parent of many nodes is one row of the join, whose other side can be split.
+    is a few values. A parent of many nodes is one row of the join, whose other side can be split. Only nodes that still climb
+    are joined in a round, as those at their end would share the key null, and with it a task.
     """
     link = nodes.select("node", "parent")
     known = link.select(F.col("node").alias("known"))
-    first = link.join(known, F.col("parent") == F.col("known"), "left")
+    below = link.where("parent IS NOT NULL").join(known.hint("merge"), F.col("parent") == F.col("known"), "left")
+    first = below.union(link.where("parent IS NULL").select("node", "parent", F.col("parent").alias("known")))
     there = F.col("known").isNotNull()
     rows = first.select(
         "node", F.when(there, F.col("parent")).alias("up"), F.when(there, 1).otherwise(0).cast("long").alias("depth"), F.when(~there, F.col("node")).alias("root"),
@@ -66,11 +69,10 @@ def chains(nodes: DataFrame, with_path: bool = False) -> DataFrame:
             kept = [own("root"), own("depth"), F.when(open_, "cycle").otherwise(F.col("state")).alias("state"), *([own("path")] if with_path else [])]
             return rows.select("node", *kept)
         above = rows.select(F.col("node").alias("of"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"), F.col("state").alias("end"), *([F.col("path").alias("head")] if with_path else []))
-        path = [F.when(F.col("of").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")] if with_path else []
-        moved = rows.join(above, F.col("up") == F.col("of"), "left").select(
-            "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "top").alias("root"), F.coalesce("state", "end").alias("state"), *path
+        moved = rows.where("up IS NOT NULL").join(above.hint("merge"), F.col("up") == F.col("of")).select(
+            "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("root"), F.col("end").alias("state"), *([F.concat("head", "path").alias("path")] if with_path else [])
         )
-        last, rows, reach = rows, materialize(moved, "chains"), 2 * reach
+        last, rows, reach = rows, materialize(moved.union(rows.where("up IS NULL")), "chains"), 2 * reach
         release(last)
     return rows.select("node", "root", "depth", "state", *(["path"] if with_path else []))
 
@@ -98,26 +100,26 @@ def preorder(nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     order = order or []
     good = chains(nodes).where("state = 'rooted'").select("node")
-    rows = nodes.select("node", "parent", *[F.col(c).alias(f"__{c}") for c in order]).join(good, "node", "left_semi")
+    rows = nodes.select("node", "parent", *[F.col(c).alias(f"__{c}") for c in order]).join(good.hint("merge"), "node", "left_semi")
     keys = ["parent", *[f"__{c}" for c in order], "node"]
     rows = materialize(placed(rows, keys).select("node", "parent", "place"), "siblings")
     after = rows.select(F.col("node").alias("sibling"), F.col("parent").alias("of"), (F.col("place") - 1).alias("place"))
     first = rows.where("parent IS NOT NULL").groupBy(F.col("parent").alias("of_parent")).agg(F.min_by("node", "place").alias("child"))
-    known = rows.join(after, (rows.place == after.place) & rows.parent.eqNullSafe(after.of), "left").select("node", "parent", "sibling")
-    known = known.join(first, F.col("node") == F.col("of_parent"), "left").select("node", "parent", "sibling", "child")
+    known = rows.join(after.hint("merge"), (rows.place == after.place) & rows.parent.eqNullSafe(after.of), "left").select("node", "parent", "sibling")
+    known = known.join(first.hint("merge"), F.col("node") == F.col("of_parent"), "left").select("node", "parent", "sibling", "child")
     total = rows.count()
     step = lambda leaves, to, to_leaves, enters: F.struct(F.lit(leaves).alias("leaves"), to.alias("to"), to_leaves.alias("to_leaves"), F.lit(enters).cast("long").alias("enters"), F.lit(1 if enters else -1).cast("long").alias("climbs"))
     into = step(False, F.coalesce("child", "node"), F.col("child").isNull(), 1)
     out = step(True, F.coalesce("sibling", "parent"), F.col("sibling").isNull(), 0)
     tour, reach = materialize(known.select("node", F.inline(F.array(into, out))), "tour"), 1
-    while reach < 2 * total:
+    while reach < 2 * total:  # steps that have come to the end are left as they are, as in chains()
         ahead = tour.select(F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("next"), F.col("to_leaves").alias("next_leaves"), F.col("enters").alias("more"), F.col("climbs").alias("rise"))
-        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-        moved = tour.join(ahead, ["to", "to_leaves"], "left").select("node", "leaves", F.col("next").alias("to"), F.col("next_leaves").alias("to_leaves"), add("enters", "more"), add("climbs", "rise"))
-        last, tour, reach = tour, materialize(moved, "tour"), 2 * reach
+        add = lambda a, b: (F.col(a) + F.col(b)).alias(a)
+        moved = tour.where("to IS NOT NULL").join(ahead.hint("merge"), ["to", "to_leaves"]).select("node", "leaves", F.col("next").alias("to"), F.col("next_leaves").alias("to_leaves"), add("enters", "more"), add("climbs", "rise"))
+        last, tour, reach = tour, materialize(moved.union(tour.where("to IS NULL")), "tour"), 2 * reach
         release(last)
     sums = tour.groupBy("node").agg(F.max(F.when(~F.col("leaves"), F.col("enters"))).alias("from_in"), F.max(F.when(F.col("leaves"), F.col("enters"))).alias("from_out"), (-F.max(F.when(~F.col("leaves"), F.col("climbs")))).alias("depth"))
-    return rows.select("node", "parent").join(sums, "node").select("node", "parent", (total - F.col("from_in")).alias("pre"), (F.col("from_in") - F.col("from_out")).alias("size"), "depth")
+    return rows.select("node", "parent").join(sums.hint("merge"), "node").select("node", "parent", (total - F.col("from_in")).alias("pre"), (F.col("from_in") - F.col("from_out")).alias("size"), "depth")
 
 
 def totals_below(tree: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
@@ -126,10 +128,10 @@ def totals_below(tree: DataFrame, facts: DataFrame, values: list[str]) -> DataFr
     Facts add up along pre once, and a subtree is the difference of two places of that sum: no path is unfolded.
     """
     own = facts.groupBy("node").agg(*[F.sum(v).alias(v) for v in values])
-    rows = tree.join(own, "node", "left").select("node", "pre", "size", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
+    rows = tree.join(own.hint("merge"), "node", "left").select("node", "pre", "size", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
     sums = materialize(running_totals(rows, ["pre"], values), "running")
     ends = sums.select(F.col("pre").alias("last"), *[F.col(f"total_{v}").alias(f"end_{v}") for v in values])
-    return sums.join(ends, F.col("pre") + F.col("size") - 1 == F.col("last")).select("node", *[(F.col(f"end_{v}") - F.col(f"total_{v}") + F.col(v)).alias(v) for v in values])
+    return sums.join(ends.hint("merge"), F.col("pre") + F.col("size") - 1 == F.col("last")).select("node", *[(F.col(f"end_{v}") - F.col(f"total_{v}") + F.col(v)).alias(v) for v in values])
 
 
 def contained(intervals: DataFrame, points: DataFrame, low: str = "low", high: str = "high", at: str = "at") -> DataFrame:

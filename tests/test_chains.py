@@ -192,3 +192,20 @@ def test_numbers_have_the_fewest_digits(spark):
     for v, text in zip(values, got, strict=True):
         digits = lambda s: s.lower().lstrip("-").split("e")[0].replace(".", "").strip("0")
         assert float(text) == v and digits(text) == digits(repr(v)), (v, text)
+
+
+def test_nodes_at_their_end_take_no_part_in_a_round(spark, monkeypatch):
+    """They would share the key null, and with it a task."""
+    plans = {}
+    old = graph.materialize
+
+    def seen(df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return old(df, tag)
+
+    monkeypatch.setattr(graph, "materialize", seen)
+    df = spark.range(40).select(F.col("id").alias("node"), F.when(F.col("id") % 4 > 0, F.col("id") - 1).alias("parent"))
+    assert graph.chains(df).where("depth = node % 4 AND root = node - node % 4 AND state = 'rooted'").count() == 40
+    assert graph.preorder(df).where("pre = node AND size = 4 - node % 4 AND depth = node % 4").count() == 40
+    for plan in plans["chains"][1:3] + plans["tour"][1:]:
+        assert "Join Inner" in plan and "Join LeftOuter" not in plan
