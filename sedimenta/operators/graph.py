@@ -134,14 +134,19 @@ def totals_below(tree: DataFrame, facts: DataFrame, values: list[str]) -> DataFr
     return sums.join(ends.hint("merge"), F.col("pre") + F.col("size") - 1 == F.col("last")).select("node", *[(F.col(f"end_{v}") - F.col(f"total_{v}") + F.col(v)).alias(v) for v in values])
 
 
+#: So many intervals, with some 50 blocks each at most, are sent to every task.
+FEW = 1000
+
+
 def contained(intervals: DataFrame, points: DataFrame, low: str = "low", high: str = "high", at: str = "at") -> DataFrame:
     """Pairs of intervals [low, high) and points within them (J11, G4): the columns of both, whose names differ.
 
     A range join on equal keys: an interval is cut into at most two blocks of each power of two, and a point lies in one
     block of each. Bounds and points are whole numbers from 0; nulls and empty intervals meet nothing. A point comes once for
-    each power of two up to the largest bound.
+    each power of two up to the largest bound, so points are never broadcast: up to FEW intervals are, and more are sorted with them.
     """
-    top = intervals.agg(F.max(high)).first()[0] or 0
+    top, n = intervals.agg(F.max(high), F.count("*")).first()
+    top = top or 0
     levels = max(1, int(top).bit_length() + 1)
     block = "array<struct<level:int,block:bigint>>"
 
@@ -156,6 +161,7 @@ def contained(intervals: DataFrame, points: DataFrame, low: str = "low", high: s
     left = intervals.where(F.col(low) < F.col(high)).select("*", F.explode(blocks).alias("__b")).select("*", "__b.level", "__b.block").drop("__b")
     places = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("block")) for k in range(levels + 1)])
     right = points.where(F.col(at).isNotNull()).select("*", F.explode(places).alias("__b")).select("*", "__b.level", "__b.block").drop("__b")
+    left = F.broadcast(left) if n <= FEW else left.hint("merge")
     return left.join(right, ["level", "block"]).drop("level", "block")
 
 

@@ -194,6 +194,16 @@ def test_numbers_have_the_fewest_digits(spark):
         assert float(text) == v and digits(text) == digits(repr(v)), (v, text)
 
 
+def test_points_are_never_broadcast(spark):
+    """However small their table looks: each is a row for every power of two."""
+    few = spark.createDataFrame([(i, i, i + 5) for i in range(10)], "i long, low long, high long")
+    many = spark.range(graph.FEW + 1).select(F.col("id").alias("i"), F.col("id").alias("low"), (F.col("id") + 5).alias("high"))
+    points = spark.range(50).select(F.col("id").alias("p"), F.col("id").alias("at"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [level" in plan(graph.contained(few, points)) and "BuildLeft" in plan(graph.contained(few, points))
+    assert "SortMergeJoin [level" in plan(graph.contained(many, points)) and "Broadcast" not in plan(graph.contained(many, points))
+
+
 def test_nodes_at_their_end_take_no_part_in_a_round(spark, monkeypatch):
     """They would share the key null, and with it a task."""
     plans = {}
