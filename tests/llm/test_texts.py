@@ -286,3 +286,8 @@ def test_edges_of_language_id(edge_docs, no_docs, edge_texts):
     alone = language_id.predict(model, [long])
     together = language_id.predict(model, ["x", long, None])
     assert alone[1][0] == together[1][1]
+
+
+def test_a_task_encodes_and_decodes_in_one_worker(edge_docs):
+    plan = bpe.encode_decode(edge_docs, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
