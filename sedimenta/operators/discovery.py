@@ -51,7 +51,7 @@ def definitions(names: DataFrame, normal: Column | None = None) -> DataFrame:
     """
     rows = definition_faults(names, normal).withColumn("tier", F.create_map(*[F.lit(v) for kv in TIERS.items() for v in kv])[F.col("rank")])
     taxa = rows.groupBy("normalized").agg(F.countDistinct("taxon_key").alias("__taxa"))
-    rows = rows.join(taxa, "normalized")
+    rows = rows.join(taxa.hint("merge"), "normalized")  # short columns look small enough to broadcast
     fault = F.when(F.size("faults") > 0, F.concat(F.col("assertion"), F.lit(": "), F.array_join("faults", ", "))).when(F.col("__taxa") > 1, F.concat(F.lit("a term of several taxa: "), "normalized"))
     checked = F.when(fault.isNull(), F.col("assertion")).otherwise(F.raise_error(fault).cast("string"))
     own = {n: F.col(n) for n in ("taxon_key", "name", "normalized", "language", "name_type", "rank", "trust", "tier", "provider")}
@@ -67,7 +67,7 @@ def requests(associations: DataFrame, defined: DataFrame, common: dict[str, str]
     another fingerprint is an error. Distinct requests: .select("request", "request_fingerprint", "parameters").distinct().
     """
     known = defined.select("definition", "normalized", F.col("compiler_fingerprint").alias("__own"))
-    rows = associations.join(known, "definition", "left")
+    rows = associations.join(known.hint("merge"), "definition", "left")
     fault = F.when(F.col("__own").isNull(), "an unknown definition").when(F.col("__own") != F.col("fingerprint"), "a definition's fingerprint differs")
     rows = rows.withColumn("association", F.when(fault.isNull(), F.col("association")).otherwise(F.raise_error(F.concat(fault, F.lit(": "), "definition")).cast("string")))
     parameters = canonical_json(text=F.col("normalized"), **{k: F.lit(v) for k, v in common.items()})

@@ -38,9 +38,9 @@ def q_shared_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders associate customers' names; associations share the request of their term."""
     defined = discovery.definitions(fed(spark, sf_dir, NAMES))
     known = defined.select("assertion", "definition", F.col("compiler_fingerprint").alias("fingerprint"))
-    rows = discovery.requests(fed(spark, sf_dir, ASSOCIATED).join(known, "assertion").drop("assertion"), defined, {"method": "search"})
+    rows = discovery.requests(fed(spark, sf_dir, ASSOCIATED).join(known.hint("merge"), "assertion").drop("assertion"), defined, {"method": "search"})
     shared = rows.groupBy("request").agg(F.count("*").alias("shared"))
-    return rows.join(shared, "request").join(defined.select("definition", "normalized"), "definition").select("association", "normalized", "parameters", "request", "shared")
+    return rows.join(shared.hint("merge"), "request").join(defined.select("definition", "normalized").hint("merge"), "definition").select("association", "normalized", "parameters", "request", "shared")
 
 
 @query(twin("q_rule_name_collisions", (rule_views.NAMES, NAMES), (rule_views.KNOWN, KNOWN)))

@@ -219,3 +219,10 @@ def test_nodes_at_their_end_take_no_part_in_a_round(spark, monkeypatch):
     assert graph.preorder(df).where("pre = node AND size = 4 - node % 4 AND depth = node % 4").count() == 40
     for plan in plans["chains"][1:3] + plans["tour"][1:]:
         assert "Join Inner" in plan and "Join LeftOuter" not in plan
+
+
+def test_shared_requests_broadcast_nothing(spark):
+    from sedimenta.plans.views import q_shared_requests
+
+    plan = q_shared_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
