@@ -19,10 +19,18 @@ def quota_per_group(rows: DataFrame, group: str, order: list[Column], quota: int
 
 #: A key's rows are cut over so many salts before its first ones are taken.
 SALTS = 64
+#: Up to so many rows of a key are told before a shuffle (below Spark's spark.sql.optimizer.windowGroupLimitThreshold).
+CUT = 500
 
 
 def first_rows(df: DataFrame, keys: list[str], n: int | Column, order: list[Column], tie: str, name: str) -> DataFrame:
-    """The first n rows of each key by `order` and `tie`, numbered from 1: the first of each salt, then of what is left of the key."""
+    """The first n rows of each key by `order` and `tie`, numbered from 1.
+
+    A number n is applied by each task to its own rows before the shuffle, if it is at most CUT; otherwise to each salt of a
+    key first, then to what is left of the key. So no task holds all rows of a key.
+    """
+    if isinstance(n, int) and n <= CUT:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie))).where(F.col(name) <= n)
     cut = Window.partitionBy(*keys, F.pmod(F.xxhash64(tie), F.lit(SALTS))).orderBy(*order, tie)
     some = df.withColumn(name, F.row_number().over(cut)).where(F.col(name) <= n)
     return some.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie))).where(F.col(name) <= n)

@@ -221,6 +221,18 @@ def test_nodes_at_their_end_take_no_part_in_a_round(spark, monkeypatch):
         assert "Join Inner" in plan and "Join LeftOuter" not in plan
 
 
+def test_first_rows_shuffle_once(spark):
+    from sedimenta.operators.sampling import CUT, first_rows
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 3000).alias("v"), F.col("id").cast("string").alias("tie"))
+    plan = lambda n: first_rows(df, ["k"], n, [F.col("v").desc()], "tie", "nth")._jdf.queryExecution().executedPlan().toString()
+    assert plan(5).count("Exchange hash") == 1 and "WindowGroupLimit" in plan(5).split("Exchange hash")[1]
+    assert plan(CUT + 1).count("Exchange hash") == 2
+    assert sorted(tuple(x) for x in first_rows(df, ["k"], 2, [F.col("v").desc()], "tie", "nth").select("k", "nth", "v").collect()) == sorted(
+        (k, n + 1, v) for k in range(3) for n, v in enumerate(sorted((i * 7919 % 3000 for i in range(k, 3000, 3)), reverse=True)[:2])
+    )
+
+
 def test_shared_requests_broadcast_nothing(spark):
     from sedimenta.plans.views import q_shared_requests
 
