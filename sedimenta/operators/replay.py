@@ -30,14 +30,15 @@ def replay(commands: DataFrame, case: str, order: list[str], code: str, tables:
 
     Within a case commands follow `order`, which has no ties. A refused command changes nothing; so does one whose code is
     null or no index, which is refused. Rows without a case are one case. Other columns are kept, but for `before`, `after`
-    and `refused`. Levels grow with the logarithm of the longest case.
+    and `refused`. Levels grow with the logarithm of the longest case. No join broadcasts: tables of states are small files
+    of as many rows as there are commands.
     """
     n = len(tables[0])
     total = F.lit([[s if to == REFUSED else to for s, to in enumerate(t)] for t in tables] + [list(range(n))])
     known = F.when(F.col(code).between(0, len(tables) - 1), F.col(code)).otherwise(len(tables)).cast("int")
     rows = placed(commands.withColumn("__code", known).drop("before", "after", "refused"), [case, *order], "__place")
     first = rows.groupBy(case).agg(F.min("__place").alias("__first")).withColumnRenamed(case, "__case")
-    rows = rows.join(first, rows[case].eqNullSafe(first["__case"])).withColumn("__at", F.col("__place") - F.col("__first")).drop("__place", "__first", "__case")
+    rows = rows.join(first.hint("merge"), rows[case].eqNullSafe(first["__case"])).withColumn("__at", F.col("__place") - F.col("__first")).drop("__place", "__first", "__case")
     rows = materialize(rows, "commands")
 
     group = F.floor(F.col("at") / block).alias("group")
@@ -62,10 +63,10 @@ def replay(commands: DataFrame, case: str, order: list[str], code: str, tables:
             return F.struct(to.alias("now"), F.concat(a["out"], F.array(F.struct(r["at"].alias("at"), a["now"].alias("before"), to.alias("after")))).alias("out"))
 
         here = met.withColumnsRenamed({"case": "c", "group": "g"})
-        joined = levels[depth].join(here, F.col("case").eqNullSafe(F.col("c")) & (F.col("group") == F.col("g")))
+        joined = levels[depth].join(here.hint("merge"), F.col("case").eqNullSafe(F.col("c")) & (F.col("group") == F.col("g")))
         met = materialize(joined.select("case", F.explode(F.aggregate("rows", begin, onward)["out"]).alias("x")).select("case", F.col("x.at").alias("group"), F.col("x.before").alias("state"), F.col("x.after").alias("after")), "states")
     met = met.select(F.col("case").alias("__case"), F.col("group").alias("__group"), F.col("state").alias("before"), "after")
-    done = rows.join(met, F.col(case).eqNullSafe(F.col("__case")) & (F.col("__at") == F.col("__group"))).drop("__case", "__group")
+    done = rows.join(met.hint("merge"), F.col(case).eqNullSafe(F.col("__case")) & (F.col("__at") == F.col("__group"))).drop("__case", "__group")
     legal = F.lit([[to != REFUSED for to in t] for t in tables] + [[False] * n])
     out = done.withColumn("refused", ~F.element_at(F.element_at(legal, F.col("__code") + 1), F.col("before") + 1)).drop("__code", "__at")
     release(*levels)

@@ -128,6 +128,12 @@ def test_replay_is_the_fold(spark, block):
     assert replay.replay_moderation(df.where("false"), "case", ["seq"], "what").collect() == []
 
 
+def test_states_are_never_broadcast(spark):
+    df = spark.range(50).select(F.lit("one").alias("case"), "id", F.lit(0).alias("code"))
+    done = replay.replay(df, "case", ["id"], "code", [[1, replay.REFUSED]])
+    assert done.count() == 50 and "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_case_of_a_million_commands(spark):
     n = 1_000_000
     tables = [[1, replay.REFUSED], [replay.REFUSED, 0]]  # on, off
