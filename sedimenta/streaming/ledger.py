@@ -60,10 +60,21 @@ class HourLedger(StatefulProcessor):
         self.used = handle.getValueState("used", "normal long, reserve long, frozen boolean")
         self.requests = handle.getMapState("requests", "request long", "lane string, outcome string")
 
-    def decide(self, hour: datetime, row: tuple, used: dict, frozen: bool) -> tuple[str | None, bool]:
+    def _known(self, request: int) -> tuple[str, str | None] | None:
+        """A request's lane and outcome. An hour without state asks the state for nothing, any other one once a request and batch."""
+        if request not in self.known:
+            stored = not self.fresh and self.requests.containsKey((request,))
+            self.known[request] = self.requests.getValue((request,)) if stored else None
+        return self.known[request]
+
+    def _settle(self, request: int, lane: str, outcome: str | None) -> None:
+        self.known[request] = (lane, outcome)
+        self.changed.add(request)
+
+    def decide(self, row: tuple, used: dict, frozen: bool) -> tuple[str | None, bool]:
         """Why a command is refused, null if it isn't, and whether the hour is frozen after it; used is changed."""
-        at, request, command, lane = row
-        known = self.requests.getValue((request,)) if self.requests.containsKey((request,)) else None
+        request, command, lane, inside = row
+        known = self._known(request)
         if command == "reserve":
             if frozen:
                 return "frozen", frozen
@@ -71,14 +82,14 @@ class HourLedger(StatefulProcessor):
                 return "duplicate", frozen
             if lane not in self.limits:
                 return "unknown_lane", frozen
-            if not hour <= at < hour + timedelta(hours=1):
+            if not inside:
                 return "outside_hour", frozen
             if sum(used.values()) >= self.envelope:
                 return "envelope_exhausted", frozen
             if used[lane] >= self.limits[lane]:
                 return f"{lane}_exhausted", frozen
             used[lane] += 1
-            self.requests.updateValue((request,), (lane, None))
+            self._settle(request, lane, None)
             return None, frozen
         if known is None:
             return "unknown_request", frozen
@@ -88,18 +99,24 @@ class HourLedger(StatefulProcessor):
             return "unknown_outcome", frozen
         if command == "not_sent":
             used[known[0]] -= 1
-        self.requests.updateValue((request,), (known[0], command))
+        self._settle(request, known[0], command)
         return None, frozen or command == "uncertain"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        normal, reserve, frozen = self.used.get() if self.used.exists() else (0, 0, False)
-        used, hour, out = {"normal": normal, "reserve": reserve}, pd.Timestamp(key[0]), []
+        self.fresh, self.known, self.changed = not self.used.exists(), {}, set()
+        normal, reserve, frozen = (0, 0, False) if self.fresh else self.used.get()
+        used, hour, after = {"normal": normal, "reserve": reserve}, pd.Timestamp(key[0]), []
         commands = _in_order(rows, ["at", "request", "rank"])
-        for row in commands[["at", "request", "command", "lane"]].itertuples(index=False, name=None):
-            refused, frozen = self.decide(hour, row, used, frozen)
-            out.append((hour, row[0], row[1], row[2], refused, used["normal"], used["reserve"], frozen))
+        inside = (commands["at"] >= hour) & (commands["at"] < hour + timedelta(hours=1))
+        for row in zip(commands["request"], commands["command"], commands["lane"], inside, strict=True):
+            refused, frozen = self.decide(row, used, frozen)
+            after.append((refused, used["normal"], used["reserve"], frozen))
+        for request in self.changed:
+            self.requests.updateValue((request,), self.known[request])
         self.used.update((used["normal"], used["reserve"], frozen))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
+        log = commands[["at", "request", "command"]].reset_index(drop=True)
+        log.insert(0, "hour", hour)
+        yield log.join(pd.DataFrame(after, columns=["refused", "normal", "reserve", "frozen"]))
 
     def close(self) -> None:
         pass

@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from sedimenta.plans.ledgers import commands_of
-from sedimenta.streaming.ledger import hour_ledger, lease_changes, once, run_available
+from sedimenta.streaming.ledger import HourLedger, hour_ledger, lease_changes, once, run_available
 
 START = datetime(2024, 3, 1)
 
@@ -78,6 +79,37 @@ def test_hour_ledger_is_the_loop_and_goes_on_after_a_restart(spark, tmp_path):
     assert run_available(stream(), str(tmp_path / "out"), str(tmp_path / "checkpoint")).count() == len(rows)
 
 
+class Store:
+    """A value and a map as the state store has them, with a count of calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k],
+            "updateValue": self.map.__setitem__,
+        }[name]
+
+
+def test_an_hours_commands_dont_ask_the_state_one_by_one():
+    store, ledger = Store(), HourLedger(12, 6, 16)
+    ledger.init(store)
+    rows = [(START, START + timedelta(seconds=i // 2), i // 2, ["reserve", "consumed"][i % 2], "normal", i % 2) for i in range(4000)]
+    run = lambda part: [r for f in ledger.handleInputRows((START,), iter([pd.DataFrame(part, columns=[k.split()[0] for k in KINDS.split(", ")])]), None) for r in f.itertuples(index=False, name=None)]
+    first = run(rows[:3001])
+    assert store.calls < 30
+    want = by_hand(rows, 12, 6, 16)
+    plain = lambda out: [(*x[:4], x[4] if isinstance(x[4], str) else None, *map(int, x[5:])) for x in out]
+    assert plain(first + run(rows[3001:])) == plain(want)
+
+
 def test_commands_of_events_name_their_hours(spark):
     df = spark.createDataFrame([(50, START, "error", 10.0), (51, START, "signup", 1.0)], "event_id long, ts timestamp, event_type string, value double")
     got = {(r.request, r.command): (r.hour, r.lane) for r in commands_of(df).collect()}
