@@ -50,6 +50,20 @@ def test_query_is_its_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, twin.fetchall())
 
 
+def test_scopes_may_have_no_name_and_lines_no_flag_or_supplier(spark, tmp_path):
+    c = duckdb.connect()
+    cut = {"customer": "c_mktsegment = nullif(c_mktsegment, 'BUILDING')", "lineitem": "l_returnflag = if(l_orderkey % 7 = 0, NULL, l_returnflag), l_suppkey = nullif(l_suppkey, 3)"}
+    for name in ("nation", "region", "orders", "customer", "lineitem"):
+        c.execute(f"CREATE TABLE {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        if name in cut:
+            c.execute(f"UPDATE {name} SET {cut[name]}")
+        c.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    df, twin = QUERIES["q_scope_rollup"](spark, str(tmp_path)), c.execute(ORACLES["q_scope_rollup"])
+    got = df.collect()
+    assert rows(df.columns, got) == rows([x[0] for x in twin.description], twin.fetchall())
+    assert any(r.scope_id is None for r in got) and "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
