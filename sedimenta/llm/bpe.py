@@ -9,7 +9,10 @@ vocabulary through an offset table.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import json
 import re
 from array import array
@@ -74,12 +77,10 @@ class Bpe:
     """Tables of a tokenizers file: token bytes by id, the two parts of each token, merges by pair, the automaton."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols, model = byte_symbols(), spec["model"]
-        self.library = Tokenizer.from_file(path)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -103,6 +104,13 @@ class Bpe:
         self.memory = Memory(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes())  # a piece's ids as below
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, for texts that it has to split: most workers meet none."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def compatible(self, left: int, right: int) -> bool:
         """Would the merges leave this pair as it is? Undoes the later of the two tokens' merges, step by step, and looks
         for an earlier merge across the border. Ids grow in the order of merges."""
@@ -209,6 +217,15 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def unload() -> None:
+    """A worker that goes on to another step gives the tables back; their parts refer to each other, and the allocator keeps what is free."""
+    if load.cache_info().currsize:
+        load.cache_clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
     """Parts of an array whose values come to about `most` bytes, or one value."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -223,6 +240,7 @@ def by_slices(texts: Iterator[pa.Array], kind: pa.DataType, run: Callable[[list]
     """run() on the values of slices of each array, its results put together to one array of that kind again."""
     for t in texts:
         yield pa.chunked_array([run(part.to_pylist()) for part in slices(t)], kind).combine_chunks()
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def encoded(path: str, text: Column) -> Column:

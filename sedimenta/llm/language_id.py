@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .boosting import threshold
-from .bpe import by_slices
+from .bpe import by_slices, unload
 from .common import table
 
 #: Most rows of each language that the sample holds, most rows in all, and most distinct subwords (the commonest) of a row in training.
@@ -39,6 +39,8 @@ BITS, DIM, EPOCHS, BATCH, RATE = 16, 16, 6, 16, 0.5
 #: The share of accepted predictions that are to be right.
 PRECISION = 0.99
 SCALE = 1 << 16
+#: Bytes whose subwords a prediction holds at once; they take about a hundred times as many.
+PIECE = 1 << 16
 LETTER = regex.compile(r"\p{L}")
 GRAMS = (3, 4)
 
@@ -184,13 +186,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     joined = np.frombuffer(b" ".join(data), dtype=np.uint8)
     ends = np.cumsum([len(d) + 1 for d in data])
     sums, counts, known = np.zeros((len(data), len(model.langs)), dtype=np.int64), np.zeros(len(data), dtype=np.int64), np.zeros(len(data), dtype=np.int64)
-    piece = 1 << 19
-    for begin in range(0, len(joined), piece):
+    for begin in range(0, len(joined), PIECE):
         # one more byte before and four after, so that subwords across pieces count once, where they begin
-        low, high = max(0, begin - 1), min(len(joined), begin + piece + 4)
+        low, high = max(0, begin - 1), min(len(joined), begin + PIECE + 4)
         bucket, at = subwords(joined[low:high])
         at = at + low - 1  # of the mark before the word or the first byte
-        mine = (at >= begin - 1) & (at < begin + piece - 1) if low else at < begin + piece - 1
+        mine = (at >= begin - 1) & (at < begin + PIECE - 1) if low else at < begin + PIECE - 1
         bucket, row = bucket[mine], np.searchsorted(ends, at[mine] + 1, side="right")
         counts += np.bincount(row, minlength=len(data))
         known += np.bincount(row[model.seen[bucket]], minlength=len(data))
@@ -210,6 +211,7 @@ LEARNT = "lang string, place double, text_hash long, held boolean, buckets array
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, place, text_hash, text) to examples."""
+    unload()
     kinds = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("text_hash", pa.int64()), ("held", pa.bool_()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
     for b in batches:
         for lang, place, text_hash, text in zip(*b.columns, strict=True):
@@ -264,6 +266,8 @@ def identified(text: Column, model: Model | None) -> Column:
 
     @F.arrow_udf("lang_pred string, score double, accepted boolean")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        unload()
+
         def of(part: list) -> pa.Array:
             columns = predict(model, part) if model else (["und"] * len(part), [0.0] * len(part), [False] * len(part))
             return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PREDICTED, strict=True)], fields=list(PREDICTED))

@@ -54,6 +54,17 @@ def test_a_workers_memory_is_bounded():
     assert not memory and memory.held == 0
 
 
+def test_a_worker_gives_its_tables_back():
+    import weakref
+
+    b = bpe.load(PATH)
+    assert b.encode("some text") and "library" not in bpe.Bpe(PATH).__dict__
+    gone = weakref.ref(b)
+    del b
+    bpe.unload()
+    assert gone() is None and bpe.load.cache_info().currsize == 0
+
+
 def test_stable_characters_are_split_as_the_library_splits():
     for text in ("x" * 30_000, " " * 5000 + "x", "ab" * 20_000, "\n \n" * 1000):
         assert np.frombuffer(bpe.load(PATH).encode(text), dtype="<u4").tolist() == ids_of(text)
