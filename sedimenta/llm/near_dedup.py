@@ -9,10 +9,11 @@ Texts that agree word by word are one class, whatever their ids, before anything
 1. In every bucket of classes, each is paired with the bucket's centre (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
-3. Buckets that still hold several components: each class outside the centre's component is compared with all classes
-   of other components in the bucket, block by block on registers, and every pair that the estimate leaves possible is
-   confirmed inside its block, likeliest first, unless links found there have joined its components. Pairs inside a
-   component need no comparison, so a large group of copies costs its star only.
+3. Buckets that still hold several components: each class outside the bucket's main component, that of most of its
+   classes, is compared with all classes of other components in the bucket, block by block on registers, and every pair
+   that the estimate leaves possible is confirmed inside its block, likeliest first, unless links found there have joined
+   its components. Pairs inside a component need no comparison, so a large group of copies costs its star only. A class's
+   registers and text are joined to it once, whatever the number of blocks that it is compared with.
 4. Where more than CROWD such classes stand in a bucket (texts of one template, say), they and what meets the same component
    are first cut into smaller groups in a way that loses no link: shingles are ordered, those that the component's first
    class has last, and two sets that are linked share one within the first part of both (the prefix filter of set
@@ -45,7 +46,7 @@ BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Standard errors below the threshold from which on an estimate rules a pair out, and how often two different
 #: registers agree by chance: about a third (equal zero counts) of one in 2^MANTISSA.
 ERRORS, COLLISION = 5.0, 1 / 3 / (1 << MANTISSA)
-#: Classes of a block in step 3, and those outside the centre's component beyond which a bucket is crowded.
+#: Classes of a block in step 3, and those outside the main component beyond which a bucket is crowded.
 BLOCK, CROWD = 256, 1024
 #: Of each register the order in which it looks for an occupied one, itself first.
 PROBES = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)) + 1 - 2 * np.eye(REGISTERS), axis=1)
@@ -204,13 +205,13 @@ def _pairs_of_cells(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _select_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (cell, side, node, component, smaller, registers) that are part of a possible pair."""
+    """Rows (cell, side, node, component, smaller, registers) to those without registers that are part of a possible pair."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(len(t), dtype=bool)
         for i, j, _ in _pairs_of_cells(t):
             wanted[i] = wanted[j] = True
-        yield from t.filter(pa.array(wanted)).to_batches()
+        yield from t.drop_columns(["registers"]).filter(pa.array(wanted)).to_batches()
 
     return _by_cell(batches, run)
 
@@ -288,7 +289,7 @@ def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) ->
 
     One class of a pair is a `first` one, and one (or the same) a `smaller` one. Blocks of the first meet blocks of all
     in cells, so a group of any size is spread over tasks. Registers select the classes of possible pairs; their texts
-    come to the cells, and only links leave them.
+    come to the cells, and only links leave them. Joins have a row a class: its groups and cells are a list there.
     """
     sizes = groups.groupBy("group").agg(
         F.count_if("first").alias("n_first"), F.count("*").alias("n_all"), F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("smaller").alias("some")
@@ -297,26 +298,32 @@ def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) ->
     total = sizes.agg(F.coalesce(F.sum("n_all"), F.lit(0))).first()[0]
     blocks = sizes.select("group", F.ceil(F.col("n_first") / BLOCK).alias("first_blocks"), F.ceil(F.col("n_all") / BLOCK).alias("all_blocks"))
     sized = salted_join(groups, blocks, ["group"], hot_keys(sizes, ["group"], "n_all", total), "node")
+    of_node = lambda df, *columns: df.groupBy("node").agg(F.collect_list(F.struct(*columns)).alias("list"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = sized.where("first").select("group", place("first_blocks").alias("i"), upto("all_blocks").alias("j"), F.lit(0).alias("side"), "node", "component", "smaller")
-    other = sized.select("group", upto("first_blocks").alias("i"), place("all_blocks").alias("j"), F.lit(1).alias("side"), "node", "component", "smaller")
-    cells = one.union(other).select(F.xxhash64("group", "i", "j").alias("cell"), "side", "node", "component", "smaller").join(sketch, "node")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j, side: F.struct(F.xxhash64("group", i, j).alias("cell"), F.lit(side).alias("side"))
+    one = F.transform(F.when(F.col("first"), upto("all_blocks")).otherwise(F.array().cast("array<long>")), lambda j: cell(place("first_blocks"), j, 0))
+    other = F.transform(upto("first_blocks"), lambda i: cell(i, place("all_blocks"), 1))
     sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
     kept = ["cell", "side", "node", "component", "smaller", "registers"]
-    wanted = sorted_(cells.select(*kept)).mapInArrow(_select_members, "cell long, side int, node long, component long, smaller boolean, registers binary")
-    with_text = wanted.join(texts, "node").select(*kept, "text")
+    listed = of_node(sized, "group", "component", "first", "smaller", "first_blocks", "all_blocks").join(sketch, "node")
+    cells = listed.select("node", "registers", F.inline("list")).select("node", "component", "smaller", "registers", F.inline(F.concat(one, other)))
+    wanted = sorted_(cells.select(*kept)).mapInArrow(_select_members, "cell long, side int, node long, component long, smaller boolean")
+    with_text = of_node(wanted, "cell", "side", "component", "smaller").join(sketch, "node").join(texts, "node")
+    with_text = with_text.select("node", "registers", "text", F.inline("list")).select(*kept, "text")
     return sorted_(with_text).mapInArrow(_confirm_cells, "x long, y long").distinct()
 
 
 def _groups(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (group, node, component, first, smaller) of the buckets that hold several components.
 
-    The classes outside the component of a bucket's centre (main) are its first ones. Crowded buckets are put together by
-    their main component and cut by prefixes.
+    The classes outside the component that most of a bucket's classes have (main; of several any) are its first ones, so
+    their number doesn't hang on which class is the centre. Crowded buckets are put together by their main component and
+    cut by prefixes.
     """
     labelled = materialize(shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main"), F.count("*").alias("n")).where("low <> high")
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("n_part"))
+    bands = parts.groupBy("band").agg(F.max_by("component", "n_part").alias("main"), F.sum("n_part").alias("n"), F.count("*").alias("n_parts")).where("n_parts > 1")
     bands = materialize(bands.select("band", "main", "n"), "mains")
     hot = hot_keys(bands, ["band"], "n", labelled.count())
     met = salted_join(labelled, bands.drop("n"), ["band"], hot, "node").withColumn("first", F.col("component") != F.col("main"))

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import importlib.util
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -188,6 +189,48 @@ def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
     assert (compared[0] or 0) < 400 * n
 
 
+def rows_of_joins(spark, keys, run):
+    """Output rows of the inner joins on `keys` while run() ran, by join."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, found = store.executionsList().size(), []
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for k in range(before, runs.size()):
+        execution = runs.apply(k).executionId()
+        values = dict(x.split(" -> ") for x in store.executionMetrics(execution).mkString(";").split(";") if " -> " in x)
+        nodes = store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f"{keys}, {keys}, Inner" in re.sub(r"#\d+L?", "", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found += [int(values.get(str(m.accumulatorId()), "0").replace(",", "")) for m in metrics if m.name() == "number of output rows"]
+    return found
+
+
+def test_a_large_group_is_compared_by_its_main_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    n, words = 600, [f"w{i}" for i in range(200)]
+    # copies but for a word are linked with each other; the first row, the centre of its buckets, with none of them
+    docs = {0: " ".join(f"x{i}" if i % 30 == 7 else w for i, w in enumerate(words))}
+    docs |= {k: " ".join([*words[: k % 200], f"c{k}", *words[k % 200 + 1 :]]) for k in range(1, n + 1)}
+    compared = []
+    links = near_dedup._links_of_groups
+
+    def counted(groups, *rest):
+        sizes = groups.groupBy("group").agg(F.count_if("first").alias("f"), F.count("*").alias("n"))
+        compared.append(sizes.agg(F.sum(F.col("f") * F.col("n")), F.count("*"), F.sum("n")).first())
+        return links(groups, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links_of_groups", counted)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    got = {}
+    joins = rows_of_joins(spark, "[node]", lambda: got.update((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()))
+    assert got == {0: 0} | dict.fromkeys(range(1, n + 1), 1)
+    [(pairs, groups, rows)] = compared
+    assert groups > 2 and rows > 2 * n and pairs == rows  # one class of a group outside its main component
+    assert joins and max(joins) <= n + 1  # of a class in several groups and cells one row
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(3)
     for _ in range(2000):
