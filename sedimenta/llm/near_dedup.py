@@ -9,8 +9,8 @@ Texts that agree word by word are one class, whatever their ids, before anything
 1. In every bucket of classes, each is paired with the bucket's centre (a star, linear in the bucket).
 2. Pairs whose estimate from the registers (corrected for collisions) leaves 0.75 possible are confirmed on the full
    sets, and links give components.
-3. Buckets that still hold several components: each class outside the bucket's main component, that of most of its
-   classes, is compared with all classes of other components in the bucket, block by block on registers, and every pair
+3. Buckets that still hold several components: each class outside the bucket's main component (the largest one, or the
+   centre's if all are small) is compared with all classes of other components in the bucket, block by block on registers, and every pair
    that the estimate leaves possible is confirmed inside its block, likeliest first, unless links found there have joined
    its components. Pairs inside a component need no comparison, so a large group of copies costs its star only. A class's
    registers and text are joined to it once, whatever the number of blocks that it is compared with.
@@ -317,14 +317,18 @@ def _links_of_groups(groups: DataFrame, sketch: DataFrame, texts: DataFrame) ->
 def _groups(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (group, node, component, first, smaller) of the buckets that hold several components.
 
-    The classes outside the component that most of a bucket's classes have (main; of several any) are its first ones, so
-    their number doesn't hang on which class is the centre. Crowded buckets are put together by their main component and
+    The classes outside a bucket's main component are its first ones. Main is the largest one (of several any) if it has a
+    tenth of the classes, so their number doesn't hang on which class is the centre; else it is the centre's. Crowded buckets are put together by their main component and
     cut by prefixes.
     """
     labelled = materialize(shared.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("n_part"))
-    bands = parts.groupBy("band").agg(F.max_by("component", "n_part").alias("main"), F.sum("n_part").alias("n"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    bands = materialize(bands.select("band", "main", "n"), "mains")
+    parts = labelled.groupBy("band", "component").agg(F.count("*").alias("n_part"), F.min("node").alias("least"))
+    bands = parts.groupBy("band").agg(
+        F.max_by("component", "n_part").alias("largest"), F.max("n_part").alias("n_largest"), F.min_by("component", "least").alias("of_centre"), F.sum("n_part").alias("n"), F.count("*").alias("n_parts")
+    ).where("n_parts > 1")
+    # without a large component, buckets of one template have few centres, so they are put together
+    main = F.when(F.col("n_largest") * 10 >= F.col("n"), F.col("largest")).otherwise(F.col("of_centre"))
+    bands = materialize(bands.select("band", main.alias("main"), "n"), "mains")
     hot = hot_keys(bands, ["band"], "n", labelled.count())
     met = salted_join(labelled, bands.drop("n"), ["band"], hot, "node").withColumn("first", F.col("component") != F.col("main"))
     met = materialize(met, "met")
